@@ -3,17 +3,35 @@
 The first pattern that parses the whole string wins, in this order (day-first
 before month-first, so ``03/04/2024`` is 4 March and ``25/12/2024`` falls
 through to the day-first pattern); an ISO date or timestamp is the last resort.
+
+Implementation: ``regexp_replace`` rewrites a string of a pattern's shape to
+``yyyy-M-d`` (other strings pass unchanged) and ``try_cast(... as date)``
+validates the calendar (31-02 -> null).  No formatter runs and no exception is
+thrown per row (a failing ``try_to_timestamp`` costs a caught exception), and
+the input is referenced four times only, so an expensive input expression is
+not re-evaluated per pattern.  ``yyyy-M-d`` needs no rewrite: the first cast
+already accepts it, exactly as the ISO tail would.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date patterns, in priority order.
-DATE_PATTERNS = ["d-M-yyyy", "yyyy-M-d", "M/d/yyyy", "d/M/yyyy"]
+# Accepted patterns in priority order as (name, shape, rewrite to y-m-d).
+DATE_PATTERNS = [
+    ("d-M-yyyy", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    ("yyyy-M-d", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
+    ("M/d/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+    ("d/M/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
+]
 
 
 def parse_any_date(c: Column) -> Column:
     s = c.cast("string")
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in DATE_PATTERNS]
-    return F.coalesce(*tries, s.try_cast("timestamp")).cast("date")
+    day_first_dash, _, month_first, day_first_slash = DATE_PATTERNS
+    return F.coalesce(
+        F.regexp_replace(s, day_first_dash[1], day_first_dash[2]).try_cast("date"),   # d-M-yyyy, yyyy-M-d, ISO
+        F.regexp_replace(s, month_first[1], month_first[2]).try_cast("date"),          # M/d/yyyy
+        F.regexp_replace(s, day_first_slash[1], day_first_slash[2]).try_cast("date"),  # d/M/yyyy
+        s.try_cast("timestamp").cast("date"),
+    )

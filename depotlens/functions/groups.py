@@ -4,8 +4,10 @@ With grouping columns the statistics table has one row per group and is joined
 on those columns: AQE sees its runtime size and turns the join into a broadcast
 hash join when it is small (``spark.sql.adaptive.autoBroadcastJoinThreshold``),
 falling back to a sort-merge join whose hot partitions the skew-join rule splits.
-Without grouping columns the statistics are a single row and are attached as a
-scalar subquery: computed once, inlined as a literal, no join at all.
+Without grouping columns the statistics are one global aggregate row (a
+grouping-free aggregate always yields exactly one row), broadcast to every
+task.  Keeping it a join (rather than a scalar subquery) lets both branches
+share the upstream exchange instead of re-running the scan.
 """
 from __future__ import annotations
 
@@ -16,11 +18,22 @@ from pyspark.sql import functions as F
 def attach_group(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     if by:
         return df.join(stats, on=list(by), how=how)
-    cols = [c for c in stats.columns]
-    packed = stats.select(F.struct(*cols).alias("_grp")).scalar()
-    out = df.withColumn("_grp", packed)
-    return out.select(*[F.col(c) for c in df.columns], *[F.col("_grp")[c].alias(c) for c in cols])
+    # Exactly one row on the broadcast side: a nested-loop join over 1 row is a projection.
+    return df.join(F.broadcast(stats), on=F.lit(True), how=how)
 
 
 def group_cols(by: list[str]) -> list:
     return [F.col(c) for c in by]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Used for small intermediate tables (one row per material) that feed more
+    than one branch of a plan: the expensive scan behind them runs once, the
+    lineage is cut (a lost executor re-reads the checkpoint instead of
+    re-scanning the source), and both branches read the same files.
+    """
+    from depotlens.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -15,8 +15,7 @@ def _q(name: str) -> Column:
 
 def _to_number(c: Column) -> Column:
     """pandas ``to_numeric(errors='coerce')``: unparseable -> null, NaN -> null."""
-    d = c.cast("string").try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nanvl(c.cast("string").try_cast("double"), F.lit(None).cast("double"))
 
 
 def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:
@@ -45,8 +44,8 @@ def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:
 
 def validity(c_qty: Column, c_amount: Column, c_material: Column, c_date: Column) -> Column:
     """N8 as one predicate."""
-    return ((c_qty > 0) & c_qty.isNotNull() & (c_amount >= 0) & c_amount.isNotNull()
-            & c_material.isNotNull() & (c_material != "nan") & c_date.isNotNull())
+    # Comparisons with null are null, so qty > 0 and amount >= 0 also reject nulls.
+    return (c_qty > 0) & (c_amount >= 0) & (c_material != "nan") & c_date.isNotNull()
 
 
 def _is_valid() -> Column:

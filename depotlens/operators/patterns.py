@@ -4,20 +4,20 @@ Semantics.  Per group (``by``), M is the set of calendar months (1..12, years
 collapsed) in which *any* material has a valid movement.  Every material is
 seen over all of M with zeros filled in, so mean/std/min run over |M| values.
 
-Plan.  One partial+final hash aggregation turns movements into P1 rows
-(group, material, month) -- at most 12 rows per material.  A second aggregation
-folds those into one row per material carrying a month->qty map (<= 12
-entries, so never an unbounded group).  M per group is a tiny aggregate
-attached by ``attach_group`` (scalar subquery or AQE-broadcast join).  The
-statistics are then pure expressions over the dense <=12-slot vector in month
-order: no material x month cross join, no pivot, no Python.
+Plan.  One partial+final hash aggregation turns movements into one row per
+(group, material) holding twelve month sums (null = no movement that month).
+M per group is a second tiny hash aggregate over that table (checkpointed,
+so the movement scan runs once) attached by ``attach_group`` (AQE-broadcast join, or a one-row
+broadcast for a single group).  The statistics are pure expressions over the
+dense <=12-slot vector taken in month order: no material x month cross join,
+no sort-based aggregation, no Python.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.groups import attach_group
+from depotlens.functions.groups import attach_group, materialize
 from depotlens.functions.rounding import round_half_even
 from depotlens.functions.text import month_name
 
@@ -28,68 +28,78 @@ def monthly_consumption(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     return mv.groupBy(*by, "material_number", "month").agg(F.sum("consumption_qty").alias("qty"))
 
 
-def _p1_rich(mv: DataFrame, by: list[str]) -> DataFrame:
-    """P1 plus what later steps need, computed in the same aggregation:
-    first (row_key, description) and max positive unit price per cell."""
-    aggs = [F.sum("consumption_qty").alias("qty"),
-            F.max(F.when(F.col("amount") > 0, F.col("amount") / F.col("consumption_qty"))).alias("max_price")]
-    if "row_key" in mv.columns:
-        aggs.append(F.min(F.struct(F.col("row_key").alias("k"), F.col("material_description").alias("d"))).alias("first"))
-    else:
-        aggs.append(F.min(F.struct(F.lit(0).alias("k"), F.col("material_description").alias("d"))).alias("first"))
-    return mv.groupBy(*by, "material_number", "month").agg(*aggs)
+def _month_slots(mv: DataFrame, by: list[str]) -> DataFrame:
+    """One row per (group, material): twelve month sums (null = no movement
+    that month) and the max positive unit price (P11).
+
+    Only fixed-width buffers, so this is a plain HashAggregate with map-side
+    partial aggregation straight from the movement rows (P1 folded in: one
+    shuffle of at most one partial row per material per input partition).
+    """
+    q = F.col("consumption_qty")
+    aggs = [F.sum(F.when(F.col("month") == i, q)).alias(f"_q{i}") for i in range(1, 13)]
+    aggs.append(F.max(F.when(F.col("amount") > 0, F.col("amount") / q)).alias("max_price"))
+    return mv.groupBy(*by, "material_number").agg(*aggs)
+
 
+def _slot_array() -> Column:
+    return F.array(*[F.col(f"_q{i}") for i in range(1, 13)])
 
-def active_months(p1: DataFrame, by: list[str] = ()) -> DataFrame:
-    """M per group: sorted distinct months with any movement (<= 12 values)."""
-    return p1.groupBy(*list(by)).agg(F.array_sort(F.collect_set("month")).alias("months"))
 
+def active_months(slots: DataFrame, by: list[str] = ()) -> DataFrame:
+    """M per group: sorted months with any movement (<= 12 values)."""
+    flags = [F.max(F.col(f"_q{i}").isNotNull().cast("int")).alias(f"_m{i}") for i in range(1, 13)]
+    g = slots.groupBy(*list(by)).agg(*flags)
+    present = F.array(*[F.col(f"_m{i}") for i in range(1, 13)])
+    return g.select(*list(by), F.filter(F.sequence(F.lit(1), F.lit(12)), lambda m: F.element_at(present, m) == 1)
+                    .alias("months"))
 
-def _dense(months: Column, mq: Column) -> Column:
-    return F.transform(months, lambda m: F.coalesce(F.try_element_at(mq, m), F.lit(0.0)))
+
+def _dense(months: Column, vals: Column) -> Column:
+    return F.transform(months, lambda m: F.coalesce(F.element_at(vals, m), F.lit(0.0)))
 
 
 def _fold_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def material_patterns(mv: DataFrame, by: list[str] = ()) -> DataFrame:
-    """P2-P6, P11 in one table, one row per (group, material).
+def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool = False) -> DataFrame:
+    """P2-P5, P11 in one table, one row per (group, material).
 
     Columns: n_months (|M|), observed_months, total_qty, mean_qty, std_qty
     (unrounded, ddof 1, null when |M| = 1), avg_monthly_consumption,
     total_annual_consumption, peak/low month and consumption, both CV variants,
-    description (first in input order) and max_unit_price.
+    max_unit_price and, with ``with_description``, the first description in
+    input order (P6, a separate aggregation joined on the material).
     """
     by = list(by)
-    p1 = _p1_rich(mv, by)
-    per = p1.groupBy(*by, "material_number").agg(
-        F.map_from_entries(F.collect_list(F.struct("month", "qty"))).alias("mq"),
-        F.count(F.lit(1)).alias("observed_months"),
-        F.max_by("month", F.struct(F.col("qty"), (-F.col("month")).alias("m"))).alias("peak_month"),
-        F.max("qty").alias("peak_qty"),
-        F.min_by("month", F.struct(F.col("qty"), F.col("month").alias("m"))).alias("low_month_obs"),
-        F.min("qty").alias("low_qty_obs"),
-        F.min("first").alias("first"),
-        F.max("max_price").alias("max_price"),
-    )
-    m = active_months(p1, by)
-    j = attach_group(per, m, by)
-    j = j.withColumn("dense", _dense(F.col("months"), F.col("mq"))).withColumn("n_months", F.size("months"))
+    # The slot table feeds two branches (M per group, stats per material);
+    # checkpointing it keeps the movement scan to a single pass.
+    slots = materialize(_month_slots(mv, by))
+    j = attach_group(slots, active_months(slots, by), by)
+    vals = _slot_array()
+    j = j.select(*by, "material_number", "max_price", "months", vals.alias("vals"))
+    j = j.withColumn("dense", _dense(F.col("months"), F.col("vals"))).withColumn("n_months", F.size("months"))
+    j = j.withColumn("observed_months", F.size(F.filter("vals", lambda x: x.isNotNull())))
     j = j.withColumn("total_qty", _fold_sum(F.col("dense")))
     j = j.withColumn("mean_qty", F.col("total_qty") / F.col("n_months"))
     ss = F.aggregate(F.col("dense"), F.lit(0.0),
                      lambda acc, x: acc + (x - F.col("mean_qty")) * (x - F.col("mean_qty")))
     j = j.withColumn("std_qty", F.when(F.col("n_months") > 1, F.sqrt(ss / (F.col("n_months") - 1))))
-    gap = F.array_min(F.array_except(F.col("months"), F.map_keys(F.col("mq"))))
+    peak_qty = F.array_max("vals")
+    low_obs = F.array_min("vals")
+    # array_position returns the first (lowest) month holding the value: ties -> earliest month.
+    peak_month = F.array_position("vals", peak_qty).cast("int")
+    low_month_obs = F.array_position("vals", low_obs).cast("int")
+    gap = F.array_min(F.filter("months", lambda m: F.element_at(F.col("vals"), m).isNull()))
     has_zero = F.col("observed_months") < F.col("n_months")
+    low_month = F.when(has_zero, gap).otherwise(low_month_obs)
     avg = F.rint(F.col("mean_qty")).cast("long")
     std_r = F.coalesce(F.rint(F.col("std_qty")).cast("long"), F.lit(0).cast("long"))
     cv_b = F.when(avg > 0, round_half_even(std_r / avg, 2)).otherwise(F.lit(0.0))
-    return j.select(
+    out = j.select(
         *by,
         "material_number",
-        F.col("first.d").alias("description"),
         "n_months",
         "observed_months",
         "total_qty",
@@ -97,12 +107,12 @@ def material_patterns(mv: DataFrame, by: list[str] = ()) -> DataFrame:
         "std_qty",
         avg.alias("avg_monthly_consumption"),
         F.rint(F.col("total_qty")).cast("long").alias("total_annual_consumption"),
-        F.col("peak_month").cast("int").alias("peak_month"),
-        month_name(F.col("peak_month")).alias("peak_month_name"),
-        F.rint(F.col("peak_qty")).cast("long").alias("peak_consumption"),
-        F.when(has_zero, gap).otherwise(F.col("low_month_obs")).cast("int").alias("low_month"),
-        month_name(F.when(has_zero, gap).otherwise(F.col("low_month_obs"))).alias("low_month_name"),
-        F.when(has_zero, F.lit(0)).otherwise(F.rint(F.col("low_qty_obs"))).cast("long").alias("low_consumption"),
+        peak_month.alias("peak_month"),
+        month_name(peak_month).alias("peak_month_name"),
+        F.rint(peak_qty).cast("long").alias("peak_consumption"),
+        low_month.cast("int").alias("low_month"),
+        month_name(low_month).alias("low_month_name"),
+        F.when(has_zero, F.lit(0)).otherwise(F.rint(low_obs)).cast("long").alias("low_consumption"),
         # Variant A: unrounded std / unrounded mean, 0 when mean <= 0, null when |M| = 1.
         F.when(F.col("mean_qty") > 0, round_half_even(F.col("std_qty") / F.col("mean_qty"), 2))
          .otherwise(F.lit(0.0)).alias("coefficient_of_variation"),
@@ -111,10 +121,18 @@ def material_patterns(mv: DataFrame, by: list[str] = ()) -> DataFrame:
         cv_b.alias("cv_rounded_basis"),
         F.coalesce(F.col("max_price"), F.lit(0.0)).alias("max_unit_price"),
     )
+    if with_description:
+        out = out.join(materials_dim(mv, by), [*by, "material_number"], "left")
+    return out
 
 
 def materials_dim(mv: DataFrame, by: list[str] = ()) -> DataFrame:
-    """First non-null description per material in input order."""
+    """First non-null description per material in input order.
+
+    "First" needs the row order, so this is a min over (row_key, description);
+    the string in the buffer makes Spark use a sort-based partial aggregate.
+    It is kept out of the hot P1 aggregation for that reason.
+    """
     by = list(by)
     key = F.col("row_key") if "row_key" in mv.columns else F.lit(0)
     return (mv.where(F.col("material_description").isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 from depotlens.plans.oracle import MV, RAW, STOCK, TYPED, patterns_ctes, tiers_ctes, with_
 
 BASE = (RAW, TYPED, MV)
-PATTERN_SELECT = """material_number, description, CAST(n_months AS BIGINT) AS n_months,
+PATTERN_SELECT = """material_number, CAST(n_months AS BIGINT) AS n_months,
   CAST(observed_months AS BIGINT) AS observed_months, avg_monthly_consumption, total_annual_consumption,
   CAST(peak_month AS BIGINT) AS peak_month, peak_month_name, peak_consumption, CAST(low_month AS BIGINT) AS low_month,
   low_month_name, low_consumption, coefficient_of_variation, consumption_std, cv_rounded_basis, max_unit_price"""

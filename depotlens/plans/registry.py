@@ -36,7 +36,7 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalise_movements(fx.movements_raw(spark, sf_dir))
 
 
-PATTERN_COLS = ["material_number", "description", "n_months", "observed_months", "avg_monthly_consumption",
+PATTERN_COLS = ["material_number", "n_months", "observed_months", "avg_monthly_consumption",
                 "total_annual_consumption", "peak_month", "peak_month_name", "peak_consumption", "low_month",
                 "low_month_name", "low_consumption", "coefficient_of_variation", "consumption_std",
                 "cv_rounded_basis", "max_unit_price"]
@@ -88,6 +88,6 @@ def q_tier_counts_by_depot(spark, sf_dir):
 def q_predict_inventory(spark, sf_dir):
     """I1-I8 for every stock row, one group, with vendor (V3)."""
     mv = movements(spark, sf_dir)
-    pat = P.material_patterns(mv)
+    pat = P.material_patterns(mv, with_description=True)
     out = I.predict_inventory(pat, fx.stock(spark, sf_dir), _assigned(spark, sf_dir, mv))
     return out.drop("_max_unit_price")

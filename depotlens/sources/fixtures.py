@@ -20,10 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row work at least one partition per core.
+
+    A small single-file table scans as one task; on a cluster the fact table
+    arrives in thousands of splits and this is a no-op.  Otherwise the rows are
+    hash-spread over ``cores`` partitions and checkpointed into the shared
+    checkpoint folder (``spark.checkpoint.dir``): the lineage is cut, so the
+    optimizer cannot push the parsing filters back into the single scan task,
+    and every consumer of the table reuses the same spread copy.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    from depotlens.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return df.repartition(cores, F.xxhash64(*[F.col(c) for c in df.columns])).checkpoint(eager=True)
+
+
 def movements_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_shipdate")
+        "l_extendedprice", "l_returnflag", "l_shipdate"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -69,7 +88,7 @@ def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     click/view -> add, signup -> set, error -> set 0 (delete), purchase -> confirm.
     """
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
     et = F.col("event_type")
     op = (F.when(et.isin("click", "view"), F.lit("add"))
           .when(et.isin("signup", "error"), F.lit("set"))
