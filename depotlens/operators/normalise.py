@@ -87,6 +87,7 @@ def display_columns(df: DataFrame, order_by: list[str], desc_col: str = "descrip
     w = Window.partitionBy(*[F.col(c) for c in (by or [])]).orderBy(*[F.col(c) for c in order_by])
     out = df.withColumn("serial_no", F.row_number().over(w)).withColumn("description_short", clip_text(F.col(desc_col)))
     if cv_col:
-        out = out.withColumn("cv_text", F.when(F.col(cv_col) == 0, F.lit("N/A"))
-                             .otherwise(F.format_string("%.2f", F.col(cv_col))))
+        cv = F.col(cv_col)
+        out = out.withColumn("cv_text", F.when(cv.isNull(), F.lit(None).cast("string"))
+                             .when(cv == 0, F.lit("N/A")).otherwise(F.format_string("%.2f", cv)))
     return out

@@ -91,3 +91,436 @@ def q_predict_inventory(spark, sf_dir):
     pat = P.material_patterns(mv, with_description=True)
     out = I.predict_inventory(pat, fx.stock(spark, sf_dir), _assigned(spark, sf_dir, mv))
     return out.drop("_max_unit_price")
+
+
+# -- more N / S: sources, cleaning, depots --------------------------------------
+from depotlens.operators import anomalies as A  # noqa: E402
+from depotlens.operators import baskets as B  # noqa: E402
+from depotlens.operators import catalog as K  # noqa: E402
+from depotlens.operators import demand as H  # noqa: E402
+from depotlens.operators import depots as S  # noqa: E402
+from depotlens.operators import reports as R  # noqa: E402
+from depotlens.sources import ingest  # noqa: E402
+
+FOCUS_DEPOT = "ASIA Depot"
+
+
+@query("movement_rejects")
+def q_movement_rejects(spark, sf_dir):
+    """Rows dropped by the validity rule, counted by first failing reason."""
+    rej = N.rejected_movements(fx.movements_raw(spark, sf_dir))
+    return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("profile_source")
+def q_profile_source(spark, sf_dir):
+    """Resolved roles, column list, row and depot counts, first rows."""
+    return ingest.profile_source(fx.movements_raw(spark, sf_dir))
+
+
+@query("depot_patterns_exact")
+def q_depot_patterns_exact(spark, sf_dir):
+    """One depot by exact name, analysed as one group (equals its slice
+    of patterns_by_depot)."""
+    raw = S.filter_depot_exact(fx.movements_raw(spark, sf_dir), FOCUS_DEPOT, check=False)
+    return P.material_patterns(N.normalise_movements(raw)).select(*PATTERN_COLS)
+
+
+@query("depot_filter_like")
+def q_depot_filter_like(spark, sf_dir):
+    """Case-insensitive regex filter on the depot column."""
+    raw = S.filter_depot_like(fx.movements_raw(spark, sf_dir), "asia|europe")
+    return raw.groupBy(F.col("`Name 1`").alias("depot_name")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("depot_alias")
+def q_depot_alias(spark, sf_dir):
+    """Short keys and full names resolve to depot names; unknown keys pass."""
+    region = fx.table(spark, sf_dir, "region")
+    keys = (region.select(F.lower("r_name").alias("depot_key"))
+            .unionByName(region.select(F.concat("r_name", F.lit(" Depot")).alias("depot_key")))
+            .unionByName(region.select(F.concat(F.lit("depot-"), F.col("r_regionkey").cast("string")).alias("depot_key"))))
+    return S.resolve_depot_alias(keys, fx.depot_alias(spark))
+
+
+# -- P --------------------------------------------------------------------------
+@query("monthly_consumption")
+def q_monthly_consumption(spark, sf_dir):
+    """P1."""
+    return P.monthly_consumption(movements(spark, sf_dir))
+
+
+@query("materials_dim")
+def q_materials_dim(spark, sf_dir):
+    """P6."""
+    return P.materials_dim(movements(spark, sf_dir))
+
+
+@query("max_unit_price")
+def q_max_unit_price(spark, sf_dir):
+    """P11."""
+    return P.max_unit_price(movements(spark, sf_dir))
+
+
+@query("dataset_overview")
+def q_dataset_overview(spark, sf_dir):
+    """P7, one group."""
+    return P.dataset_overview(movements(spark, sf_dir))
+
+
+@query("dataset_overview_by_depot")
+def q_dataset_overview_by_depot(spark, sf_dir):
+    """P7 per depot."""
+    return P.dataset_overview(movements(spark, sf_dir), DEPOT)
+
+
+@query("seasonal_overview")
+def q_seasonal_overview(spark, sf_dir):
+    """P8."""
+    return P.seasonal_overview(P.material_patterns(movements(spark, sf_dir)))
+
+
+@query("seasonal_overview_by_depot")
+def q_seasonal_overview_by_depot(spark, sf_dir):
+    """P8 per depot."""
+    return P.seasonal_overview(P.material_patterns(movements(spark, sf_dir), DEPOT), DEPOT)
+
+
+@query("high_velocity_count")
+def q_high_velocity_count(spark, sf_dir):
+    """P9."""
+    return P.high_velocity_count(P.material_patterns(movements(spark, sf_dir)))
+
+
+@query("peak_month_histogram")
+def q_peak_month_histogram(spark, sf_dir):
+    """P10."""
+    return P.peak_month_histogram(P.material_patterns(movements(spark, sf_dir)))
+
+
+@query("peak_month_histogram_by_depot")
+def q_peak_month_histogram_by_depot(spark, sf_dir):
+    """P10 per depot."""
+    return P.peak_month_histogram(P.material_patterns(movements(spark, sf_dir), DEPOT), DEPOT)
+
+
+# -- C --------------------------------------------------------------------------
+@query("tier_thresholds_by_depot")
+def q_tier_thresholds_by_depot(spark, sf_dir):
+    """C1 per depot."""
+    return C.tier_thresholds(P.material_patterns(movements(spark, sf_dir), DEPOT), DEPOT)
+
+
+@query("classify_materials")
+def q_classify_materials(spark, sf_dir):
+    """C2."""
+    c = C.classify_materials(P.material_patterns(movements(spark, sf_dir)))
+    return c.select("material_number", "avg_monthly_consumption", "coefficient_of_variation", "tier")
+
+
+@query("tier_detail")
+def q_tier_detail(spark, sf_dir):
+    """C4."""
+    mv = movements(spark, sf_dir)
+    return C.tier_detail(C.classify_materials(P.material_patterns(mv, with_description=True)))
+
+
+@query("tier_detail_lite")
+def q_tier_detail_lite(spark, sf_dir):
+    """C5."""
+    mv = movements(spark, sf_dir)
+    return C.tier_detail_lite(P.material_patterns(mv, with_description=True))
+
+
+@query("tier_detail_display")
+def q_tier_detail_display(spark, sf_dir):
+    """N12 over C4: serial number per tier, clipped description, CV text."""
+    mv = movements(spark, sf_dir)
+    d = C.tier_detail(C.classify_materials(P.material_patterns(mv, with_description=True)))
+    out = N.display_columns(d, ["material_number"], by=["tier"])
+    return out.select("tier", "serial_no", "material_number", "description_short", "cv_text")
+
+
+# -- I --------------------------------------------------------------------------
+@query("predict_inventory_by_depot")
+def q_predict_inventory_by_depot(spark, sf_dir):
+    """I1-I8 per depot (stock rows scored against every depot)."""
+    mv = movements(spark, sf_dir)
+    pat = P.material_patterns(mv, DEPOT, with_description=True)
+    return I.predict_inventory(pat, fx.stock(spark, sf_dir), by=DEPOT).drop("_max_unit_price")
+
+
+@query("predict_status")
+def q_predict_status(spark, sf_dir):
+    """I9, I11, I12 on the rounded-basis statistics."""
+    mv = movements(spark, sf_dir)
+    return I.predict_status_b(P.material_patterns(mv, with_description=True), fx.stock(spark, sf_dir))
+
+
+@query("busy_slow_months")
+def q_busy_slow_months(spark, sf_dir):
+    """I10."""
+    return I.busy_slow_months(P.monthly_consumption(movements(spark, sf_dir)))
+
+
+@query("usage_labels")
+def q_usage_labels(spark, sf_dir):
+    """I11, I14 per material."""
+    pat = P.material_patterns(movements(spark, sf_dir))
+    return pat.select("material_number", "avg_monthly_consumption",
+                      I.usage_label(F.col("avg_monthly_consumption")).alias("usage_label"),
+                      I.cv_interpretation(F.col("cv_rounded_basis")).alias("cv_interpretation"))
+
+
+def stock_entries(spark, sf_dir):
+    """Stock as typed by a user: text, some blank, non-numeric or negative."""
+    p = fx.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    txt = (F.when(k % 97 == 3, F.lit("n/a")).when(k % 89 == 5, F.concat(F.lit("-"), F.col("p_size").cast("string")))
+           .when(k % 83 == 7, F.lit(None).cast("string")).otherwise((F.col("p_size") * 2).cast("string")))
+    return p.select(k.cast("string").alias("material_number"), txt.alias("current_qty"))
+
+
+@query("stock_validation")
+def q_stock_validation(spark, sf_dir):
+    """I15."""
+    return I.validate_stock(stock_entries(spark, sf_dir))
+
+
+@query("resolve_requests")
+def q_resolve_requests(spark, sf_dir):
+    """I13 (+ I9 for resolved requests with a quantity)."""
+    mv = movements(spark, sf_dir)
+    pat = P.material_patterns(mv, with_description=True)
+    res = K.resolve_requests(fx.requests(spark), P.materials_dim(mv))
+    pred = I.predict_status_b(pat, res.where(F.col("material_number").isNotNull() & F.col("current_qty").isNotNull())
+                              .select("request_id", "material_number", "current_qty"))
+    pred = pred.select(F.col("material_number").alias("_m"), F.col("current_quantity").alias("_q"),
+                       F.col("status").alias("predicted_status"), F.col("order_quantity").alias("predicted_order"))
+    j = res.join(pred, (res.material_number == pred._m) & (res.current_qty == pred._q), "left")
+    return j.select("request_id", "text", "current_qty", "match_type", "material_number", "match_count",
+                    "predicted_status", "predicted_order")
+
+
+# -- H --------------------------------------------------------------------------
+@query("high_demand_by_month")
+def q_high_demand_by_month(spark, sf_dir):
+    """H1."""
+    return H.high_demand_by_month(movements(spark, sf_dir))
+
+
+@query("top_consumers")
+def q_top_consumers(spark, sf_dir):
+    """H2, one group."""
+    return H.top_consumers(P.material_patterns(movements(spark, sf_dir)))
+
+
+@query("top_consumers_by_depot")
+def q_top_consumers_by_depot(spark, sf_dir):
+    """H2 per depot."""
+    return H.top_consumers(P.material_patterns(movements(spark, sf_dir), DEPOT), DEPOT)
+
+
+# -- A --------------------------------------------------------------------------
+@query("anomaly_summary")
+def q_anomaly_summary(spark, sf_dir):
+    """A1 + total anomalous rows."""
+    return A.anomaly_summary(movements(spark, sf_dir))
+
+
+@query("anomaly_rows")
+def q_anomaly_rows(spark, sf_dir):
+    """A2."""
+    r = A.anomaly_rows(movements(spark, sf_dir))
+    return r.select("depot_name", "material_number", "document_date", "consumption_qty")
+
+
+@query("anomalies")
+def q_anomalies(spark, sf_dir):
+    """A3."""
+    return A.detect_anomalies(movements(spark, sf_dir))
+
+
+@query("anomalies_by_depot")
+def q_anomalies_by_depot(spark, sf_dir):
+    """A3 per depot."""
+    return A.detect_anomalies(movements(spark, sf_dir), DEPOT)
+
+
+# -- K --------------------------------------------------------------------------
+@query("search_movements")
+def q_search_movements(spark, sf_dir):
+    """K1 + K4 with a regex query."""
+    raw = fx.movements_raw(spark, sf_dir)
+    return K.search_movements(raw, N.normalise_movements(raw), "ring").drop("row_key")
+
+
+@query("search_movements_all")
+def q_search_movements_all(spark, sf_dir):
+    """K1 with an empty query: first 50 materials in input order."""
+    raw = fx.movements_raw(spark, sf_dir)
+    return K.search_movements(raw, N.normalise_movements(raw), "").drop("row_key")
+
+
+@query("search_catalog")
+def q_search_catalog(spark, sf_dir):
+    """K2."""
+    return K.search_catalog(P.materials_dim(movements(spark, sf_dir)), "bolt")
+
+
+@query("search_ranked")
+def q_search_ranked(spark, sf_dir):
+    """K3 + H3."""
+    return K.search_ranked(P.materials_dim(movements(spark, sf_dir)), "red")
+
+
+@query("dedupe_first")
+def q_dedupe_first(spark, sf_dir):
+    """K4: first raw row per material (null material is one group)."""
+    raw = fx.movements_raw(spark, sf_dir).withColumn(
+        "material_number", F.coalesce(F.col("Material"), F.lit("nan")))
+    d = K.dedupe_first(raw, "material_number")
+    return d.select("material_number", F.col("row_key.l_orderkey").alias("l_orderkey"),
+                    F.col("row_key.l_linenumber").alias("l_linenumber"), F.col("`Document Date`").alias("document_date"),
+                    F.col("Quantity").alias("quantity"))
+
+
+@query("non_moving_materials")
+def q_non_moving_materials(spark, sf_dir):
+    """K5."""
+    raw = fx.movements_raw(spark, sf_dir)
+    return K.non_moving_materials(raw, N.normalise_movements(raw))
+
+
+@query("non_moving_by_depot")
+def q_non_moving_by_depot(spark, sf_dir):
+    """K5 per depot."""
+    raw = fx.movements_raw(spark, sf_dir)
+    return K.non_moving_materials(raw, N.normalise_movements(raw), DEPOT)
+
+
+@query("non_moving_report")
+def q_non_moving_report(spark, sf_dir):
+    """K6."""
+    raw = fx.movements_raw(spark, sf_dir)
+    return K.non_moving_report(raw, N.normalise_movements(raw))
+
+
+# -- V --------------------------------------------------------------------------
+@query("vendor_scores")
+def q_vendor_scores(spark, sf_dir):
+    """V1."""
+    return V.vendor_scores(P.materials_dim(movements(spark, sf_dir)), fx.vendor_rules(spark))
+
+
+@query("vendor_fallback")
+def q_vendor_fallback(spark, sf_dir):
+    """V2."""
+    return V.vendor_fallback_match(P.materials_dim(movements(spark, sf_dir)), fx.vendor_fallback(spark))
+
+
+@query("assign_vendor")
+def q_assign_vendor(spark, sf_dir):
+    """V3."""
+    return _assigned(spark, sf_dir)
+
+
+@query("vendor_catalog")
+def q_vendor_catalog(spark, sf_dir):
+    """V4."""
+    return V.vendor_catalog(_assigned(spark, sf_dir), fx.vendors(spark))
+
+
+@query("vendor_contact")
+def q_vendor_contact(spark, sf_dir):
+    """V7."""
+    return V.vendor_contact(_assigned(spark, sf_dir), fx.vendors(spark)).select(
+        "material_number", "vendor", "contact", "phone")
+
+
+def _order_lines(spark, sf_dir):
+    mv = movements(spark, sf_dir)
+    basket = B.basket_current(fx.basket_events(spark, sf_dir))
+    return V.vendor_order_lines(basket, _assigned(spark, sf_dir, mv), P.max_unit_price(mv))
+
+
+@query("vendor_order_lines")
+def q_vendor_order_lines(spark, sf_dir):
+    """V5 lines."""
+    return _order_lines(spark, sf_dir).drop("_raw_total")
+
+
+@query("vendor_orders")
+def q_vendor_orders(spark, sf_dir):
+    """V5/V6 per (session, vendor)."""
+    return V.vendor_orders(_order_lines(spark, sf_dir), fx.vendors(spark))
+
+
+@query("vendor_order_edit")
+def q_vendor_order_edit(spark, sf_dir):
+    """V8."""
+    return V.edit_vendor_orders(_order_lines(spark, sf_dir), fx.order_edits(spark, sf_dir))
+
+
+# -- B --------------------------------------------------------------------------
+@query("basket_current")
+def q_basket_current(spark, sf_dir):
+    """B1-B4."""
+    return B.basket_current(fx.basket_events(spark, sf_dir))
+
+
+@query("basket_totals")
+def q_basket_totals(spark, sf_dir):
+    """B5."""
+    return B.basket_totals(B.basket_current(fx.basket_events(spark, sf_dir)))
+
+
+@query("order_lines")
+def q_order_lines(spark, sf_dir):
+    """B6."""
+    return B.order_lines(fx.basket_events(spark, sf_dir), _assigned(spark, sf_dir))
+
+
+@query("bulk_confirm_summary")
+def q_bulk_confirm_summary(spark, sf_dir):
+    """B7 over the vendor orders of every session."""
+    return B.bulk_confirm_summary(V.vendor_orders(_order_lines(spark, sf_dir), fx.vendors(spark)))
+
+
+@query("auto_basket")
+def q_auto_basket(spark, sf_dir):
+    """B8."""
+    mv = movements(spark, sf_dir)
+    pred = I.predict_inventory(P.material_patterns(mv, with_description=True), fx.stock(spark, sf_dir))
+    return B.auto_basket(pred)
+
+
+# -- R --------------------------------------------------------------------------
+@query("summary_report")
+def q_summary_report(spark, sf_dir):
+    """R1."""
+    mv = movements(spark, sf_dir)
+    return R.summary_report(mv, P.material_patterns(mv))
+
+
+@query("summary_report_by_depot")
+def q_summary_report_by_depot(spark, sf_dir):
+    """R1 per depot."""
+    mv = movements(spark, sf_dir)
+    return R.summary_report(mv, P.material_patterns(mv, DEPOT), DEPOT)
+
+
+@query("full_report_summary")
+def q_full_report_summary(spark, sf_dir):
+    """R2-R4."""
+    raw = fx.movements_raw(spark, sf_dir)
+    mv = N.normalise_movements(raw)
+    return R.full_report_summary(mv, P.material_patterns(mv), K.non_moving_materials(raw, mv))
+
+
+@query("full_report_summary_by_depot")
+def q_full_report_summary_by_depot(spark, sf_dir):
+    """R2-R4 per depot."""
+    raw = fx.movements_raw(spark, sf_dir)
+    mv = N.normalise_movements(raw)
+    return R.full_report_summary(mv, P.material_patterns(mv, DEPOT), K.non_moving_materials(raw, mv, DEPOT), DEPOT)

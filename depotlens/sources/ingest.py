@@ -105,7 +105,7 @@ def profile_source(raw: DataFrame, n_rows: int = 5, n_descriptions: int = 10) ->
     first = raw.orderBy("row_key").limit(n_rows)
     first = first.withColumn("_rn", F.row_number().over(Window.orderBy("row_key")))
     parts.append(first.select(F.lit("first_row").alias("section"), F.format_string("%03d", "_rn").alias("item"),
-                              F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("value")))
+                              F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols]).alias("value")))
     if desc:
         fd = raw.orderBy("row_key").limit(n_descriptions)
         fd = fd.withColumn("_rn", F.row_number().over(Window.orderBy("row_key")))
