@@ -29,3 +29,218 @@ SQL["tier_counts_by_depot"] = with_(*BASE, patterns_ctes(True), tiers_ctes(True)
 SELECT d.depot_name, t.tier, CAST(count(c.material_number) AS BIGINT) AS materials
 FROM (SELECT DISTINCT depot_name FROM cls) d CROSS JOIN {TIERS_VALUES}
 LEFT JOIN cls c ON c.tier = t.tier AND c.depot_name = d.depot_name GROUP BY d.depot_name, t.tier"""
+
+
+# ---------------------------------------------------------------------------
+# Literal side tables, rendered from the same constants as the Spark fixture.
+# ---------------------------------------------------------------------------
+from depotlens.sources import fixtures as _fx  # noqa: E402
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def _values(name: str, rows, cols: str, types: list[str]) -> str:
+    body = ", ".join("(" + ", ".join(f"CAST({_lit(v)} AS {t})" for v, t in zip(r, types)) + ")" for r in rows)
+    return f"\n{name} AS (SELECT * FROM (VALUES {body}) t({cols}))"
+
+
+RULES = _values("rules", _fx.VENDOR_RULES, "rule_id, vendor, keyword", ["INTEGER", "VARCHAR", "VARCHAR"])
+VENDS = _values("vend", _fx.VENDORS, "vendor_rank, vendor, contact, phone", ["INTEGER", "VARCHAR", "VARCHAR", "VARCHAR"])
+FALLB = _values("fb", _fx.VENDOR_FALLBACK, "priority, term, vendor", ["INTEGER", "VARCHAR", "VARCHAR"])
+ALIAS = _values("alias", _fx.DEPOT_ALIAS, "alias, depot_name", ["VARCHAR", "VARCHAR"])
+REQS = _values("reqs", _fx.REQUESTS, "request_id, text, current_qty", ["INTEGER", "VARCHAR", "DOUBLE"])
+
+MATS1 = """
+mats1 AS (
+  SELECT material_number,
+         arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description
+  FROM mv GROUP BY material_number
+)"""
+
+VENDOR_CTES = f"""{RULES},{VENDS},{FALLB},
+txt AS (
+  SELECT material_number, description, lower(coalesce(description, '')) AS d,
+         lower(coalesce(description, '')) || ' ' || lower(material_number) AS t
+  FROM mats1
+),
+scores AS (
+  SELECT x.material_number, r.vendor,
+    CAST(sum((CASE WHEN trim(lower(r.keyword)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(lower(r.keyword)), '\\s+')) END)
+             * (CASE WHEN contains(x.d, lower(r.keyword)) THEN 2 ELSE 1 END)) AS BIGINT) AS score
+  FROM txt x JOIN rules r ON contains(x.t, lower(r.keyword))
+  GROUP BY x.material_number, r.vendor
+),
+best AS (
+  SELECT s.material_number, arg_max(s.vendor, (s.score, -coalesce(v.vendor_rank, 2147483647))) AS rule_vendor, max(s.score) AS score
+  FROM scores s LEFT JOIN vend v ON s.vendor = v.vendor WHERE s.score > 0 GROUP BY s.material_number
+),
+fbm AS (
+  SELECT x.material_number, arg_min(f.vendor, (f.priority, f.vendor)) AS fallback_vendor
+  FROM txt x JOIN fb f ON f.term IS NULL OR contains(x.t, lower(f.term))
+  GROUP BY x.material_number
+),
+assigned AS (
+  SELECT x.material_number, x.description, coalesce(b.rule_vendor, f.fallback_vendor) AS vendor,
+         coalesce(b.score, 0) AS score, CASE WHEN b.rule_vendor IS NULL THEN 'fallback' ELSE 'rules' END AS basis
+  FROM txt x LEFT JOIN best b USING (material_number) LEFT JOIN fbm f USING (material_number)
+)"""
+
+
+def ftext(x: str) -> str:
+    """Python str(float) for whole values ('12.0'), cast otherwise."""
+    return f"(CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({x} AS VARCHAR) END)"
+
+
+def _predict_select(g: str, vendor: bool) -> str:
+    a = "p.avg_monthly_consumption"
+    q = "s.current_qty"
+    status = f"""(CASE WHEN {a} = 0 THEN 'No-Consumption' WHEN {q} > {a} * 1.1::DOUBLE THEN 'Excess'
+                      WHEN {q} >= {a} THEN 'Adequate' WHEN {q} >= {a} * 0.5::DOUBLE THEN 'Low' ELSE 'Critical' END)"""
+    mtype = f"""(CASE WHEN {a} = 0 THEN 'Non-Moving' WHEN {a} < 0.5 THEN 'Infrequent' WHEN {a} < 2 THEN 'Slow-Moving' ELSE 'Regular' END)"""
+    order = f"""(CASE WHEN {a} < 2 THEN 0 ELSE greatest(0, CAST(trunc({a} * 1.1::DOUBLE - {q}) AS BIGINT)) END)"""
+    yearly = f"""(CASE WHEN {a} = 0 THEN p.total_annual_consumption ELSE {a} * 12 END)"""
+    advice = f"""(CASE {status} WHEN 'Excess' THEN 'Consider reducing inventory levels' WHEN 'Adequate' THEN 'Inventory levels are appropriate'
+                 WHEN 'Low' THEN 'Consider reordering soon' WHEN 'Critical' THEN 'Immediate reorder required' END)"""
+    recs = f"""(CASE WHEN {mtype} = 'Non-Moving' THEN 'Order only when specifically needed | Avoid routine ordering to prevent excess inventory'
+                WHEN {mtype} IN ('Infrequent', 'Slow-Moving') THEN {advice} || ' | Annual consumption is ' || CAST({yearly} AS VARCHAR) || ' units'
+                ELSE {advice} END)"""
+    cv = f"(CASE WHEN {a} = 0 THEN 0.0 ELSE p.coefficient_of_variation END)"
+    ok = "p.material_number IS NOT NULL"
+    v = ", CASE WHEN " + ok + " THEN asg.vendor END AS vendor" if vendor else ""
+    return f"""
+SELECT {g}s.material_number, {ok} AS found, CASE WHEN NOT ({ok}) THEN 'Material not found' END AS error,
+  {q} AS current_quantity,
+  CAST(CASE WHEN {ok} THEN {a} END AS DOUBLE) AS avg_monthly_consumption,
+  CAST(CASE WHEN {ok} THEN {order} END AS DOUBLE) AS order_quantity,
+  CASE WHEN {ok} THEN round_even(p.max_unit_price * 100, 0) / 100 END AS unit_price,
+  CASE WHEN {ok} THEN round_even({order} * p.max_unit_price * 100, 0) / 100 END AS order_amount,
+  CASE WHEN {ok} AND {a} <> 0 THEN round_even({q} / {a} * 10, 0) / 10 END AS coverage_months,
+  CASE WHEN {ok} AND {a} = 0 THEN 'Unlimited' END AS coverage_label,
+  CASE WHEN {ok} THEN {status} || ' - ' || {mtype} END AS status,
+  CASE WHEN {ok} THEN {mtype} END AS material_type,
+  CASE WHEN {ok} THEN {status} END AS quantity_status,
+  CASE WHEN {ok} THEN {recs} END AS recommendations,
+  CASE WHEN {ok} THEN CASE WHEN {cv} IS NULL OR {cv} < 0 THEN 'CV: N/A' ELSE printf('CV: %.2f', {cv}) END END AS demand_variability,
+  CAST(CASE WHEN {ok} THEN CAST({yearly} AS BIGINT) END AS DOUBLE) AS yearly_consumption,
+  CASE WHEN {ok} THEN {status} IN ('Critical', 'Low') AND {order} > 0 END AS add_to_cart_eligible,
+  CASE WHEN {ok} THEN m.description END AS description{v}"""
+
+
+SQL["predict_inventory"] = with_(*BASE, patterns_ctes(False), STOCK, MATS1, VENDOR_CTES) + _predict_select("", True) + """
+FROM stock s LEFT JOIN patb p ON s.material_number = p.material_number
+LEFT JOIN mats1 m ON s.material_number = m.material_number
+LEFT JOIN assigned asg ON s.material_number = asg.material_number"""
+
+SQL["predict_inventory_by_depot"] = with_(*BASE, patterns_ctes(True), STOCK) + _predict_select("p.depot_name, ", False) + """
+FROM stock s LEFT JOIN patb p ON s.material_number = p.material_number
+LEFT JOIN mats m ON p.depot_name = m.depot_name AND p.material_number = m.material_number"""
+
+SQL["movement_rejects"] = with_(RAW, TYPED) + """
+SELECT reason, CAST(count(*) AS BIGINT) AS "rows" FROM (
+  SELECT CASE WHEN material_number IS NULL OR material_number = 'nan' THEN 'material'
+              WHEN document_date IS NULL THEN 'date'
+              WHEN consumption_qty IS NULL OR consumption_qty <= 0 THEN 'quantity'
+              WHEN amount IS NULL OR amount < 0 THEN 'amount' END AS reason
+  FROM typed
+  WHERE NOT coalesce(consumption_qty > 0 AND amount >= 0 AND material_number <> 'nan' AND document_date IS NOT NULL, false)
+) GROUP BY reason"""
+
+_COLS = ["Name 1", "Material", "Material Description", "Document Date", "Quantity", "Amount"]
+_ROLES = [("date", "Document Date"), ("quantity", "Quantity"), ("material", "Material"),
+          ("description", "Material Description"), ("amount", "Amount")]
+_META = ", ".join([f"('column', '{i:03d}', '{c}')" for i, c in enumerate(_COLS)] + [f"('role', '{r}', '{c}')" for r, c in _ROLES])
+SQL["profile_source"] = with_(RAW) + f""",
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS rn FROM raw
+)
+SELECT * FROM (VALUES {_META}) t(section, item, value)
+UNION ALL SELECT 'rows', 'count', CAST(count(*) AS VARCHAR) FROM raw
+UNION ALL SELECT 'depot', coalesce(depot_raw, ''), CAST(count(*) AS VARCHAR) FROM raw GROUP BY depot_raw
+UNION ALL SELECT 'first_row', printf('%03d', rn), concat_ws('|', coalesce(depot_raw, ''), coalesce(material_raw, ''),
+  coalesce(desc_raw, ''), coalesce(date_raw, ''), coalesce(qty_raw, ''), coalesce(amount_raw, '')) FROM ordered WHERE rn <= 5
+UNION ALL SELECT 'first_description', printf('%03d', rn), coalesce(desc_raw, '') FROM ordered WHERE rn <= 10"""
+
+_MV_ASIA = MV.replace("mv AS (", "mv_all AS (") + ",\nmv AS (SELECT * FROM mv_all WHERE depot_name = 'ASIA Depot')"
+SQL["depot_patterns_exact"] = with_(RAW, TYPED, _MV_ASIA, patterns_ctes(False)) + f"\nSELECT {PATTERN_SELECT} FROM patb"
+
+SQL["depot_filter_like"] = with_(RAW) + """
+SELECT depot_raw AS depot_name, CAST(count(*) AS BIGINT) AS "rows" FROM raw
+WHERE coalesce(regexp_matches(depot_raw, '(?i)asia|europe'), false) GROUP BY depot_raw"""
+
+SQL["depot_alias"] = "WITH" + ALIAS + """,
+keys AS (
+  SELECT lower(r_name) AS depot_key FROM region
+  UNION ALL SELECT r_name || ' Depot' FROM region
+  UNION ALL SELECT 'depot-' || CAST(r_regionkey AS VARCHAR) FROM region
+)
+SELECT k.depot_key, coalesce(a.depot_name, k.depot_key) AS depot_name FROM keys k LEFT JOIN alias a ON k.depot_key = a.alias"""
+
+SQL["monthly_consumption"] = with_(*BASE) + """
+SELECT material_number, month, sum(consumption_qty) AS qty FROM mv GROUP BY material_number, month"""
+
+SQL["materials_dim"] = with_(*BASE, MATS1) + "\nSELECT material_number, description FROM mats1"
+
+SQL["max_unit_price"] = with_(*BASE) + """
+SELECT material_number, coalesce(max(CASE WHEN amount > 0 AND consumption_qty > 0 THEN amount / consumption_qty END), 0.0) AS max_unit_price
+FROM mv GROUP BY material_number"""
+
+_OV = """CAST(count(DISTINCT material_number) AS BIGINT) AS unique_materials, CAST(count(*) AS BIGINT) AS valid_rows,
+  strftime(min(document_date), '%d-%m-%Y') AS start_date, strftime(max(document_date), '%d-%m-%Y') AS end_date"""
+SQL["dataset_overview"] = with_(*BASE) + f"\nSELECT {_OV} FROM mv"
+SQL["dataset_overview_by_depot"] = with_(*BASE) + f"\nSELECT depot_name, {_OV} FROM mv GROUP BY depot_name"
+
+SQL["seasonal_overview"] = with_(*BASE, patterns_ctes(False)) + """
+SELECT CAST(count(*) AS BIGINT) AS materials_analyzed, CAST(trunc(avg(avg_monthly_consumption)) AS BIGINT) AS avg_consumption_overall,
+  (SELECT material_number FROM patb ORDER BY avg_monthly_consumption DESC, material_number LIMIT 1) AS most_consumed_material,
+  max(avg_monthly_consumption) AS most_consumed_avg
+FROM patb"""
+SQL["seasonal_overview_by_depot"] = with_(*BASE, patterns_ctes(True)) + """,
+top AS (SELECT depot_name, material_number, row_number() OVER (PARTITION BY depot_name ORDER BY avg_monthly_consumption DESC, material_number) AS rn FROM patb)
+SELECT p.depot_name, CAST(count(*) AS BIGINT) AS materials_analyzed, CAST(trunc(avg(avg_monthly_consumption)) AS BIGINT) AS avg_consumption_overall,
+  any_value(t.material_number) AS most_consumed_material, max(avg_monthly_consumption) AS most_consumed_avg
+FROM patb p JOIN top t ON p.depot_name = t.depot_name AND t.rn = 1 GROUP BY p.depot_name"""
+
+SQL["high_velocity_count"] = with_(*BASE, patterns_ctes(False)) + """
+SELECT CAST(count(*) FILTER (WHERE avg_monthly_consumption >= (SELECT quantile_cont(avg_monthly_consumption, 0.9) FROM patb)) AS BIGINT)
+  AS high_velocity_items FROM patb"""
+
+_MONTHS = "(SELECT CAST(range AS BIGINT) AS month FROM range(1, 13))"
+_MNAME = "strftime(make_date(2000, CAST(month AS INT), 1), '%B')"
+SQL["peak_month_histogram"] = with_(*BASE, patterns_ctes(False)) + f"""
+SELECT m.month, strftime(make_date(2000, CAST(m.month AS INT), 1), '%B') AS month_name,
+  CAST(count(p.material_number) AS BIGINT) AS peak_materials, CAST(0 AS BIGINT) AS total_consumption
+FROM {_MONTHS} m LEFT JOIN patb p ON p.peak_month = m.month GROUP BY m.month"""
+SQL["peak_month_histogram_by_depot"] = with_(*BASE, patterns_ctes(True)) + f"""
+SELECT d.depot_name, m.month, strftime(make_date(2000, CAST(m.month AS INT), 1), '%B') AS month_name,
+  CAST(count(p.material_number) AS BIGINT) AS peak_materials, CAST(0 AS BIGINT) AS total_consumption
+FROM (SELECT DISTINCT depot_name FROM patb) d CROSS JOIN {_MONTHS} m
+LEFT JOIN patb p ON p.peak_month = m.month AND p.depot_name = d.depot_name GROUP BY d.depot_name, m.month"""
+
+SQL["tier_thresholds_by_depot"] = with_(*BASE, patterns_ctes(True), tiers_ctes(True)) + "\nSELECT depot_name, p80, p50 FROM th"
+
+SQL["classify_materials"] = with_(*BASE, patterns_ctes(False), tiers_ctes(False)) + """
+SELECT material_number, avg_monthly_consumption, coefficient_of_variation, tier FROM cls"""
+
+_TD = """tier, c.material_number, coalesce(m.description, 'N/A') AS description, avg_monthly_consumption AS avg_consumption,
+  total_annual_consumption AS total_consumption"""
+SQL["tier_detail"] = with_(*BASE, patterns_ctes(False), tiers_ctes(False), MATS1) + f"""
+SELECT {_TD}, coalesce(strftime(make_date(2000, CAST(peak_month AS INT), 1), '%B'), 'N/A') AS peak_month,
+  coefficient_of_variation,
+  CASE WHEN avg_monthly_consumption > 0 THEN CAST(trunc(avg_monthly_consumption * 1.1::DOUBLE) AS BIGINT) ELSE 0 END AS coverage_needed
+FROM cls c LEFT JOIN mats1 m ON c.material_number = m.material_number"""
+
+SQL["tier_detail_lite"] = with_(*BASE, patterns_ctes(False), tiers_ctes(False, "cv_rounded_basis"), MATS1) + f"""
+SELECT {_TD}, cv_rounded_basis AS coefficient_of_variation
+FROM cls c LEFT JOIN mats1 m ON c.material_number = m.material_number"""
+
+SQL["tier_detail_display"] = with_(*BASE, patterns_ctes(False), tiers_ctes(False), MATS1) + """
+SELECT tier, CAST(row_number() OVER (PARTITION BY tier ORDER BY c.material_number) AS BIGINT) AS serial_no, c.material_number,
+  CASE WHEN length(coalesce(m.description, 'N/A')) > 40 THEN substr(coalesce(m.description, 'N/A'), 1, 40) || '...' ELSE coalesce(m.description, 'N/A') END AS description_short,
+  CASE WHEN coefficient_of_variation IS NULL THEN NULL WHEN coefficient_of_variation = 0 THEN 'N/A' ELSE printf('%.2f', coefficient_of_variation) END AS cv_text
+FROM cls c LEFT JOIN mats1 m ON c.material_number = m.material_number"""

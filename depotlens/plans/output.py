@@ -20,3 +20,9 @@ def flat(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def nullable_ints_as_double(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Integer columns that are null on some rows (e.g. not-found stock rows)
+    as double, so every consumer (pandas included) sees one numeric type."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -16,7 +16,7 @@ from depotlens.operators import patterns as P
 from depotlens.operators import segments as C
 from depotlens.operators import stock as I
 from depotlens.operators import vendors as V
-from depotlens.plans.output import flat
+from depotlens.plans.output import flat, nullable_ints_as_double
 from depotlens.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,10 @@ PATTERN_COLS = ["material_number", "n_months", "observed_months", "avg_monthly_c
                 "cv_rounded_basis", "max_unit_price"]
 
 
+PREDICT_INTS = ["avg_monthly_consumption", "order_quantity", "yearly_consumption"]
+STATUS_INTS = ["avg_monthly_consumption", "peak_consumption", "low_consumption", "order_quantity"]
+
+
 def _assigned(spark, sf_dir, mv=None, by=()):
     mv = mv if mv is not None else movements(spark, sf_dir)
     mats = P.materials_dim(mv, list(by))
@@ -90,7 +94,7 @@ def q_predict_inventory(spark, sf_dir):
     mv = movements(spark, sf_dir)
     pat = P.material_patterns(mv, with_description=True)
     out = I.predict_inventory(pat, fx.stock(spark, sf_dir), _assigned(spark, sf_dir, mv))
-    return out.drop("_max_unit_price")
+    return nullable_ints_as_double(out.drop("_max_unit_price"), PREDICT_INTS)
 
 
 # -- more N / S: sources, cleaning, depots --------------------------------------
@@ -247,14 +251,16 @@ def q_predict_inventory_by_depot(spark, sf_dir):
     """I1-I8 per depot (stock rows scored against every depot)."""
     mv = movements(spark, sf_dir)
     pat = P.material_patterns(mv, DEPOT, with_description=True)
-    return I.predict_inventory(pat, fx.stock(spark, sf_dir), by=DEPOT).drop("_max_unit_price")
+    out = I.predict_inventory(pat, fx.stock(spark, sf_dir), by=DEPOT).drop("_max_unit_price")
+    return nullable_ints_as_double(out, PREDICT_INTS)
 
 
 @query("predict_status")
 def q_predict_status(spark, sf_dir):
     """I9, I11, I12 on the rounded-basis statistics."""
     mv = movements(spark, sf_dir)
-    return I.predict_status_b(P.material_patterns(mv, with_description=True), fx.stock(spark, sf_dir))
+    out = I.predict_status_b(P.material_patterns(mv, with_description=True), fx.stock(spark, sf_dir))
+    return nullable_ints_as_double(out, STATUS_INTS)
 
 
 @query("busy_slow_months")
@@ -298,8 +304,9 @@ def q_resolve_requests(spark, sf_dir):
     pred = pred.select(F.col("material_number").alias("_m"), F.col("current_quantity").alias("_q"),
                        F.col("status").alias("predicted_status"), F.col("order_quantity").alias("predicted_order"))
     j = res.join(pred, (res.material_number == pred._m) & (res.current_qty == pred._q), "left")
-    return j.select("request_id", "text", "current_qty", "match_type", "material_number", "match_count",
-                    "predicted_status", "predicted_order")
+    out = j.select("request_id", "text", "current_qty", "match_type", "material_number", "match_count",
+                   "predicted_status", "predicted_order")
+    return nullable_ints_as_double(out, ["predicted_order"])
 
 
 # -- H --------------------------------------------------------------------------
