@@ -244,3 +244,374 @@ SELECT tier, CAST(row_number() OVER (PARTITION BY tier ORDER BY c.material_numbe
   CASE WHEN length(coalesce(m.description, 'N/A')) > 40 THEN substr(coalesce(m.description, 'N/A'), 1, 40) || '...' ELSE coalesce(m.description, 'N/A') END AS description_short,
   CASE WHEN coefficient_of_variation IS NULL THEN NULL WHEN coefficient_of_variation = 0 THEN 'N/A' ELSE printf('%.2f', coefficient_of_variation) END AS cv_text
 FROM cls c LEFT JOIN mats1 m ON c.material_number = m.material_number"""
+
+
+def _status_b_select() -> str:
+    a = "CAST(p.avg_monthly_consumption AS DOUBLE)"
+    q = "s.current_qty"
+    st = f"(CASE WHEN {q} > {a} * 1.1::DOUBLE THEN 'Excess' WHEN {q} >= {a} THEN 'Adequate' WHEN {q} >= {a} * 0.5::DOUBLE THEN 'Low' ELSE 'Critical' END)"
+    cv = "p.cv_rounded_basis"
+    opt = f"CAST(trunc({a} * 1.1::DOUBLE) AS BIGINT)"
+    high = f"CAST(trunc({a} * 1.3::DOUBLE) AS BIGINT)"
+    rec = f"""(CASE WHEN {st} IN ('Low', 'Critical') THEN
+                 CASE WHEN {cv} > 1.0 THEN 'URGENT: Order ' || {ftext(f"({high} - {q})")} || ' units. High variability - maintain ' || CAST({high} AS VARCHAR) || ' units.'
+                      ELSE 'Order ' || {ftext(f"({opt} - {q})")} || ' units. Target: ' || CAST({opt} AS VARCHAR) || ' units.' END
+               WHEN {st} = 'Adequate' THEN
+                 CASE WHEN {cv} > 1.0 THEN 'Stock adequate but monitor closely. Consider increasing to ' || CAST(CAST(trunc({a} * 1.2::DOUBLE) AS BIGINT) AS VARCHAR) || ' units before peak season.'
+                      ELSE 'Stock level appropriate. Maintain ' || CAST({opt} AS VARCHAR) || ' units as optimal.' END
+               ELSE 'Excess stock. Current: ' || {ftext(q)} || ', Optimal: ' || CAST({opt} AS VARCHAR) ||
+                 CASE WHEN {cv} > 1.0 THEN '. Reduce ordering but keep extra due to variability.' ELSE '. Stop ordering until stock reduces.' END END)"""
+    interp = f"(CASE WHEN {cv} < 0.3 THEN 'Highly predictable demand' WHEN {cv} < 0.7 THEN 'Moderately predictable demand' WHEN {cv} < 1.2 THEN 'Variable demand pattern' ELSE 'Highly unpredictable demand' END)"
+    short = f"greatest(0.0, {a} - {q})"
+    show = f"({st} IN ('Low', 'Critical') AND {short} > 0)"
+    ok = "p.material_number IS NOT NULL"
+    return f"""
+SELECT s.material_number, {ok} AS found, CASE WHEN NOT ({ok}) THEN 'Material number not found' END AS error,
+  CASE WHEN {ok} THEN coalesce(m.description, 'N/A') END AS material_description, {q} AS current_quantity,
+  CASE WHEN {ok} THEN {st} END AS status,
+  CAST(CASE WHEN {ok} THEN p.avg_monthly_consumption END AS DOUBLE) AS avg_monthly_consumption,
+  CASE WHEN {ok} AND p.avg_monthly_consumption > 0 THEN round_even({q} / {a} * 10, 0) / 10 END AS months_coverage,
+  CAST(CASE WHEN {ok} THEN p.peak_consumption END AS DOUBLE) AS peak_consumption,
+  CASE WHEN {ok} THEN p.peak_month_name END AS peak_month,
+  CAST(CASE WHEN {ok} THEN p.low_consumption END AS DOUBLE) AS low_consumption,
+  CASE WHEN {ok} THEN p.low_month_name END AS low_month,
+  CASE WHEN {ok} THEN {cv} END AS coefficient_of_variation,
+  CASE WHEN {ok} THEN {interp} END AS cv_interpretation,
+  CASE WHEN {ok} THEN {rec} END AS recommendation,
+  CAST(CASE WHEN {ok} THEN CASE WHEN {q} >= {a} THEN 0 ELSE CAST(trunc({a} * 1.1::DOUBLE - {q}) AS BIGINT) END END AS DOUBLE) AS order_quantity,
+  CASE WHEN {ok} THEN printf('CV: %.2f', {cv}) END AS demand_variability,
+  CASE WHEN {ok} AND {show} THEN {short} END AS shortfall,
+  CASE WHEN {ok} AND NOT {show} AND {q} > {a} THEN {q} - {a} END AS surplus"""
+
+
+SQL["predict_status"] = with_(*BASE, patterns_ctes(False), STOCK, MATS1) + _status_b_select() + """
+FROM stock s LEFT JOIN patb p ON s.material_number = p.material_number LEFT JOIN mats1 m ON s.material_number = m.material_number"""
+
+SQL["busy_slow_months"] = with_(*BASE) + """,
+p1 AS (SELECT material_number, month, sum(consumption_qty) AS qty FROM mv GROUP BY material_number, month),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY material_number) AS n,
+    row_number() OVER (PARTITION BY material_number ORDER BY qty DESC, month) AS rb,
+    row_number() OVER (PARTITION BY material_number ORDER BY qty, month) AS rs,
+    row_number() OVER (PARTITION BY material_number ORDER BY month) AS rm
+  FROM p1 WHERE qty > 0
+)
+SELECT material_number, 'busy' AS kind, CAST(CASE WHEN n >= 3 THEN rb ELSE rm END AS BIGINT) AS position,
+  strftime(make_date(2000, CAST(month AS INT), 1), '%B') AS month_name, CAST(round_even(qty, 0) AS BIGINT) AS consumption
+FROM r WHERE n < 3 OR rb <= 3
+UNION ALL
+SELECT material_number, 'slow', CAST(CASE WHEN n >= 3 THEN rs ELSE rm END AS BIGINT),
+  strftime(make_date(2000, CAST(month AS INT), 1), '%B'), CAST(round_even(qty, 0) AS BIGINT)
+FROM r WHERE n < 3 OR rs <= 3"""
+
+SQL["usage_labels"] = with_(*BASE, patterns_ctes(False)) + """
+SELECT material_number, avg_monthly_consumption,
+  CASE WHEN avg_monthly_consumption > 0 THEN CASE WHEN avg_monthly_consumption < 0.5 THEN 'Infrequent'
+       WHEN avg_monthly_consumption < 2 THEN 'Slow-Moving' ELSE 'Regular' END END AS usage_label,
+  CASE WHEN cv_rounded_basis < 0.3 THEN 'Highly predictable demand' WHEN cv_rounded_basis < 0.7 THEN 'Moderately predictable demand'
+       WHEN cv_rounded_basis < 1.2 THEN 'Variable demand pattern' ELSE 'Highly unpredictable demand' END AS cv_interpretation
+FROM patb"""
+
+SQL["stock_validation"] = """
+WITH e AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS material_number,
+    CASE WHEN p_partkey % 97 = 3 THEN 'n/a' WHEN p_partkey % 89 = 5 THEN '-' || CAST(p_size AS VARCHAR)
+         WHEN p_partkey % 83 = 7 THEN NULL ELSE CAST(p_size * 2 AS VARCHAR) END AS raw_qty
+  FROM part
+), v AS (
+  SELECT material_number, raw_qty, try_cast(raw_qty AS DOUBLE) AS num,
+    CASE WHEN raw_qty IS NULL THEN 'current quantity is required'
+         WHEN try_cast(raw_qty AS DOUBLE) IS NULL OR isnan(try_cast(raw_qty AS DOUBLE)) THEN 'current quantity must be a number'
+         WHEN try_cast(raw_qty AS DOUBLE) < 0 THEN 'current quantity must not be negative' END AS input_error
+  FROM e
+)
+SELECT material_number, CASE WHEN input_error IS NULL THEN num END AS current_qty, input_error FROM v"""
+
+SQL["resolve_requests"] = with_(*BASE, patterns_ctes(False), MATS1, REQS) + """,
+hits AS (
+  SELECT r.request_id, m.material_number,
+    row_number() OVER (PARTITION BY r.request_id ORDER BY m.material_number) AS rn
+  FROM reqs r JOIN mats1 m ON length(r.text) >= 2 AND contains(lower(coalesce(m.description, '')), lower(trim(r.text)))
+),
+cnt AS (SELECT request_id, count(*) AS match_count, min(material_number) AS only_m FROM hits WHERE rn <= 10 GROUP BY request_id),
+res AS (
+  SELECT r.request_id, r.text, r.current_qty,
+    CASE WHEN d.material_number IS NOT NULL THEN 'direct_match' WHEN coalesce(c.match_count, 0) = 0 THEN 'no_matches'
+         WHEN c.match_count = 1 THEN 'single_match' ELSE 'multiple_matches' END AS match_type,
+    CASE WHEN d.material_number IS NOT NULL THEN r.text WHEN c.match_count = 1 THEN c.only_m END AS material_number,
+    CAST(CASE WHEN d.material_number IS NOT NULL THEN 1 ELSE coalesce(c.match_count, 0) END AS BIGINT) AS match_count
+  FROM reqs r LEFT JOIN mats1 d ON d.material_number = r.text LEFT JOIN cnt c ON c.request_id = r.request_id
+),
+s AS (SELECT * FROM res WHERE material_number IS NOT NULL AND current_qty IS NOT NULL),
+pred AS (""" + _status_b_select().replace("SELECT s.material_number,", "SELECT s.request_id, s.material_number,") + """
+  FROM s LEFT JOIN patb p ON s.material_number = p.material_number LEFT JOIN mats1 m ON s.material_number = m.material_number)
+SELECT res.request_id, res.text, res.current_qty, res.match_type, res.material_number, res.match_count,
+  pred.status AS predicted_status, pred.order_quantity AS predicted_order
+FROM res LEFT JOIN pred ON res.request_id = pred.request_id"""
+
+SQL["high_demand_by_month"] = with_(*BASE, patterns_ctes(False)) + """,
+th AS (SELECT month, quantile_cont(qty, 0.75) AS threshold FROM dense GROUP BY month),
+ranked AS (
+  SELECT d.month, d.material_number, d.qty, th.threshold,
+    row_number() OVER (PARTITION BY d.month ORDER BY d.qty DESC, d.material_number) AS rank
+  FROM dense d JOIN th USING (month) WHERE d.qty >= th.threshold
+)
+SELECT CAST(month AS BIGINT) AS month, strftime(make_date(2000, CAST(month AS INT), 1), '%B') AS month_name,
+  CAST(rank AS BIGINT) AS rank, material_number, CAST(trunc(qty) AS BIGINT) AS consumption,
+  CAST(trunc(qty * 1.1::DOUBLE) AS BIGINT) AS recommended_stock, threshold
+FROM ranked WHERE rank <= 50 AND qty > 0"""
+
+SQL["top_consumers"] = with_(*BASE, patterns_ctes(False)) + """
+SELECT material_number, avg_monthly_consumption, total_annual_consumption,
+  CAST(row_number() OVER (ORDER BY avg_monthly_consumption DESC, material_number) AS BIGINT) AS rank
+FROM patb ORDER BY avg_monthly_consumption DESC, material_number LIMIT 10"""
+SQL["top_consumers_by_depot"] = with_(*BASE, patterns_ctes(True)) + """
+SELECT * FROM (
+  SELECT depot_name, material_number, avg_monthly_consumption, total_annual_consumption,
+    CAST(row_number() OVER (PARTITION BY depot_name ORDER BY avg_monthly_consumption DESC, material_number) AS BIGINT) AS rank
+  FROM patb) WHERE rank <= 10"""
+
+_ASTATS = """
+ast AS (
+  SELECT {g}avg(consumption_qty) AS mean, stddev_samp(consumption_qty) AS std, quantile_cont(consumption_qty, 0.99) AS q99
+  FROM mv {gb}
+),
+ath AS (SELECT *, greatest(q99, mean + 3.0 * std) AS threshold FROM ast),
+arows AS (SELECT mv.*, ath.threshold FROM mv JOIN ath {on} WHERE mv.consumption_qty > ath.threshold)"""
+
+
+def _anom(by: bool) -> str:
+    return _ASTATS.format(g="depot_name, " if by else "", gb="GROUP BY depot_name" if by else "",
+                          on="USING (depot_name)" if by else "ON TRUE")
+
+
+SQL["anomaly_summary"] = with_(*BASE, _anom(False)) + """
+SELECT CAST(trunc(threshold) AS BIGINT) AS threshold_high, CAST(trunc(q99) AS BIGINT) AS q99_percentile,
+  CAST(trunc(mean) AS BIGINT) AS mean, CAST(trunc(std) AS BIGINT) AS std,
+  (SELECT CAST(count(*) AS BIGINT) FROM arows) AS total_anomalous_records
+FROM ath"""
+SQL["anomaly_rows"] = with_(*BASE, _anom(False)) + """
+SELECT depot_name, material_number, strftime(document_date, '%Y-%m-%d') AS document_date, consumption_qty FROM arows"""
+
+_AGG = """material_number,
+  arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description,
+  CAST(trunc(max(consumption_qty)) AS BIGINT) AS max_consumption,
+  CAST(trunc(round_even(avg(consumption_qty) * 100, 0) / 100) AS BIGINT) AS avg_high_consumption,
+  CAST(count(*) AS BIGINT) AS high_consumption_instances, 'Unusually High Consumption' AS anomaly_type,
+  CAST(trunc(any_value(threshold)) AS BIGINT) AS threshold_used"""
+SQL["anomalies"] = with_(*BASE, _anom(False)) + f"\nSELECT {_AGG} FROM arows GROUP BY material_number"
+SQL["anomalies_by_depot"] = with_(*BASE, _anom(True)) + f"\nSELECT depot_name, {_AGG} FROM arows GROUP BY depot_name, material_number"
+
+
+def _search(where: str) -> str:
+    return with_(*BASE) + f""",
+r AS (
+  SELECT *, coalesce(material_raw, 'nan') AS m, coalesce(desc_raw, 'nan') AS d FROM raw {where}
+),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS rn FROM r)
+  WHERE rn = 1 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity LIMIT 50
+),
+pr AS (SELECT material_number, max(CASE WHEN amount > 0 THEN amount / consumption_qty END) AS p FROM mv GROUP BY material_number),
+f2 AS (
+  SELECT f.*, try_cast(qty_raw AS DOUBLE) AS q, try_cast(amount_raw AS DOUBLE) AS a,
+    CAST(coalesce(try_strptime(date_raw, '%d-%m-%Y'), try_strptime(date_raw, '%Y-%m-%d'),
+                  try_strptime(date_raw, '%m/%d/%Y'), try_strptime(date_raw, '%d/%m/%Y'),
+                  try_cast(date_raw AS TIMESTAMP)) AS DATE) AS dt
+  FROM firsts f
+)
+SELECT m AS material_number, d AS description, coalesce(q, 0.0) AS quantity, coalesce(a, 0.0) AS amount,
+  coalesce(pr.p, 0.0) AS unit_price, strftime(dt, '%Y-%m-%d') AS date, strftime(dt, '%B') AS month,
+  CAST(year(dt) AS BIGINT) AS year
+FROM f2 LEFT JOIN pr ON f2.m = pr.material_number
+WHERE (qty_raw IS NULL OR q IS NOT NULL) AND (amount_raw IS NULL OR a IS NOT NULL) AND dt IS NOT NULL"""
+
+
+SQL["search_movements"] = _search("WHERE regexp_matches(coalesce(material_raw, 'nan'), '(?i)ring') OR regexp_matches(coalesce(desc_raw, 'nan'), '(?i)ring')")
+SQL["search_movements_all"] = _search("")
+
+SQL["search_catalog"] = with_(*BASE, MATS1) + """
+SELECT material_number, description FROM mats1
+WHERE contains(lower(material_number), 'bolt') OR contains(lower(coalesce(description, '')), 'bolt')
+ORDER BY material_number LIMIT 20"""
+
+SQL["search_ranked"] = with_(*BASE, MATS1) + """,
+hits AS (SELECT * FROM mats1 WHERE contains(lower(coalesce(description, '')), 'red') ORDER BY material_number LIMIT 20)
+SELECT material_number, description,
+  CAST(row_number() OVER (ORDER BY CASE WHEN starts_with(lower(description), 'red') THEN 0 ELSE 1 END, length(description), material_number) AS BIGINT) AS rank
+FROM hits"""
+
+SQL["dedupe_first"] = with_(RAW) + """
+SELECT material_number, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, date_raw AS document_date, qty_raw AS quantity FROM (
+  SELECT *, coalesce(material_raw, 'nan') AS material_number,
+    row_number() OVER (PARTITION BY coalesce(material_raw, 'nan') ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS rn
+  FROM raw) WHERE rn = 1"""
+
+
+def _nonmoving(by: bool) -> str:
+    g = "depot_name, " if by else ""
+    return with_(*BASE) + f""",
+cand AS (
+  SELECT {g}material_number,
+    arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description
+  FROM typed WHERE material_number IS NOT NULL AND material_number <> 'nan' GROUP BY {g}material_number
+),
+nm AS (
+  SELECT {g}material_number, coalesce(description, 'N/A') AS description FROM cand c
+  WHERE NOT EXISTS (SELECT 1 FROM mv WHERE mv.material_number = c.material_number {"AND mv.depot_name = c.depot_name" if by else ""})
+)"""
+
+
+SQL["non_moving_materials"] = _nonmoving(False) + "\nSELECT material_number, description FROM nm"
+SQL["non_moving_by_depot"] = _nonmoving(True) + "\nSELECT depot_name, material_number, description FROM nm"
+SQL["non_moving_report"] = _nonmoving(False) + """
+SELECT material_number, description, CAST(0 AS BIGINT) AS avg_consumption, CAST(0 AS BIGINT) AS total_consumption,
+  'N/A' AS peak_month, 0.0 AS coefficient_of_variation, CAST(0 AS BIGINT) AS coverage_needed, 'Non-Moving' AS status FROM nm"""
+
+SQL["vendor_scores"] = with_(*BASE, MATS1, VENDOR_CTES) + "\nSELECT material_number, vendor, score FROM scores"
+SQL["vendor_fallback"] = with_(*BASE, MATS1, VENDOR_CTES) + "\nSELECT material_number, fallback_vendor FROM fbm"
+SQL["assign_vendor"] = with_(*BASE, MATS1, VENDOR_CTES) + "\nSELECT material_number, description, vendor, score, basis FROM assigned"
+SQL["vendor_catalog"] = with_(*BASE, MATS1, VENDOR_CTES) + """
+SELECT v.vendor_rank, v.vendor, v.contact, v.phone, CAST(count(a.material_number) AS BIGINT) AS materials
+FROM vend v LEFT JOIN assigned a ON a.vendor = v.vendor GROUP BY v.vendor_rank, v.vendor, v.contact, v.phone"""
+SQL["vendor_contact"] = with_(*BASE, MATS1, VENDOR_CTES) + """
+SELECT a.material_number, a.vendor, coalesce(v.contact, 'Not available') AS contact, coalesce(v.phone, 'Not available') AS phone
+FROM assigned a LEFT JOIN vend v ON a.vendor = v.vendor"""
+
+EVENTS = """
+ev AS (
+  SELECT event_id AS seq, user_id AS session_id, CAST((user_id * 7 + event_id % 5) % 200 AS VARCHAR) AS material_number,
+    CASE WHEN event_type IN ('click', 'view') THEN 'add' WHEN event_type IN ('signup', 'error') THEN 'set'
+         WHEN event_type = 'purchase' THEN 'confirm' END AS op,
+    CAST(CASE WHEN event_type IN ('click', 'view') THEN 1 + event_id % 9 WHEN event_type = 'signup' THEN 1 + event_id % 6
+         WHEN event_type = 'error' THEN 0 END AS BIGINT) AS quantity,
+    value AS unit_price
+  FROM events WHERE event_type IN ('click', 'view', 'signup', 'error', 'purchase')
+),
+ev1 AS (
+  SELECT *, (op = 'confirm' OR (op = 'set' AND coalesce(quantity, 0) <= 0)) AS rem, (op = 'set' AND quantity > 0) AS pset,
+    count(*) FILTER (WHERE op = 'confirm' OR (op = 'set' AND coalesce(quantity, 0) <= 0))
+      OVER (PARTITION BY session_id, material_number ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ep,
+    count(*) FILTER (WHERE op = 'confirm' OR (op = 'set' AND coalesce(quantity, 0) <= 0))
+      OVER (PARTITION BY session_id, material_number) AS total_rem
+  FROM ev
+),
+tail AS (SELECT * FROM ev1 WHERE ep = total_rem AND NOT rem),
+fa AS (SELECT session_id, material_number, min(seq) AS fa_seq FROM tail WHERE op = 'add' GROUP BY ALL),
+tail2 AS (SELECT t.* FROM tail t JOIN fa USING (session_id, material_number) WHERE t.seq >= fa.fa_seq),
+ls AS (SELECT session_id, material_number, max(seq) AS ls_seq FROM tail2 WHERE pset GROUP BY ALL),
+basket AS (
+  SELECT t.session_id, t.material_number,
+    CAST(coalesce(max(CASE WHEN t.seq = ls.ls_seq THEN t.quantity END), 0)
+         + sum(CASE WHEN t.op = 'add' AND (ls.ls_seq IS NULL OR t.seq > ls.ls_seq) THEN t.quantity ELSE 0 END) AS BIGINT) AS quantity,
+    max(CASE WHEN t.seq = fa.fa_seq THEN t.unit_price END) AS unit_price
+  FROM tail2 t JOIN fa USING (session_id, material_number) LEFT JOIN ls USING (session_id, material_number)
+  GROUP BY t.session_id, t.material_number
+)"""
+
+SQL["basket_current"] = "WITH" + EVENTS + """
+SELECT session_id, material_number, quantity, unit_price, CAST(NULL AS VARCHAR) AS description, quantity * unit_price AS total FROM basket"""
+SQL["basket_totals"] = "WITH" + EVENTS + """
+SELECT session_id, CAST(count(*) AS BIGINT) AS items,
+  round_even(CAST(sum(CAST(quantity * unit_price AS DECIMAL(38,10))) AS DOUBLE) * 100, 0) / 100 AS total_value
+FROM basket GROUP BY session_id"""
+
+_LINES = with_(*BASE, MATS1, VENDOR_CTES) + "," + EVENTS + """,
+prices AS (SELECT material_number, coalesce(max(CASE WHEN amount > 0 AND consumption_qty > 0 THEN amount / consumption_qty END), 0.0) AS p FROM mv GROUP BY material_number),
+lines AS (
+  SELECT b.session_id, a.vendor, b.material_number, a.description, CAST(b.quantity AS DOUBLE) AS quantity,
+    round_even(coalesce(pr.p, 0.0) * 100, 0) / 100 AS unit_price,
+    round_even(b.quantity * coalesce(pr.p, 0.0) * 100, 0) / 100 AS total_price,
+    b.quantity * coalesce(pr.p, 0.0) AS raw_total
+  FROM basket b JOIN assigned a ON a.material_number = b.material_number
+  LEFT JOIN prices pr ON pr.material_number = b.material_number WHERE b.quantity > 0
+),
+orders AS (
+  SELECT l.session_id, l.vendor, CAST(count(*) AS BIGINT) AS n_lines,
+    round_even(CAST(sum(CAST(raw_total AS DECIMAL(38,10))) AS DOUBLE) * 100, 0) / 100 AS total_value,
+    string_agg(l.material_number, ',' ORDER BY l.material_number) AS materials,
+    coalesce(any_value(v.contact), '') AS contact, coalesce(any_value(v.phone), '') AS phone
+  FROM lines l LEFT JOIN vend v ON l.vendor = v.vendor GROUP BY l.session_id, l.vendor
+)"""
+SQL["vendor_order_lines"] = _LINES + "\nSELECT session_id, vendor, material_number, description, quantity, unit_price, total_price FROM lines"
+SQL["vendor_orders"] = _LINES + "\nSELECT * FROM orders"
+SQL["bulk_confirm_summary"] = _LINES + """
+SELECT session_id, CAST(count(*) FILTER (WHERE vendor IS NOT NULL AND vendor <> '' AND n_lines > 0) AS BIGINT) AS succeeded,
+  CAST(count(*) FILTER (WHERE NOT (vendor IS NOT NULL AND vendor <> '' AND n_lines > 0)) AS BIGINT) AS failed
+FROM orders GROUP BY session_id"""
+SQL["vendor_order_edit"] = _LINES + """,
+edits AS (
+  SELECT DISTINCT user_id AS session_id, CAST((user_id * 7 + event_id % 5) % 200 AS VARCHAR) AS material_number
+  FROM events WHERE event_type = 'view' AND value < 5
+)
+SELECT l.session_id, l.vendor, CAST(count(*) AS BIGINT) AS n_lines,
+  round_even(CAST(sum(CAST(total_price AS DECIMAL(38,10))) AS DOUBLE) * 100, 0) / 100 AS total_value
+FROM lines l WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.session_id = l.session_id AND e.material_number = l.material_number)
+GROUP BY l.session_id, l.vendor"""
+
+SQL["order_lines"] = with_(*BASE, MATS1, VENDOR_CTES) + "," + EVENTS + """,
+evs AS (
+  SELECT *, (op = 'confirm' OR (op = 'set' AND coalesce(quantity, 0) <= 0)) AS is_rem FROM ev
+),
+conf AS (SELECT session_id, material_number, seq FROM ev WHERE op = 'confirm'),
+prior AS (
+  SELECT c.session_id, c.material_number, c.seq AS cseq, e.seq, e.op, e.quantity, e.unit_price, e.is_rem
+  FROM conf c JOIN evs e ON e.session_id = c.session_id AND e.material_number = c.material_number AND e.seq < c.seq
+),
+lr AS (SELECT session_id, material_number, cseq, max(seq) FILTER (WHERE is_rem) AS r FROM prior GROUP BY ALL),
+after_r AS (SELECT p.* FROM prior p JOIN lr USING (session_id, material_number, cseq) WHERE lr.r IS NULL OR p.seq > lr.r),
+ofa AS (SELECT session_id, material_number, cseq, min(seq) AS fa, arg_min(unit_price, seq) AS price FROM after_r WHERE op = 'add' GROUP BY ALL),
+ols AS (
+  SELECT a.session_id, a.material_number, a.cseq, max(a.seq) AS ls, arg_max(a.quantity, a.seq) AS lsq
+  FROM after_r a JOIN ofa USING (session_id, material_number, cseq) WHERE a.op = 'set' AND a.quantity > 0 AND a.seq > ofa.fa GROUP BY ALL
+),
+st AS (
+  SELECT a.session_id, a.material_number, a.cseq, any_value(ofa.price) AS price,
+    CASE WHEN any_value(ols.ls) IS NOT NULL THEN any_value(ols.lsq) + sum(CASE WHEN a.op = 'add' AND a.seq > ols.ls THEN a.quantity ELSE 0 END)
+         ELSE sum(CASE WHEN a.op = 'add' THEN a.quantity ELSE 0 END) END AS quantity
+  FROM after_r a JOIN ofa USING (session_id, material_number, cseq) LEFT JOIN ols USING (session_id, material_number, cseq)
+  GROUP BY a.session_id, a.material_number, a.cseq
+)
+SELECT substr(sha256(CAST(st.session_id AS VARCHAR) || '|' || coalesce(asg.vendor, '') || '|' || CAST(st.cseq AS VARCHAR)), 1, 8) AS order_id,
+  st.session_id, asg.vendor, st.material_number, st.cseq AS seq, CAST(st.quantity AS BIGINT) AS quantity, st.price AS unit_price,
+  round_even(st.quantity * st.price * 100, 0) / 100 AS total
+FROM st LEFT JOIN assigned asg ON asg.material_number = st.material_number"""
+
+SQL["auto_basket"] = with_(*BASE, patterns_ctes(False), STOCK, MATS1) + """,
+pi AS (""" + _predict_select("", False) + """
+  FROM stock s LEFT JOIN patb p ON s.material_number = p.material_number LEFT JOIN mats1 m ON s.material_number = m.material_number)
+SELECT material_number, CAST(order_quantity AS BIGINT) AS quantity, unit_price, description FROM pi WHERE coalesce(add_to_cart_eligible, false)"""
+
+
+def _report(by: bool, full: bool) -> str:
+    g = "depot_name, " if by else ""
+    gb = "GROUP BY depot_name" if by else ""
+    on = "USING (depot_name)" if by else "ON TRUE"
+    tiers = ", ".join(f"CAST(count(*) FILTER (WHERE tier = '{t}') AS BIGINT) AS {t.lower()}" for t in
+                      ["HD_Critical", "HD_Variable", "MD_Regular", "MD_Seasonal", "LD_Stable", "LD_Sporadic"])
+    ctes = [*BASE, patterns_ctes(by), tiers_ctes(by)] + ([_nonmoving(by)[len(with_(*BASE)) + 1:]] if full else [])
+    body = with_(*ctes) + f""",
+ov AS (SELECT {g}CAST(count(DISTINCT material_number) AS BIGINT) AS total_materials,
+         strftime(min(document_date), '%d-%m-%Y') || ' to ' || strftime(max(document_date), '%d-%m-%Y') AS date_range FROM mv {gb}),
+hvt AS (SELECT {g}quantile_cont(avg_monthly_consumption, 0.9) AS p90 FROM patb {gb}),
+hv AS (SELECT {"p.depot_name, " if by else ""}CAST(count(*) FILTER (WHERE p.avg_monthly_consumption >= h.p90) AS BIGINT) AS high_velocity_items
+       FROM patb p JOIN hvt h {on} {"GROUP BY p.depot_name" if by else ""}),
+tw AS (SELECT {g}CAST(trunc(avg(avg_monthly_consumption)) AS BIGINT) AS avg_monthly_consumption, {tiers} FROM cls {gb})"""
+    if not full:
+        return body + f"""
+SELECT {"ov.depot_name, " if by else ""}total_materials, date_range, high_velocity_items, avg_monthly_consumption,
+  hd_critical, hd_variable, md_regular, md_seasonal, ld_stable, ld_sporadic
+FROM ov JOIN hv {on} JOIN tw {on}"""
+    return body + f""",
+nmc AS (SELECT {g}count(*) AS n FROM nm {gb})
+SELECT {"ov.depot_name, " if by else ""}total_materials, date_range, high_velocity_items,
+  ld_stable + ld_sporadic AS cost_optimization_potential,
+  round_even((hd_critical + md_regular) / greatest(total_materials, 1) * 100.0 * 10, 0) / 10 AS inventory_efficiency_score,
+  CAST(coalesce(nmc.n, 0) AS BIGINT) AS non_moving_items
+FROM ov JOIN hv {on} JOIN tw {on} LEFT JOIN nmc {on}"""
+
+
+SQL["summary_report"] = _report(False, False)
+SQL["summary_report_by_depot"] = _report(True, False)
+SQL["full_report_summary"] = _report(False, True)
+SQL["full_report_summary_by_depot"] = _report(True, True)
