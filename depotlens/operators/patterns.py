@@ -28,7 +28,7 @@ def monthly_consumption(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     return mv.groupBy(*by, "material_number", "month").agg(F.sum("consumption_qty").alias("qty"))
 
 
-def _month_slots(mv: DataFrame, by: list[str]) -> DataFrame:
+def _month_slots(mv: DataFrame, by: list[str], with_description: bool = False) -> DataFrame:
     """One row per (group, material): twelve month sums (null = no movement
     that month) and the max positive unit price (P11).
 
@@ -39,6 +39,14 @@ def _month_slots(mv: DataFrame, by: list[str]) -> DataFrame:
     q = F.col("consumption_qty")
     aggs = [F.sum(F.when(F.col("month") == i, q)).alias(f"_q{i}") for i in range(1, 13)]
     aggs.append(F.max(F.when(F.col("amount") > 0, F.col("amount") / q)).alias("max_price"))
+    if with_description:
+        # P6 folded into the same pass: the string buffer makes this a
+        # sort-based partial aggregate, still one read of the movements
+        # instead of a second full pass for the descriptions.
+        key = F.col("row_key") if "row_key" in mv.columns else F.lit(0)
+        aggs.append(F.min(F.when(F.col("material_description").isNotNull(),
+                                 F.struct(key.alias("k"), F.col("material_description").alias("d"))))["d"]
+                    .alias("description"))
     return mv.groupBy(*by, "material_number").agg(*aggs)
 
 
@@ -70,15 +78,16 @@ def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool
     (unrounded, ddof 1, null when |M| = 1), avg_monthly_consumption,
     total_annual_consumption, peak/low month and consumption, both CV variants,
     max_unit_price and, with ``with_description``, the first description in
-    input order (P6, a separate aggregation joined on the material).
+    input order (P6, computed in the same pass).
     """
     by = list(by)
     # The slot table feeds two branches (M per group, stats per material);
     # checkpointing it keeps the movement scan to a single pass.
-    slots = materialize(_month_slots(mv, by))
+    slots = materialize(_month_slots(mv, by, with_description))
     j = attach_group(slots, active_months(slots, by), by)
     vals = _slot_array()
-    j = j.select(*by, "material_number", "max_price", "months", vals.alias("vals"))
+    extra = ["description"] if with_description else []
+    j = j.select(*by, "material_number", "max_price", *extra, "months", vals.alias("vals"))
     j = j.withColumn("dense", _dense(F.col("months"), F.col("vals"))).withColumn("n_months", F.size("months"))
     j = j.withColumn("observed_months", F.size(F.filter("vals", lambda x: x.isNotNull())))
     j = j.withColumn("total_qty", _fold_sum(F.col("dense")))
@@ -120,9 +129,8 @@ def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool
         std_r.alias("consumption_std"),
         cv_b.alias("cv_rounded_basis"),
         F.coalesce(F.col("max_price"), F.lit(0.0)).alias("max_unit_price"),
+        *extra,
     )
-    if with_description:
-        out = out.join(materials_dim(mv, by), [*by, "material_number"], "left")
     return out
 
 

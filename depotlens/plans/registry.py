@@ -46,9 +46,10 @@ PREDICT_INTS = ["avg_monthly_consumption", "order_quantity", "yearly_consumption
 STATUS_INTS = ["avg_monthly_consumption", "peak_consumption", "low_consumption", "order_quantity"]
 
 
-def _assigned(spark, sf_dir, mv=None, by=()):
+def _assigned(spark, sf_dir, mv=None, by=(), mats=None):
+    """V3 over the material dimension (from patterns when the caller has them)."""
     mv = mv if mv is not None else movements(spark, sf_dir)
-    mats = P.materials_dim(mv, list(by))
+    mats = mats if mats is not None else P.materials_dim(mv, list(by))
     return V.assign_vendor(mats, fx.vendor_rules(spark), fx.vendors(spark), fx.vendor_fallback(spark), list(by))
 
 
@@ -93,7 +94,8 @@ def q_predict_inventory(spark, sf_dir):
     """I1-I8 for every stock row, one group, with vendor (V3)."""
     mv = movements(spark, sf_dir)
     pat = P.material_patterns(mv, with_description=True)
-    out = I.predict_inventory(pat, fx.stock(spark, sf_dir), _assigned(spark, sf_dir, mv))
+    mats = pat.select("material_number", "description")
+    out = I.predict_inventory(pat, fx.stock(spark, sf_dir), _assigned(spark, sf_dir, mv, mats=mats))
     return nullable_ints_as_double(out.drop("_max_unit_price"), PREDICT_INTS)
 
 
@@ -298,7 +300,7 @@ def q_resolve_requests(spark, sf_dir):
     """I13 (+ I9 for resolved requests with a quantity)."""
     mv = movements(spark, sf_dir)
     pat = P.material_patterns(mv, with_description=True)
-    res = K.resolve_requests(fx.requests(spark), P.materials_dim(mv))
+    res = K.resolve_requests(fx.requests(spark), pat.select("material_number", "description"))
     pred = I.predict_status_b(pat, res.where(F.col("material_number").isNotNull() & F.col("current_qty").isNotNull())
                               .select("request_id", "material_number", "current_qty"))
     pred = pred.select(F.col("material_number").alias("_m"), F.col("current_quantity").alias("_q"),
