@@ -41,7 +41,10 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     """Fill in DEFAULTS where unset; ensure a reliable checkpoint directory exists."""
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) in (None, ""):
-            spark.conf.set(k, v)
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # noqa: BLE001
+                pass
     checkpoint_dir(spark)
     return spark
 
@@ -52,9 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set by the deployment (a shared filesystem).  Only
     when it is unset (local tests) do we create a scratch folder for it.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="depotlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some deployments lock core settings
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
