@@ -167,8 +167,8 @@ class _Plan:
         bucket = docs["bucket"][0].as_py()
         a, b, _, _, starts, twice = self._suspects(windows, replies.to_pylist())
         a, b = a[starts], b[starts]
-        shift = np.uint64(64 - max(1, (self.shards - 1).bit_length()))
-        cuts = np.searchsorted(a >> shift, np.arange(self.shards + 1).astype(np.uint64))
+        edges = [(k << 64) // self.shards for k in range(self.shards)]  # shards is a power of two
+        cuts = np.append(np.searchsorted(a, np.array(edges, np.uint64)), len(a))
         out = []
         for k in range(self.shards):
             i, j = int(cuts[k]), int(cuts[k + 1])
