@@ -44,6 +44,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's vocabulary; the package that holds it is installed on every node."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def sha(column: str) -> F.Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
@@ -55,6 +61,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha("kept").alias("kept_sha256"))
 
 
+@_query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.bpe import decode, encode
+    path = vocabulary()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs, path).select(F.col("id").alias("doc_id"), "ids"), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                      sha("decoded").alias("decoded_sha256"))
+
+
+@_query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.packing import pack, token_pieces
+    pieces = token_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup,)
+    f.__name__: f for f in (op1_substring_dedup, op4_bpe, op10_best_fit_packing)
 }
