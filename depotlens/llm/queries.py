@@ -72,6 +72,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha("decoded").alias("decoded_sha256"))
 
 
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.line_dedup import line_dedup
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", sha("kept").alias("kept_sha256"))
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depotlens.llm.packing import pack, token_pieces
@@ -80,5 +87,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_bpe, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op4_bpe, op9_line_dedup, op10_best_fit_packing)
 }
