@@ -112,7 +112,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(out: list) -> None:
         if held:
-            keep = np.ones(held[-1] + 1, np.uint8)
+            keep = np.ones(8 * ceil_div(held[-1] + 1, 8), np.uint8)
             keep[held] = 0
             out.append((*key, zlib.compress(np.packbits(keep).tobytes(), 1)))
 
