@@ -61,6 +61,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha("kept").alias("kept_sha256"))
 
 
+@_query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.near_dedup import near_duplicates
+    out = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @_query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depotlens.llm.bpe import decode, encode
@@ -87,5 +94,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_bpe, op9_line_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op9_line_dedup, op10_best_fit_packing)
 }
