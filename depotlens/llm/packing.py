@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.llm.bpe import merged_ids
 from depotlens.llm.common import binary, ceil_div, stored
-from depotlens.llm.tokens import chunks, library_ids
+from depotlens.llm.tokens import chunks
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,7 +42,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = library_ids(path)
+        coder = merged_ids(path)
         for batch in batches:
             texts, ids = binary(batch.column("text")), batch.column("id")
             for part in chunks(texts):

@@ -70,11 +70,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from depotlens.llm.bpe import decode, encode
+    from depotlens.llm.bpe import encode
     path = vocabulary()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path).select(F.col("id").alias("doc_id"), "ids"), path)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    out = encode(docs, path, and_decode=True)
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                       sha("decoded").alias("decoded_sha256"))
 

@@ -72,29 +72,3 @@ def chunks(texts: list[bytes | None], most: int = 4 << 20) -> list[slice]:
     if start < len(texts):
         out.append(slice(start, len(texts)))
     return out
-
-
-_LIBRARY: dict[str, WordIds] = {}
-
-
-def library_ids(path: str) -> WordIds:
-    """Ids as the tokenizers library gives them; one memo per worker process."""
-    if path not in _LIBRARY:
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-
-        def resolve(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            counts, flat = [], []
-            for i in range(0, len(words), 20_000):
-                for e in tokenizer.encode_batch_fast([w.decode() for w in words[i:i + 20_000]], add_special_tokens=False):
-                    ids = e.ids
-                    counts.append(len(ids))
-                    flat.extend(ids)
-            return np.array(counts, np.int64), np.array(flat, np.uint32)
-
-        _LIBRARY[path] = WordIds(resolve)
-    return _LIBRARY[path]
