@@ -79,6 +79,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha("decoded").alias("decoded_sha256"))
 
 
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.labelled import fold
+    from depotlens.llm.toxicity import THRESHOLD, fit, score
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, fit(docs, read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.labelled import fold
+    from depotlens.llm.quality_fm import fit, score
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    out = score(docs, fit(docs, read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depotlens.llm.line_dedup import line_dedup
@@ -94,5 +112,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op9_line_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op5_toxicity, op6_quality_classifier, op9_line_dedup, op10_best_fit_packing)
 }
