@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 #: Labelled texts that a classifier is fitted on, at most (half of them of either label), and the bytes of each text it is fitted on.
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 15
 
 
 def fold(id_col: str, folds: int, part: int) -> Column:
@@ -27,5 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
     chosen = half[0].unionByName(half[1])
     text = F.substring(F.col(text_col).cast("string").cast("binary"), 1, text_bytes)
     picked = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c) for c in extra]).join(F.broadcast(chosen), "id")
-    out = [(bytes(r["text"] or b""), int(r["label"]), *(r[c] for c in extra), r["id"]) for r in picked.toLocalIterator()]
+    out = [(bytes(r["text"] or b""), int(r["label"]), *(r[c] for c in extra), r["id"]) for r in picked.collect()]
     return [r[:-1] for r in sorted(out, key=lambda r: (r[-1], r[0]))]

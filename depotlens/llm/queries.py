@@ -97,6 +97,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.topk import top_k
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depotlens.llm.line_dedup import line_dedup
@@ -112,5 +118,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op5_toxicity, op6_quality_classifier, op9_line_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op9_line_dedup, op10_best_fit_packing)
 }
