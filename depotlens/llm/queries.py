@@ -103,6 +103,15 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@_query
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.brown_lm import score
+    from depotlens.llm.labelled import fold
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, ~fold("doc_id", 7, 2)).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", fold("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depotlens.llm.line_dedup import line_dedup
@@ -118,5 +127,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op9_line_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op8_brown_lm, op9_line_dedup, op10_best_fit_packing)
 }
