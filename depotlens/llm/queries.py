@@ -68,6 +68,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.quality_rules import quality_rules
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality_rules(docs, read(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @_query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depotlens.llm.bpe import encode
@@ -127,5 +135,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op8_brown_lm, op9_line_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op8_brown_lm, op9_line_dedup, op10_best_fit_packing)
 }
