@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotlens.llm.common import binary, others
+from depotlens.llm.common import binary, others, stored
 from depotlens.llm.tokens import WordIds, chunks
 
 LEXICON_WORDS = 1 << 17
@@ -126,7 +126,7 @@ class Lexicon:
         text = np.frombuffer(b"".join(words), np.uint8)
         state, rank = np.full(n, self.root, np.int64), np.zeros(n, np.int64)
         alive = np.arange(n) if len(self.keys) else np.empty(0, np.int64)
-        dead = np.full(n, not len(self.keys))
+        dead = (sizes > 0) & (len(self.keys) == 0)
         for j in range(int(sizes.max(initial=0))):
             alive = alive[sizes[alive] > j]
             if not len(alive):
@@ -138,7 +138,7 @@ class Lexicon:
             alive, arc = alive[hit], arc[hit]
             state[alive] = self.targets[arc]
             rank[alive] += self.outputs[arc]
-        return np.where(~dead & (self.final[state] == 1), rank, -1) if len(self.final) else np.full(n, -1)
+        return np.where(~dead & (self.final[state] == 1), rank, -1)
 
 
 # --- exact merging -----------------------------------------------------------------------------
@@ -379,8 +379,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> str:
-    """Compile the ``lexicon_words`` most frequent words and hand the file to all executors; returns its name."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").toArrow()
+    """Compile the most frequent words, at most ``lexicon_words``, and hand the file to all executors; returns its name.
+
+    A table of how many words have each count gives the least count that stays within the size; words below it stay where they are.
+    """
+    counts = stored(word_counts(docs, text_col))
+    cut, total = None, 0
+    for n, words in counts.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).limit(lexicon_words).collect():
+        total += words
+        if total > lexicon_words:
+            break
+        cut = n
+    top = counts.where(F.col("n") >= F.lit(cut)).select("word").toArrow()
     merger = Merger(path)
     words = top["word"].to_pylist()
     counts, flat = merger.ids(words)
