@@ -33,7 +33,7 @@ FREQUENT = 1024
 ENDINGS = 512
 CLASSES = 64
 ROUNDS = 4
-ADD = 0.5
+ADD = 1.0
 PRIOR = 50.0
 BUCKET_BYTES = 8 << 20
 #: The end token; no word holds a line end.
