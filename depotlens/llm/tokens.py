@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words whose ids one Python worker remembers; beyond it the memo starts again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 class WordIds(dict):
@@ -61,7 +61,7 @@ class WordIds(dict):
         return self._flat[take], np.diff(bounds)
 
 
-def chunks(texts: list[bytes | None], most: int = 4 << 20) -> list[slice]:
+def chunks(texts: list[bytes | None], most: int = 2 << 20) -> list[slice]:
     """Runs of texts of about ``most`` bytes: bounds what is held at once."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):
