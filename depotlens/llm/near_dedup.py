@@ -7,9 +7,10 @@
 3. Nodes that agree on all rows of a band share a bucket.  A bucket of n nodes gives n - 1 candidate edges, a
    star around its smallest node, not n * (n - 1) / 2 pairs.
 4. Edges are confirmed on full shingle sets, and confirmed links give components.
-5. A star tests its centre against all.  Members that it does not link may still be similar to each other or to
-   those it links, so members outside the centre's component become centres in their turn, a few per bucket and
-   round, until a round has no untested pair left.  Hence a pair that shares a bucket is tested or already connected.
+5. A star tests its centre against all.  In a bucket where some member stayed outside the centre's component, members may still be
+   similar to each other.  Such *open* buckets are compared in blocks of ``block`` nodes by sketches (the minima of ``SKETCH_BINS``
+   bins, no densification): nothing is emitted but pairs of different components whose estimate is within ``DEVIATIONS`` standard deviations of the
+   threshold, each in the first band that it shares.  Those are confirmed on full sets like the edges.  No member or pair is left out.
 
 With the default 32 bands of 4 rows, two sets of similarity 0.85 share no bucket with a probability of about 6e-11
 (5e-8 at 0.8).  A centre's text is sent once per ``star`` members, so a hub of any size is many small groups.
@@ -25,20 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlens.llm.common import WORD_HASH, binary, mix, stored
 from depotlens.llm.graph import components
-from depotlens.llm.tokens import chunks
 
 SHINGLE = 5
 PERCENT = 80
 BANDS = 32
 ROWS = 4
 STAR = 256
-CENTRES_A_ROUND = 8
+BLOCK = 1024
+SKETCH_BINS = 512
+DEVIATIONS = 4.5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,44 +157,110 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def sketch(shingles: np.ndarray, bins: int = SKETCH_BINS) -> np.ndarray:
+    """Minimum of each bin as 1..65535, 0 where the bin is empty."""
+    own = ((shingles >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+    out = np.zeros(bins, np.uint16)
+    out[own[first]] = 1 + (shingles[first] % np.uint64(65535)).astype(np.uint16)
+    return out
+
+
+def sketches(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, body): band hashes and sketch of each text."""
+    signature = Signature(bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [signature.band_hashes(s).tobytes() + sketch(s).tobytes() for _, s in shingle_sets(binary(batch.column("text")), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], ["id", "body"])
+
+    return texts.select("id", "text").mapInArrow(run, T.StructType([texts.schema["id"]]).add("body", "binary"))
+
+
+def _likely(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of ``y`` may be similar to the sketch ``x``: estimate by the bins that either fills."""
+    filled = np.count_nonzero((y != 0) | (x != 0), axis=1)
+    same = np.count_nonzero((y == x) & (y != 0), axis=1)
+    least = percent / 100
+    slack = DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1))
+    return same >= (least - slack) * filled
+
+
+def block_candidates(rows: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Pairs (a, b) to confirm out of the block pairs (k, band, i, j); a row holds its node, label, own block and body."""
+    key = ("k", "band", "i", "j")
+    id_type = rows.schema["node"].dataType
+    ordered = rows.repartition(*key).sortWithinPartitions(*key)
+
+    def pairs(k: int, across: bool, group: list[tuple]) -> list[tuple]:
+        node, label, block, body = zip(*group)
+        hashes = np.stack([np.frombuffer(b, np.int64, bands) for b in body])[:, :k]
+        sketch_ = np.stack([np.frombuffer(b, np.uint16, SKETCH_BINS, 8 * bands) for b in body])
+        names = {x: i for i, x in enumerate(set(label))}
+        of, block = np.array([names[x] for x in label]), np.array(block)
+        out = []
+        for r in range(len(group) - 1):
+            other = np.flatnonzero((of[r + 1:] != of[r]) & ((block[r + 1:] != block[r]) if across else True)) + r + 1
+            if len(other):
+                other = other[_likely(sketch_[r], sketch_[other], percent)]
+                other = other[~(hashes[other] == hashes[r]).any(1)]  # an earlier band that both share has the pair
+                out += [(min(node[r], node[o]), max(node[r], node[o])) for o in other.tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in key))
+            for this, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("node", "label", "block", "body")))):
+                if this != now:
+                    if len(group) > 1:
+                        out += pairs(now[0], now[2] != now[3], group)
+                    now, group = this, []
+                group.append(row)
+            yield _pairs(out, batch.column("node").type)
+        if len(group) > 1:
+            yield _pairs(pairs(now[0], now[2] != now[3], group), batch.column("node").type)
+
+    return ordered.mapInArrow(run, T.StructType([T.StructField(c, id_type) for c in ("a", "b")])).where("a <> b").distinct()
+
+
+def _pairs(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    a, b = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                    bands: int = BANDS, rows: int = ROWS, centres_a_round: int = CENTRES_A_ROUND) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``, one row per row of ``docs``."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(signatures(base, shingle, bands, rows))
     nodes = stored(signed.where("same is not null and id is not null").groupBy("same")
                    .agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
-    members = nodes.select(F.explode("bands").alias("band"), "node")
-    stars = members.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    shared = stored(members.join(stars.select("band", "centre"), "band").where("node <> centre").distinct())  # (band, node, centre)
+    members = nodes.select(F.posexplode("bands").alias("k", "band"), "node")
+    stars = members.groupBy("k", "band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
+    shared = stored(members.join(stars.select("k", "band", "centre"), ["k", "band"]).where("node <> centre").distinct())
     ends = shared.select("node").union(shared.select("centre")).distinct().withColumnRenamed("node", "id")
     texts = stored(base.join(ends, "id", "left_semi").distinct())
+    edges = shared.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(confirmed(edges, texts, shingle, percent))
+    labels = components(links)
 
-    edges = stored(shared.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    tested, links, labels = edges, None, None
-    used = None  # (band, node) that have been a centre
-    while True:
-        new = stored(confirmed(edges, texts, shingle, percent))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        # members that the bucket's first centre does not reach
-        of = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-        labelled = (shared.join(labels, "node", "left").join(of, "centre", "left")
-                    .select("band", "node", F.coalesce("label", "node").alias("label"), F.coalesce("centre_label", "centre").alias("centre_label")))
-        apart = labelled.where("label <> centre_label")
-        if used is not None:
-            apart = apart.join(used, ["band", "node"], "left_anti")
-        first = Window.partitionBy("band").orderBy("node")
-        picked = stored(apart.withColumn("k", F.row_number().over(first)).where(F.col("k") <= centres_a_round)
-                        .select("band", F.col("node").alias("x"), F.col("label").alias("x_label")))
-        if picked.isEmpty():
-            break
-        pairs = picked.join(labelled.select("band", "node", "label"), "band").where("x <> node and x_label <> label")
-        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        edges = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        now_used = picked.select("band", F.col("x").alias("node"))
-        used = now_used if used is None else used.unionByName(now_used)
-        tested = tested.unionByName(edges)
+    # Open buckets: three nodes or more, some of them outside the centre's component.
+    of = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
+    labelled = (shared.join(labels, "node", "left").join(of, "centre", "left")
+                .select("k", "band", "node", F.coalesce("label", "node").alias("label"), F.coalesce("centre_label", "centre").alias("centre_label")))
+    open_ = labelled.groupBy("k", "band").agg(F.count("*").alias("n"), F.max(F.col("label") != F.col("centre_label")).alias("apart")).where("n > 1 and apart")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    inside = stored(labelled.join(open_.select("k", "band", "n"), ["k", "band"]).select("k", "band", "node", "label", blocks.alias("blocks")))
+    bodies = stored(sketches(texts.join(inside.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), shingle, bands, rows))
+    own = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("k", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block")
+    found = block_candidates(meet.join(bodies.withColumnRenamed("id", "node"), "node"), bands, percent)
+    more = stored(confirmed(stored(found), texts, shingle, percent))
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     found = signed.join(nodes.select("same", "node"), "same", "left").join(labels, "node", "left")
     component = F.coalesce("label", "node", "id")

@@ -91,7 +91,7 @@ def near_rows():
 def test_components_equal_model(spark, percent):
     rows = near_rows()
     want = components_model(rows, percent)
-    got = near_duplicates(awkward(spark, rows), percent=percent, centres_a_round=2).collect()
+    got = near_duplicates(awkward(spark, rows), percent=percent, block=4).collect()
     assert len(got) == len(rows)
     by_id = {r.id: r for r in got if r.id is not None}
     assert {i: r.component_id for i, r in by_id.items()} == {i: c for i, c in want.items() if not isinstance(i, tuple)}
