@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled texts that a classifier is fitted on, at most (half of them of either label), and the bytes of each text it is fitted on.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 1 << 15
 
 

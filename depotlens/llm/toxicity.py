@@ -98,11 +98,15 @@ def train(texts: list[bytes], labels: list[int], *, span: int = SPAN, buckets: i
     if len(set(labels)) < 2:
         return Model(None, 0.0, span)
     rng = np.random.default_rng(seed)
-    split = [t.lower().split() for t in texts]
     code: dict[bytes, int] = {}
-    n_words = np.fromiter(map(len, split), np.int64, len(split))
-    doc_words = np.fromiter((code.setdefault(w, len(code)) for ws in split for w in ws), np.int64, int(n_words.sum()))
-    gram, n_gram = subwords(list(code), buckets)
+    coded = [np.fromiter((code.setdefault(w, len(code)) for w in t.lower().split()), np.int32) for t in texts]
+    n_words = np.fromiter(map(len, coded), np.int64, len(coded))
+    doc_words = np.concatenate(coded)
+    vocabulary = list(code)
+    del coded, code
+    parts = [subwords(vocabulary[i:i + 20_000], buckets) for i in range(0, len(vocabulary), 20_000)]  # bounds what hashing holds at once
+    gram, n_gram = np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts, vocabulary
     gram_at = np.cumsum(n_gram) - n_gram
     y = np.array(labels)
     table = rng.normal(0, INIT, (buckets, dim)).astype(np.float32)  # n-grams never seen stay near zero
@@ -115,7 +119,7 @@ def train(texts: list[bytes], labels: list[int], *, span: int = SPAN, buckets: i
     for epoch in range(epochs):
         # every text's worst bag under the present model (any bag at first)
         direction = out[:, 1] - out[:, 0] if epoch else rng.normal(size=dim).astype(np.float32)
-        per_word = np.add.reduceat(table[gram] @ direction, gram_at) / n_gram
+        per_word = np.add.reduceat((table @ direction)[gram], gram_at) / n_gram
         _, first, size = worst_bags(per_word[doc_words], n_words, span)
         if not epoch:  # whole texts, cut to a bounded number of words, for a first idea of the words that matter
             first, size = np.cumsum(n_words) - n_words, np.minimum(n_words, 64 * span)
