@@ -1,37 +1,46 @@
 """Parse a free-text date column the way the source system's loader does.
 
-The first pattern that parses the whole string wins, in this order (day-first
-before month-first, so ``03/04/2024`` is 4 March and ``25/12/2024`` falls
-through to the day-first pattern); an ISO date or timestamp is the last resort.
+The first pattern that matches the whole string and names a real day wins, in this
+order (day-first before month-first, so ``03/04/2024`` is 4 March and
+``25/12/2024`` falls through to the day-first pattern).  What none of them takes goes
+to the free-form tail, of which these shapes are supported: ``y-M-d`` with ``-``, ``/`` or ``.``,
+``yyyyMMdd``, ``M-d-yyyy`` (else ``d-M-yyyy``) with any of the three, ``Jan 5 2024`` / ``January 5, 2024`` and
+``5 Jan 2024`` / ``5-Jan-2024``, each with an optional time of day and zone, which is dropped.  Anything else, such
+as a year alone or trailing text, is null.
 
-Implementation: ``regexp_replace`` rewrites a string of a pattern's shape to
-``yyyy-M-d`` (other strings pass unchanged) and ``try_cast(... as date)``
-validates the calendar (31-02 -> null).  No formatter runs and no exception is
-thrown per row (a failing ``try_to_timestamp`` costs a caught exception), and
-the input is referenced four times only, so an expensive input expression is
-not re-evaluated per pattern.  ``yyyy-M-d`` needs no rewrite: the first cast
-already accepts it, exactly as the ISO tail would.
+Implementation: one chain of ``regexp_replace`` rewrites a string of any of these shapes
+to ``yyyy-M-d`` and leaves others as they are; day-first and month-first are told apart by which
+number can be a month.  ``regexp_extract`` of the plain shape then refuses whatever is left, and
+``try_cast(... as date)`` validates the calendar (31-02 -> null).  The input is
+referenced once, so a derived input is not worked out again per pattern, no formatter runs and no
+exception is thrown per row.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted patterns in priority order as (name, shape, rewrite to y-m-d).
-DATE_PATTERNS = [
-    ("d-M-yyyy", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
-    ("yyyy-M-d", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
-    ("M/d/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
-    ("d/M/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
-]
+_MONTH = r"(0?[1-9]|1[0-2])"
+# The time of day and zone that the free-form tail may carry.
+TIME = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?$"
+# Fixed values: (shape, rewrite) in priority order.  The first applies before the time of day is cut
+# off: a time makes a dashed date month-first.
+REWRITES = [
+    (rf"^(\d{{1,2}})-{_MONTH}-(\d{{4}})$", "$3-$2-$1"),
+    (TIME, ""),
+    (rf"^{_MONTH}[-/.](\d{{1,2}})[-/.](\d{{4}})$", "$3-$1-$2"),
+    (rf"^(\d{{1,2}})[-/.]{_MONTH}[-/.](\d{{4}})$", "$3-$2-$1"),
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$3-$1-$2"),
+    (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[. -]{1,2}(\d{4})$", "$3-$2-$1"),
+] + [(rf"(?i)^(\d{{4}})-{name}-", f"$1-{i}-") for i, name in enumerate(
+    ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)]
+PLAIN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 
 def parse_any_date(c: Column) -> Column:
-    s = c.cast("string")
-    day_first_dash, _, month_first, day_first_slash = DATE_PATTERNS
-    return F.coalesce(
-        F.regexp_replace(s, day_first_dash[1], day_first_dash[2]).try_cast("date"),   # d-M-yyyy, yyyy-M-d, ISO
-        F.regexp_replace(s, month_first[1], month_first[2]).try_cast("date"),          # M/d/yyyy
-        F.regexp_replace(s, day_first_slash[1], day_first_slash[2]).try_cast("date"),  # d/M/yyyy
-        s.try_cast("timestamp").cast("date"),
-    )
+    s = F.trim(c.cast("string"))
+    for shape, to in REWRITES:
+        s = F.regexp_replace(s, shape, to)
+    return F.regexp_extract(s, PLAIN, 0).try_cast("date")

@@ -1,39 +1,46 @@
-"""Attach per-group statistics back onto rows without shuffling the big side.
-
-With grouping columns the statistics table has one row per group and is joined
-on those columns: AQE sees its runtime size and turns the join into a broadcast
-hash join when it is small (``spark.sql.adaptive.autoBroadcastJoinThreshold``),
-falling back to a sort-merge join whose hot partitions the skew-join rule splits.
-Without grouping columns the statistics are one global aggregate row (a
-grouping-free aggregate always yields exactly one row), broadcast to every
-task.  Keeping it a join (rather than a scalar subquery) lets both branches
-share the upstream exchange instead of re-running the scan.
+"""Attach per-group statistics to rows without moving the rows.
+
+The statistics have one row per group.  Their number is checked while the query runs
+(``MAX_GROUPS``; above it the query fails with a clear message), then they are
+broadcast, so the big side is never exchanged on the group columns and a
+hot group stays where its rows are.  Group keys compare null-safe: rows with a null
+group are a group like any other, as in ``groupBy``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most groups whose statistics are broadcast.
+MAX_GROUPS = 100_000
 
-def attach_group(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    if by:
-        return df.join(stats, on=list(by), how=how)
-    # Exactly one row on the broadcast side: a nested-loop join over 1 row is a projection.
-    return df.join(F.broadcast(stats), on=F.lit(True), how=how)
 
+def null_safe(left: list[Column], right: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
 
-def group_cols(by: list[str]) -> list:
-    return [F.col(c) for c in by]
 
+def checked(stats: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
+    """``stats``, failing at run time if it has more than ``max_rows`` rows."""
+    size = stats.agg(F.count(F.lit(1)).alias("_rows"))  # always one row
+    message = f"statistics of more than {max_rows} groups are too large to broadcast"
+    ok = F.assert_true(F.col("_rows") <= max_rows, message)
+    return stats.join(F.broadcast(size), F.lit(True)).where(ok.isNull()).drop("_rows")
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
 
-    Used for small intermediate tables (one row per material) that feed more
-    than one branch of a plan: the expensive scan behind them runs once, the
-    lineage is cut (a lost executor re-reads the checkpoint instead of
-    re-scanning the source), and both branches read the same files.
-    """
-    from depotlens.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def attach_group(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of its group's row in ``stats`` (one row per group of ``by``)."""
+    if not by:  # a grouping-free aggregate: exactly one row
+        return df.join(F.broadcast(stats), on=F.lit(True), how=how)
+    rest = [F.col(c) for c in stats.columns if c not in by]
+    keyed = checked(stats).select(*[F.col(c).alias(f"_g_{c}") for c in by], *rest)
+    on = null_safe([F.col(c) for c in by], [F.col(f"_g_{c}") for c in by])
+    return df.join(F.broadcast(keyed), on, how).drop(*[f"_g_{c}" for c in by])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls match; ``keys`` come from the left side."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys], *[F.col(c) for c in right.columns if c not in keys])
+    out = left.join(renamed, null_safe([F.col(c) for c in keys], [F.col(f"_r_{c}") for c in keys]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in keys])

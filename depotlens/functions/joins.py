@@ -1,43 +1,33 @@
-"""Join helpers with explicit size checks."""
+"""Substring joins: one plan at every size."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables at or below this many rows are broadcast after a checked count.
-BROADCAST_MAX_ROWS = 200_000
+#: Characters of a pattern that key the join; shorter patterns are keyed by all of theirs.
+KEY_CHARS = 3
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Proven size bound: reads at most ``max_rows + 1`` rows to decide."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def contains_join(texts: DataFrame, text_col: str, patterns: DataFrame, pat_col: str) -> DataFrame:
+    """All (text row, pattern row) pairs in which ``text`` contains ``pattern``.
 
-
-def contains_join(texts: DataFrame, text_col: str, patterns: DataFrame, pat_col: str,
-                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """All (text row, pattern row) pairs where ``text`` contains ``pattern``.
-
-    Small pattern tables (checked) are broadcast and probed with ``contains``
-    (a broadcast nested-loop join, |texts| x |patterns| comparisons, no
-    shuffle of the text side).  Large pattern tables switch to an exact
-    substring equi-join: every text emits its distinct substrings of each
-    pattern length, which then hash-join on equality -- work grows with text
-    length, not with the number of patterns.  A null pattern matches every
-    text (used for default rows).
+    A pattern's first ``KEY_CHARS`` characters are its key.  Each text emits its distinct
+    substrings of the key lengths that occur, keys meet in an equi-join (which the optimizer may
+    broadcast by the size that it measures), and ``contains`` confirms the pair; the work follows the texts'
+    lengths, not texts times patterns.  A null pattern matches every text, an empty pattern every
+    text that is not null; those patterns are one array, added to each text that they match by definition.
     """
-    t = F.col(text_col)
-    p = F.col(pat_col)
-    if is_small(patterns, max_broadcast_rows):
-        return texts.join(F.broadcast(patterns), p.isNull() | t.contains(p))
-    defaults = patterns.where(p.isNull())
-    keyed = patterns.where(p.isNotNull() & (F.length(p) > 0)).withColumn("_len", F.length(p))
-    empties = patterns.where(p.isNotNull() & (F.length(p) == 0))
-    lengths = keyed.select("_len").distinct()
-    grams = (texts.join(F.broadcast(lengths), F.length(t) >= F.col("_len"))
-             .withColumn("_gram", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length(t) - F.col("_len") + 1),
-                 lambda i: F.substring(t, i, F.col("_len")))))))
-    hits = grams.join(keyed.withColumnRenamed("_len", "_plen"),
-                      (F.col("_gram") == p) & (F.col("_len") == F.col("_plen"))).drop("_gram", "_len", "_plen")
-    rest = defaults.unionByName(empties)
-    return hits.unionByName(texts.join(F.broadcast(rest), F.lit(True)))
+    t, p = F.col(text_col), F.col(pat_col)
+    size = F.least(F.length(p), F.lit(KEY_CHARS))
+    keyed = patterns.where(F.length(p) > 0).withColumn("_key", F.substring(p, F.lit(1), size))
+    sizes = keyed.agg(F.collect_set(F.length("_key")).alias("_sizes"))  # one row of at most KEY_CHARS numbers
+    starts = F.transform(F.filter("_sizes", lambda n: n <= F.length(t)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n)))
+    keys = texts.join(F.broadcast(sizes), F.lit(True)).withColumn("_key", F.explode(F.array_distinct(F.flatten(starts)))).drop("_sizes")
+    hits = keys.join(keyed, "_key").where(t.contains(p)).drop("_key")
+    columns = [F.col(f"`{c}`") for c in patterns.columns]
+    always = patterns.where(p.isNull() | (F.length(p) == 0)).agg(F.collect_list(F.struct(*columns)).alias("_always"))  # one row
+    every = texts.join(F.broadcast(always), F.lit(True)).withColumn("_one", F.explode("_always"))
+    every = every.where(F.col("_one").getField(pat_col).isNull() | t.isNotNull())
+    every = every.select(*[F.col(f"`{c}`") for c in texts.columns], *[F.col("_one").getField(c).alias(c) for c in patterns.columns])
+    return hits.select(*[F.col(f"`{c}`") for c in [*texts.columns, *patterns.columns]]).unionByName(every)

@@ -26,6 +26,11 @@ def trunc_long(c: Column) -> Column:
     return F.when(_finite(c), c.cast("double").cast("long"))
 
 
+def finite_or_null(c: Column) -> Column:
+    """±inf and NaN become null."""
+    return F.when(_finite(c), c)
+
+
 def finite_or_zero(c: Column) -> Column:
     """±inf, NaN and null become 0.0."""
     return F.when(_finite(c), c).otherwise(F.lit(0.0))

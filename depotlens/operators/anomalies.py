@@ -5,18 +5,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.groups import attach_group
+from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.rounding import round_half_even, trunc_long
+from depotlens.operators.patterns import first_description
 
 
-def qty_statistics(mv: DataFrame, by: list[str] = (), approx: bool = False) -> DataFrame:
-    """A1: mean, std (ddof 1), p99 (linear) of row quantities and the threshold
-    max(p99, mean + 3 std).  Exact percentile keeps a value->count map; row
-    quantities have few distinct values.  ``approx`` uses percentile_approx."""
+def qty_statistics(mv: DataFrame, by: list[str] = ()) -> DataFrame:
+    """A1: mean, std (ddof 1), p99 (linear, exact and distributed) of row
+    quantities and the threshold max(p99, mean + 3 std)."""
     by = list(by)
     q = F.col("consumption_qty")
-    p99 = F.percentile_approx(q, 0.99, 100000) if approx else F.percentile(q, 0.99)
-    s = mv.groupBy(*by).agg(F.avg(q).alias("mean"), F.stddev_samp(q).alias("std"), p99.alias("q99"),
-                            F.count(F.lit(1)).alias("n_rows"))
+    s = mv.groupBy(*by).agg(F.avg(q).alias("mean"), F.stddev_samp(q).alias("std"), F.count(F.lit(1)).alias("n_rows"))
+    s = attach_group(s, exact_quantiles(mv, by, "consumption_qty", {"q99": 0.99}), by)
     return s.withColumn("threshold", F.greatest(F.col("q99"), F.col("mean") + F.lit(3.0) * F.col("std")))
 
 
@@ -34,9 +34,8 @@ def detect_anomalies(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     by = list(by)
     stats = qty_statistics(mv, by)
     rows = anomaly_rows(mv, by, stats)
-    key = F.col("row_key") if "row_key" in mv.columns else F.lit(0)
     return rows.groupBy(*by, "material_number").agg(
-        F.min(F.struct(key.alias("k"), F.col("material_description").alias("d")))["d"].alias("description"),
+        F.coalesce(first_description(), F.col("material_number")).alias("description"),
         trunc_long(F.max("consumption_qty")).alias("max_consumption"),
         trunc_long(round_half_even(F.avg("consumption_qty"), 2)).alias("avg_high_consumption"),
         F.count(F.lit(1)).cast("long").alias("high_consumption_instances"),
@@ -50,7 +49,7 @@ def anomaly_summary(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     by = list(by)
     stats = qty_statistics(mv, by)
     cnt = anomaly_rows(mv, by, stats).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    j = stats.join(cnt, by, "left") if by else attach_group(stats, cnt, by, "left")
+    j = attach_group(stats, cnt, by, "left")
     return j.select(*by, trunc_long(F.col("threshold")).alias("threshold_high"),
                     trunc_long(F.col("q99")).alias("q99_percentile"),
                     trunc_long(F.col("mean")).alias("mean"), trunc_long(F.col("std")).alias("std"),

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from depotlens.functions.dates import parse_any_date
 from depotlens.functions.joins import contains_join
 from depotlens.functions.text import month_name
-from depotlens.operators.normalise import typed_columns
+from depotlens.operators.normalise import is_valid, to_number, typed_columns
+from depotlens.operators.patterns import first_description
+from depotlens.operators.stock import predict_status_b
 
 RAW_MATERIAL = "Material"
 RAW_DESCRIPTION = "Material Description"
@@ -25,8 +27,7 @@ def dedupe_first(df: DataFrame, key: str, order: str = "row_key") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def search_movements(raw: DataFrame, mv: DataFrame, query: str = "", limit: int = 50,
-                     by: list[str] = ()) -> DataFrame:
+def search_movements(raw: DataFrame, mv: DataFrame, query: str = "", limit: int = 50) -> DataFrame:
     """K1: regex search over raw movement rows, one row per material (its first
     row), first ``limit`` materials in input order, with the max unit price.
 
@@ -35,7 +36,6 @@ def search_movements(raw: DataFrame, mv: DataFrame, query: str = "", limit: int
     0.0); rows whose quantity/amount text is not a number or whose date does
     not parse are dropped after the limit.  Null materials show as 'nan'.
     """
-    by = list(by)
     mat = F.coalesce(F.col(f"`{RAW_MATERIAL}`").cast("string"), F.lit("nan"))
     desc = F.coalesce(F.col(f"`{RAW_DESCRIPTION}`").cast("string"), F.lit("nan"))
     r = raw.select("row_key", mat.alias("material_number"), desc.alias("description"),
@@ -44,10 +44,10 @@ def search_movements(raw: DataFrame, mv: DataFrame, query: str = "", limit: int
         pat = "(?i)" + query
         r = r.where(F.col("material_number").rlike(pat) | F.col("description").rlike(pat))
     first = dedupe_first(r, "material_number").orderBy("row_key").limit(limit)
-    prices = mv.groupBy("material_number").agg(
+    hits = F.broadcast(first.select("material_number"))  # at most ``limit`` rows
+    prices = mv.join(hits, "material_number", "left_semi").groupBy("material_number").agg(
         F.max(F.when(F.col("amount") > 0, F.col("amount") / F.col("consumption_qty"))).alias("_p"))
-    q = F.col("_q").cast("string").try_cast("double")
-    a = F.col("_a").cast("string").try_cast("double")
+    q, a = to_number(F.col("_q")), to_number(F.col("_a"))
     d = parse_any_date(F.col("_d"))
     ok = (F.col("_q").isNull() | q.isNotNull()) & (F.col("_a").isNull() | a.isNotNull()) & d.isNotNull()
     out = first.join(prices, "material_number", "left").where(ok)
@@ -86,7 +86,8 @@ def search_ranked(materials: DataFrame, text: str, limit: int = 20) -> DataFrame
 
 def resolve_requests(requests: DataFrame, materials: DataFrame, limit: int = 10) -> DataFrame:
     """Each request text -> direct_match / single_match / multiple_matches
-    / no_matches, with the resolved material when there is exactly one.
+    / no_matches, with the resolved material when there is exactly one and the
+    ordered matches when there are several.
 
     Exact numbers are an equi-join.  The rest probe descriptions with a
     contains join (requests are the small, checked side), keep the first
@@ -102,8 +103,9 @@ def resolve_requests(requests: DataFrame, materials: DataFrame, limit: int = 10)
     hits = contains_join(texts, "_d", probe, "_q")
     w = Window.partitionBy("request_id").orderBy("material_number")
     top = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-    cnt = top.groupBy("request_id").agg(F.count(F.lit(1)).alias("match_count"),
-                                        F.min("material_number").alias("_only"))
+    cnt = top.groupBy("request_id").agg(  # at most ``limit`` rows a request
+        F.count(F.lit(1)).alias("match_count"), F.min("material_number").alias("_only"),
+        F.array_sort(F.collect_list(F.struct("material_number", "description"))).alias("_matches"))
     j = direct.join(cnt, "request_id", "left")
     n = F.coalesce("match_count", F.lit(0))
     kind = (F.when(F.col("_direct"), F.lit("direct_match")).when(n == 0, F.lit("no_matches"))
@@ -111,26 +113,40 @@ def resolve_requests(requests: DataFrame, materials: DataFrame, limit: int = 10)
     resolved = F.when(F.col("_direct"), F.col("text")).when(n == 1, F.col("_only"))
     return j.select("request_id", "text", "current_qty", kind.alias("match_type"),
                     resolved.alias("material_number"),
-                    F.when(F.col("_direct"), F.lit(1)).otherwise(n).cast("long").alias("match_count"))
+                    F.when(F.col("_direct"), F.lit(1)).otherwise(n).cast("long").alias("match_count"),
+                    F.when(kind == "multiple_matches", F.col("_matches")).alias("matches"))
+
+
+def request_matches(resolved: DataFrame) -> DataFrame:
+    """The match lists of I13 as rows, in order."""
+    return resolved.select("request_id", F.posexplode("matches").alias("_i", "_m")).select(
+        "request_id", (F.col("_i") + 1).alias("position"), "_m.material_number", "_m.description")
+
+
+def predict_requests(resolved: DataFrame, pat: DataFrame) -> DataFrame:
+    """I13 + I9: each request with the status of its resolved material and quantity.
+
+    The prediction carries ``request_id``, so equal requests stay one row each.
+    """
+    asked = resolved.where(F.col("material_number").isNotNull() & F.col("current_qty").isNotNull())
+    pred = predict_status_b(pat, asked.select("request_id", "material_number", "current_qty"), keep=["request_id"])
+    pred = pred.select("request_id", F.col("status").alias("predicted_status"), F.col("order_quantity").alias("predicted_order"))
+    return resolved.join(pred, "request_id", "left").select(*resolved.columns, "predicted_status", "predicted_order")
 
 
-def non_moving_materials(raw: DataFrame, mv: DataFrame, by: list[str] = ()) -> DataFrame:
-    """K5: materials present in the raw rows with no valid movement (set
-    difference as a left-anti join), with their first raw description."""
+def non_moving_materials(raw: DataFrame, by: list[str] = ()) -> DataFrame:
+    """K5: materials present in the raw rows with no valid movement, with their
+    first raw description: one aggregate over one pass of the raw rows."""
     by = list(by)
-    t = typed_columns(raw)
-    cand = t.where(F.col("material_number").isNotNull() & (F.col("material_number") != "nan"))
-    key = F.col("row_key") if "row_key" in t.columns else F.lit(0)
-    first = cand.groupBy(*by, "material_number").agg(
-        F.min(F.struct(key.alias("k"), F.col("material_description").alias("d")))["d"].alias("description"))
-    active = mv.select(*by, "material_number").distinct()
-    out = first.join(active, [*by, "material_number"], "left_anti")
-    return out.select(*by, "material_number", F.coalesce("description", F.lit("N/A")).alias("description"))
+    cand = typed_columns(raw).where(F.col("material_number").isNotNull() & (F.col("material_number") != "nan"))
+    seen = cand.groupBy(*by, "material_number").agg(
+        F.max(F.coalesce(is_valid(), F.lit(False))).alias("_active"), first_description().alias("description"))
+    return seen.where(~F.col("_active")).select(*by, "material_number", F.coalesce("description", F.lit("N/A")).alias("description"))
 
 
-def non_moving_report(raw: DataFrame, mv: DataFrame, by: list[str] = ()) -> DataFrame:
+def non_moving_report(raw: DataFrame, by: list[str] = ()) -> DataFrame:
     """K6: K5 with zeroed statistics and status Non-Moving."""
-    nm = non_moving_materials(raw, mv, by)
+    nm = non_moving_materials(raw, by)
     return nm.select(*list(by), "material_number", "description",
                      F.lit(0).cast("long").alias("avg_consumption"), F.lit(0).cast("long").alias("total_consumption"),
                      F.lit("N/A").alias("peak_month"), F.lit(0.0).alias("coefficient_of_variation"),

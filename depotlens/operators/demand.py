@@ -1,13 +1,15 @@
-"""H1-H4: high-demand months, top consumers, ranked order, ordered limits."""
+"""H1-H2: high-demand months and top consumers."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from depotlens.functions.groups import attach_group
+from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.rounding import trunc_long
 from depotlens.functions.text import month_name
+from depotlens.operators.patterns import monthly_consumption
 
 
 def high_demand_by_month(mv: DataFrame, by: list[str] = (), q: float = 0.75, top: int = 50) -> DataFrame:
@@ -16,20 +18,20 @@ def high_demand_by_month(mv: DataFrame, by: list[str] = (), q: float = 0.75, top
     ``top`` by quantity (ties: material order), then zero rows dropped.
 
     The zeros are not materialised: each (group, month) gets one weighted zero
-    row (frequency = materials without movement that month) and Spark's exact
-    ``percentile(value, q, frequency)`` interpolates over the full column.  The
+    row (frequency = materials without movement that month) and the distributed exact
+    quantile interpolates over the full column.  The
     top-k is ``row_number() <= top`` which Spark plans as a WindowGroupLimit
     (partial top-k before the shuffle), so no task holds a whole month.
     """
     by = list(by)
-    p1 = mv.groupBy(*by, "material_number", "month").agg(F.sum("consumption_qty").alias("qty"))
+    p1 = monthly_consumption(mv, by)
     n_mat = p1.groupBy(*by).agg(F.countDistinct("material_number").alias("n_mat"))
     per_month = p1.groupBy(*by, "month").agg(F.count(F.lit(1)).alias("n_obs"))
     zeros = attach_group(per_month, n_mat, by).where(F.col("n_mat") > F.col("n_obs")).select(
         *by, "month", F.lit(0.0).alias("qty"), (F.col("n_mat") - F.col("n_obs")).alias("freq"))
     col = p1.select(*by, "month", "qty", F.lit(1).cast("long").alias("freq")).unionByName(zeros)
-    th = col.groupBy(*by, "month").agg(F.percentile("qty", q, F.col("freq")).alias("threshold"))
-    cand = p1.join(th, [*by, "month"]).where(F.col("qty") >= F.col("threshold"))
+    th = exact_quantiles(col, [*by, "month"], "qty", {"threshold": q}, weight="freq")
+    cand = attach_group(p1, th, [*by, "month"]).where(F.col("qty") >= F.col("threshold"))
     w = Window.partitionBy(*by, "month").orderBy(F.col("qty").desc(), F.col("material_number"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return ranked.where(F.col("qty") > 0).select(
@@ -52,14 +54,3 @@ def top_consumers(pat: DataFrame, by: list[str] = (), n: int = 10) -> DataFrame:
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     w = Window.partitionBy(*by).orderBy(*order)
     return pat.select(*by, *cols).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def search_rank_key(desc: Column, query: str) -> list[Column]:
-    """H3: prefix matches first, then shorter description."""
-    d = F.lower(desc)
-    return [(~d.startswith(query.lower().strip())).cast("int"), F.length(desc)]
-
-
-def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """H4: first n rows in a stated order (TakeOrderedAndProject)."""
-    return df.orderBy(*order).limit(n)

@@ -13,8 +13,8 @@ def filter_depot_exact(df: DataFrame, depot: str, column: str = "Name 1", check:
     """Rows of one depot; with ``check`` an empty result raises, listing depots."""
     out = df.where(F.col(f"`{column}`") == F.lit(depot))
     if check and out.isEmpty():
-        available = [r[0] for r in df.select(F.col(f"`{column}`")).distinct().limit(1000).collect()]
-        raise UnknownDepotError(f"No data found for depot: {depot}. Available: {available}")
+        known = sorted(r[0] for r in df.select(F.col(f"`{column}`")).distinct().collect() if r[0] is not None)
+        raise UnknownDepotError(f"no movements of depot {depot!r}; the source has {known}")
     return out
 
 

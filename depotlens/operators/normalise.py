@@ -13,19 +13,26 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _to_number(c: Column) -> Column:
-    """pandas ``to_numeric(errors='coerce')``: unparseable -> null, NaN -> null."""
-    return F.nanvl(c.cast("string").try_cast("double"), F.lit(None).cast("double"))
+#: Shape of a number in text: no type suffixes, no hexadecimal, no words; short enough to be finite.
+NUMBER = r"^\s*([+-]?(?:\d{1,200}\.?\d{0,99}|\.\d{1,99})(?:[eE][+-]?\d{1,2})?)\s*$"
+
+
+def to_number(c: Column) -> Column:
+    """pandas ``to_numeric(errors='coerce')`` for finite numbers; anything else is null.
+
+    Deviation: an infinite quantity or amount is no measurement and becomes null, not
+    a value that would turn every statistic into NaN.
+    """
+    return F.regexp_extract(c.cast("string"), NUMBER, 1).try_cast("double")
 
 
 def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:
     """N1-N7 without the validity filter: every raw row, typed."""
     roles = require_columns(roles or resolve_columns([c for c in raw.columns if c != "row_key"]))
-    qty = F.abs(_to_number(_q(roles["quantity"])))                       # N2
-    amount = F.abs(_to_number(_q(roles["amount"])))                      # N3
+    qty = F.abs(to_number(_q(roles["quantity"])))                       # N2
+    amount = F.abs(to_number(_q(roles["amount"])))                      # N3
     material = _q(roles["material"]).cast("string")                      # N5
-    desc = (F.coalesce(_q(roles["description"]).cast("string"), material)  # N6
-            if roles.get("description") else material)
+    source = _q(roles["description"]).cast("string") if roles.get("description") else F.lit(None).cast("string")
     cols = []
     if "row_key" in raw.columns:
         cols.append(F.col("row_key"))
@@ -33,7 +40,8 @@ def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:
         cols.append(_q(DEPOT_COLUMN).cast("string").alias("depot_name"))
     cols += [
         material.alias("material_number"),
-        desc.alias("material_description"),
+        F.coalesce(source, material).alias("material_description"),      # N6, per row
+        source.alias("source_description"),                              # what "first non-null" looks at
         parse_any_date(_q(roles["date"])).alias("document_date"),        # N1
         qty.alias("consumption_qty"),
         amount.alias("amount"),
@@ -48,7 +56,7 @@ def validity(c_qty: Column, c_amount: Column, c_material: Column, c_date: Column
     return (c_qty > 0) & (c_amount >= 0) & (c_material != "nan") & c_date.isNotNull()
 
 
-def _is_valid() -> Column:
+def is_valid() -> Column:
     return validity(F.col("consumption_qty"), F.col("amount"), F.col("material_number"), F.col("document_date"))
 
 
@@ -62,7 +70,7 @@ def add_calendar(df: DataFrame) -> DataFrame:
 
 def normalise_movements(raw: DataFrame, roles: dict | None = None) -> DataFrame:
     """Typed, valid movement rows (the ``movements`` contract)."""
-    return add_calendar(typed_columns(raw, roles).where(_is_valid()))
+    return add_calendar(typed_columns(raw, roles).where(is_valid()))
 
 
 def rejected_movements(raw: DataFrame, roles: dict | None = None) -> DataFrame:
@@ -72,7 +80,7 @@ def rejected_movements(raw: DataFrame, roles: dict | None = None) -> DataFrame:
               .when(F.col("document_date").isNull(), F.lit("date"))
               .when(F.col("consumption_qty").isNull() | (F.col("consumption_qty") <= 0), F.lit("quantity"))
               .when(F.col("amount").isNull() | (F.col("amount") < 0), F.lit("amount")))
-    return t.where(~F.coalesce(_is_valid(), F.lit(False))).withColumn("reason", reason)
+    return t.where(~F.coalesce(is_valid(), F.lit(False))).withColumn("reason", reason)
 
 
 def display_columns(df: DataFrame, order_by: list[str], desc_col: str = "description",

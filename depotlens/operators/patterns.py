@@ -6,9 +6,8 @@ seen over all of M with zeros filled in, so mean/std/min run over |M| values.
 
 Plan.  One partial+final hash aggregation turns movements into one row per
 (group, material) holding twelve month sums (null = no movement that month).
-M per group is a second tiny hash aggregate over that table (checkpointed,
-so the movement scan runs once) attached by ``attach_group`` (AQE-broadcast join, or a one-row
-broadcast for a single group).  The statistics are pure expressions over the
+M per group is a second tiny hash aggregate over that table, which reads the same
+exchange, so the movements are scanned once; ``attach_group`` broadcasts it (checked, null-safe).  The statistics are pure expressions over the
 dense <=12-slot vector taken in month order: no material x month cross join,
 no sort-based aggregation, no Python.
 """
@@ -17,15 +16,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.groups import attach_group, materialize
+from depotlens.functions.groups import attach_group, join_null_safe
+from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.rounding import round_half_even
 from depotlens.functions.text import month_name
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum that does not depend on the order of rows: DECIMAL accumulation, double result."""
+    return F.sum(c.cast("decimal(38,10)")).cast("double")
+
+
+def first_description() -> Column:
+    """First non-null source description in input order; needs ``row_key``."""
+    d = F.col("source_description")
+    return F.min(F.when(d.isNotNull(), F.struct(F.col("row_key").alias("k"), d.alias("d"))))["d"]
+
+
 def monthly_consumption(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     """Sum of quantity by (group, material, month)."""
     by = list(by)
-    return mv.groupBy(*by, "material_number", "month").agg(F.sum("consumption_qty").alias("qty"))
+    return mv.groupBy(*by, "material_number", "month").agg(exact_sum(F.col("consumption_qty")).alias("qty"))
 
 
 def _month_slots(mv: DataFrame, by: list[str], with_description: bool = False) -> DataFrame:
@@ -37,16 +48,13 @@ def _month_slots(mv: DataFrame, by: list[str], with_description: bool = False) -
     shuffle of at most one partial row per material per input partition).
     """
     q = F.col("consumption_qty")
-    aggs = [F.sum(F.when(F.col("month") == i, q)).alias(f"_q{i}") for i in range(1, 13)]
+    aggs = [exact_sum(F.when(F.col("month") == i, q)).alias(f"_q{i}") for i in range(1, 13)]
     aggs.append(F.max(F.when(F.col("amount") > 0, F.col("amount") / q)).alias("max_price"))
     if with_description:
         # P6 folded into the same pass: the string buffer makes this a
         # sort-based partial aggregate, still one read of the movements
         # instead of a second full pass for the descriptions.
-        key = F.col("row_key") if "row_key" in mv.columns else F.lit(0)
-        aggs.append(F.min(F.when(F.col("material_description").isNotNull(),
-                                 F.struct(key.alias("k"), F.col("material_description").alias("d"))))["d"]
-                    .alias("description"))
+        aggs.append(F.coalesce(first_description(), F.col("material_number")).alias("description"))
     return mv.groupBy(*by, "material_number").agg(*aggs)
 
 
@@ -81,9 +89,8 @@ def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool
     input order (P6, computed in the same pass).
     """
     by = list(by)
-    # The slot table feeds two branches (M per group, stats per material);
-    # checkpointing it keeps the movement scan to a single pass.
-    slots = materialize(_month_slots(mv, by, with_description))
+    # Two branches (M per group, statistics per material) over one exchange.
+    slots = _month_slots(mv, by, with_description)
     j = attach_group(slots, active_months(slots, by), by)
     vals = _slot_array()
     extra = ["description"] if with_description else []
@@ -142,10 +149,7 @@ def materials_dim(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     It is kept out of the hot P1 aggregation for that reason.
     """
     by = list(by)
-    key = F.col("row_key") if "row_key" in mv.columns else F.lit(0)
-    return (mv.where(F.col("material_description").isNotNull())
-            .groupBy(*by, "material_number")
-            .agg(F.min(F.struct(key.alias("k"), F.col("material_description").alias("d")))["d"].alias("description")))
+    return mv.groupBy(*by, "material_number").agg(F.coalesce(first_description(), F.col("material_number")).alias("description"))
 
 
 def max_unit_price(mv: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -184,7 +188,7 @@ def seasonal_overview(pat: DataFrame, by: list[str] = ()) -> DataFrame:
 def high_velocity_count(pat: DataFrame, by: list[str] = (), q: float = 0.9) -> DataFrame:
     """Materials whose avg is at or above the q-quantile (linear) of avg."""
     by = list(by)
-    th = pat.groupBy(*by).agg(F.percentile("avg_monthly_consumption", q).alias("p_hv"))
+    th = exact_quantiles(pat, by, "avg_monthly_consumption", {"p_hv": q})
     j = attach_group(pat.select(*by, "avg_monthly_consumption"), th, by)
     return j.groupBy(*by).agg(F.count(F.when(F.col("avg_monthly_consumption") >= F.col("p_hv"), 1))
                               .cast("long").alias("high_velocity_items"))
@@ -198,7 +202,7 @@ def peak_month_histogram(pat: DataFrame, by: list[str] = ()) -> DataFrame:
         grid = pat.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
     else:
         grid = pat.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
-    out = grid.join(counts, on=[*by, "month"], how="left")
+    out = join_null_safe(grid, counts, [*by, "month"], "left")
     return out.select(*by, F.col("month").cast("int").alias("month"), month_name(F.col("month")).alias("month_name"),
                       F.coalesce("n", F.lit(0)).cast("long").alias("peak_materials"),
                       F.lit(0).cast("long").alias("total_consumption"))

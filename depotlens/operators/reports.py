@@ -26,7 +26,7 @@ def summary_report(mv: DataFrame, pat: DataFrame, by: list[str] = ()) -> DataFra
     mean = pat.groupBy(*by).agg(F.avg("avg_monthly_consumption").cast("long").alias("avg_monthly_consumption"))
     j = ov
     for t in (hv, mean, tiers):
-        j = j.join(t, by) if by else attach_group(j, t, by)
+        j = attach_group(j, t, by)
     return j.select(*by, F.col("unique_materials").alias("total_materials"),
                     F.concat_ws(" to ", "start_date", "end_date").alias("date_range"),
                     "high_velocity_items", "avg_monthly_consumption", *[t.lower() for t in TIERS])
@@ -47,8 +47,8 @@ def full_report_summary(mv: DataFrame, pat: DataFrame, non_moving: DataFrame, by
     nm = non_moving.groupBy(*by).agg(F.count(F.lit(1)).alias("_nm"))
     j = ov
     for t in (hv, tiers):
-        j = j.join(t, by) if by else attach_group(j, t, by)
-    j = j.join(nm, by, "left") if by else attach_group(j, nm, by, "left")
+        j = attach_group(j, t, by)
+    j = attach_group(j, nm, by, "left")
     return j.select(
         *by, F.col("unique_materials").alias("total_materials"),
         F.concat_ws(" to ", "start_date", "end_date").alias("date_range"), "high_velocity_items",

@@ -5,25 +5,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.contracts import TIERS
-from depotlens.functions.groups import attach_group
+from depotlens.functions.groups import attach_group, join_null_safe
+from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.text import month_name
 
 
-def tier_thresholds(pat: DataFrame, by: list[str] = (), approx: bool = False) -> DataFrame:
-    """80th and 50th percentile (linear) of the rounded avg per group.
-
-    Exact ``percentile`` keeps a value->count map per group; the avg values are
-    small rounded integers, so the map stays small.  ``approx=True`` switches to
-    ``percentile_approx`` for sketch-sized state.
-    """
-    by = list(by)
-    avg = F.col("avg_monthly_consumption")
-    if approx:
-        p = F.percentile_approx(avg.cast("double"), [0.8, 0.5], 10000)
-    else:
-        p = F.percentile(avg, F.array(F.lit(0.8), F.lit(0.5)))
-    return pat.groupBy(*by).agg(p.alias("_p")).select(
-        *by, F.col("_p")[0].cast("double").alias("p80"), F.col("_p")[1].cast("double").alias("p50"))
+def tier_thresholds(pat: DataFrame, by: list[str] = ()) -> DataFrame:
+    """80th and 50th percentile (linear) of the rounded avg per group."""
+    return exact_quantiles(pat, list(by), "avg_monthly_consumption", {"p80": 0.8, "p50": 0.5})
 
 
 def tier_expr(avg: Column, cv: Column, p80: Column, p50: Column) -> Column:
@@ -34,11 +23,10 @@ def tier_expr(avg: Column, cv: Column, p80: Column, p50: Column) -> Column:
             .otherwise(F.when(var, "LD_Sporadic").otherwise("LD_Stable")))
 
 
-def classify_materials(pat: DataFrame, by: list[str] = (), cv_col: str = "coefficient_of_variation",
-                       approx: bool = False) -> DataFrame:
+def classify_materials(pat: DataFrame, by: list[str] = (), cv_col: str = "coefficient_of_variation") -> DataFrame:
     """Pattern rows plus ``tier`` (and the thresholds used)."""
     by = list(by)
-    th = tier_thresholds(pat, by, approx)
+    th = tier_thresholds(pat, by)
     j = attach_group(pat, th, by)
     return j.withColumn("tier", tier_expr(F.col("avg_monthly_consumption"), F.col(cv_col), F.col("p80"), F.col("p50")))
 
@@ -52,7 +40,7 @@ def tier_counts(classified: DataFrame, by: list[str] = ()) -> DataFrame:
         grid = classified.select(*by).distinct().select(*by, F.explode(tiers).alias("tier"))
     else:
         grid = classified.sparkSession.range(1).select(F.explode(tiers).alias("tier"))
-    return grid.join(counts, on=[*by, "tier"], how="left").select(
+    return join_null_safe(grid, counts, [*by, "tier"], "left").select(
         *by, "tier", F.coalesce("n", F.lit(0)).cast("long").alias("materials"))
 
 
@@ -72,10 +60,10 @@ def tier_detail(classified: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
-def tier_detail_lite(pat: DataFrame, by: list[str] = (), approx: bool = False) -> DataFrame:
+def tier_detail_lite(pat: DataFrame, by: list[str] = ()) -> DataFrame:
     """Tiers on the rounded-basis CV, members with avg, total, cv."""
     by = list(by)
-    c = classify_materials(pat, by, cv_col="cv_rounded_basis", approx=approx)
+    c = classify_materials(pat, by, cv_col="cv_rounded_basis")
     return c.select(*by, "tier", "material_number", F.coalesce("description", F.lit("N/A")).alias("description"),
                     F.col("avg_monthly_consumption").alias("avg_consumption"),
                     F.col("total_annual_consumption").alias("total_consumption"),

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from depotlens.functions.rounding import round_half_even, trunc_long
-from depotlens.functions.text import float_text
+from depotlens.functions.text import float_text, month_name
+from depotlens.operators.normalise import to_number
 
 # Recommendation texts per quantity status.
 STATUS_ADVICE = {
@@ -87,9 +87,9 @@ def validate_stock(stock: DataFrame, qty_col: str = "current_qty") -> DataFrame:
     Adds ``current_qty`` as double and ``input_error`` (null when valid).
     """
     raw = F.col(qty_col)
-    num = raw.cast("string").try_cast("double")
+    num = to_number(raw)
     err = (F.when(raw.isNull(), F.lit("current quantity is required"))
-           .when(num.isNull() | F.isnan(num), F.lit("current quantity must be a number"))
+           .when(num.isNull(), F.lit("current quantity must be a number"))
            .when(num < 0, F.lit("current quantity must not be negative")))
     return stock.withColumn("input_error", err).withColumn("current_qty", F.when(err.isNull(), num))
 
@@ -168,8 +168,9 @@ def recommendation_text(status: Column, cv: Column, avg: Column, qty: Column) ->
     return (F.when(status.isin("Low", "Critical"), low).when(status == "Adequate", adequate).otherwise(excess))
 
 
-def predict_status_b(pat: DataFrame, stock: DataFrame, by: list[str] = ()) -> DataFrame:
-    """I9 (with I11, I12): status on the rounded-basis statistics."""
+def predict_status_b(pat: DataFrame, stock: DataFrame, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """I9 (with I11, I12): status on the rounded-basis statistics; ``keep`` names
+    stock columns to carry through."""
     by = list(by)
     s = validate_stock(stock)
     j = _join_stock(pat, s, by)
@@ -184,7 +185,7 @@ def predict_status_b(pat: DataFrame, stock: DataFrame, by: list[str] = ()) -> Da
     cv = F.col("cv_rounded_basis")
     ok = F.col("found") & F.col("input_error").isNull()
     return j.select(
-        *by, "material_number", "found",
+        *keep, *by, "material_number", "found",
         F.when(~F.col("found"), F.lit("Material number not found")).otherwise(F.col("input_error")).alias("error"),
         F.when(ok, F.coalesce("description", F.lit("N/A"))).alias("material_description"),
         q.alias("current_quantity"),
@@ -209,21 +210,21 @@ def busy_slow_months(p1: DataFrame, by: list[str] = (), k: int = 3) -> DataFrame
     """Top-k and bottom-k months by quantity among months with qty > 0.
 
     Ties go to the earlier month.  With fewer than k such months both lists are
-    all of them in month order.  The window groups are one material's months
-    (<= 12 rows), so no task ever holds more than that per key.
+    all of them in month order.  A material's months are one array of at most 12, sorted in
+    place: no window, one exchange.
     """
-    by = list(by)
-    pos = p1.where(F.col("qty") > 0)
-    part = [*by, "material_number"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    busy = F.row_number().over(Window.partitionBy(*part).orderBy(F.col("qty").desc(), F.col("month")))
-    slow = F.row_number().over(Window.partitionBy(*part).orderBy(F.col("qty"), F.col("month")))
-    by_month = F.row_number().over(Window.partitionBy(*part).orderBy(F.col("month")))
-    r = pos.select(*part, "month", "qty", n.alias("n"), busy.alias("rb"), slow.alias("rs"), by_month.alias("rm"))
-    from depotlens.functions.text import month_name
-    def side(kind: str, rank: str) -> DataFrame:
-        position = F.when(F.col("n") >= k, F.col(rank)).otherwise(F.col("rm"))
-        return r.where((F.col("n") < k) | (F.col(rank) <= k)).select(
-            *part, F.lit(kind).alias("kind"), position.cast("int").alias("position"),
-            month_name(F.col("month")).alias("month_name"), F.rint("qty").cast("long").alias("consumption"))
-    return side("busy", "rb").unionByName(side("slow", "rs"))
+    part = [*list(by), "material_number"]
+    months = p1.where(F.col("qty") > 0).groupBy(*part).agg(F.collect_list(F.struct("month", "qty")).alias("a"))
+
+    def ordered(rank) -> Column:
+        keyed = F.transform("a", lambda x: F.struct(rank(x).alias("rank"), x["month"].alias("month"), x["qty"].alias("qty")))
+        return F.array_sort(keyed)
+
+    every = ordered(lambda x: F.lit(0.0))
+    enough = F.size("a") >= k
+    busy = F.when(enough, F.slice(ordered(lambda x: -x["qty"]), 1, k)).otherwise(every)
+    slow = F.when(enough, F.slice(ordered(lambda x: x["qty"]), 1, k)).otherwise(every)
+    sides = F.array(F.struct(F.lit("busy").alias("kind"), busy.alias("m")), F.struct(F.lit("slow").alias("kind"), slow.alias("m")))
+    rows = months.select(*part, F.explode(sides).alias("s")).select(*part, "s.kind", F.posexplode("s.m").alias("i", "x"))
+    return rows.select(*part, "kind", (F.col("i") + 1).cast("int").alias("position"), month_name(F.col("x.month")).alias("month_name"),
+                       F.rint("x.qty").cast("long").alias("consumption"))

@@ -47,7 +47,7 @@ def assign_vendor(materials: DataFrame, rules: DataFrame, vendors: DataFrame, fa
     """V3: highest score, ties to the earlier vendor; no score -> fallback."""
     by = list(by)
     ranks = vendors.select("vendor", "vendor_rank")
-    sc = vendor_scores(materials, rules, by).join(F.broadcast(ranks), "vendor", "left")
+    sc = vendor_scores(materials, rules, by).join(ranks, "vendor", "left")
     big = F.lit(2 ** 31 - 1)
     best = sc.where(F.col("score") > 0).groupBy(*by, "material_number").agg(
         F.max_by("vendor", F.struct(F.col("score"), (-F.coalesce("vendor_rank", big)).alias("r"))).alias("rule_vendor"),
@@ -68,10 +68,16 @@ def vendor_catalog(assigned: DataFrame, vendors: DataFrame) -> DataFrame:
         "vendor_rank", "vendor", "contact", "phone", F.coalesce("n", F.lit(0)).cast("long").alias("materials"))
 
 
+def vendor_members(assigned: DataFrame, vendors: DataFrame) -> DataFrame:
+    """V4 member lists: every material under its vendor, by vendor and number."""
+    return assigned.join(vendors.select("vendor", "vendor_rank"), "vendor", "left").select(
+        "vendor_rank", "vendor", "material_number", "description")
+
+
 def vendor_contact(assigned: DataFrame, vendors: DataFrame) -> DataFrame:
     """V7: contact and phone per assigned vendor, 'Not available' if unknown."""
     v = vendors.select("vendor", "contact", "phone")
-    j = assigned.join(F.broadcast(v), "vendor", "left")
+    j = assigned.join(v, "vendor", "left")
     return j.select(*[c for c in assigned.columns],
                     F.coalesce("contact", F.lit("Not available")).alias("contact"),
                     F.coalesce("phone", F.lit("Not available")).alias("phone"))
@@ -107,7 +113,7 @@ def vendor_orders(lines: DataFrame, vendors: DataFrame, by: list[str] = ()) -> D
         round_half_even(_money_sum(F.col("_raw_total")), 2).alias("total_value"),
         F.array_join(F.array_sort(F.collect_list("material_number")), ",").alias("materials"))
     v = vendors.select("vendor", "contact", "phone")
-    return agg.join(F.broadcast(v), "vendor", "left").select(
+    return agg.join(v, "vendor", "left").select(
         *by, "session_id", "vendor", "n_lines", "total_value", "materials",
         F.coalesce("contact", F.lit("")).alias("contact"), F.coalesce("phone", F.lit("")).alias("phone"))
 

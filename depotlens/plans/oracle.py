@@ -12,20 +12,30 @@ from __future__ import annotations
 RAW = """
 raw AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_quantity,
-    r.r_name || ' Depot' AS depot_raw,
+    -- '~' stands for a null depot inside the CTEs, so that plain equality groups and joins it; see ``no_depot``
+    CASE WHEN l.l_suppkey % 40 = 3 THEN '~' ELSE r.r_name || ' Depot' END AS depot_raw,
     CASE WHEN l.l_orderkey % 211 = 5 THEN NULL ELSE CAST(l.l_partkey AS VARCHAR) END AS material_raw,
-    concat_ws(' ', p.p_name, p.p_type, p.p_brand) AS desc_raw,
+    CASE WHEN l.l_orderkey % 13 = 6 THEN NULL ELSE concat_ws(' ', p.p_name, p.p_type, p.p_brand) END AS desc_raw,
     CASE WHEN l.l_orderkey % 89 = 3 THEN 'n/a'
+         WHEN l.l_orderkey % 83 = 7 THEN strftime(l.l_shipdate, '%Y-%m-%d') || ' junk'
+         WHEN l.l_orderkey % 79 = 9 THEN strftime(l.l_shipdate, '%m-%d-%Y %H:%M:%S')
+         WHEN l.l_orderkey % 73 = 11 THEN strftime(l.l_shipdate, '%b %d %Y')
+         WHEN l.l_orderkey % 71 = 13 THEN strftime(l.l_shipdate, '%Y%m%d')
+         WHEN l.l_orderkey % 67 = 15 THEN strftime(l.l_shipdate, '%Y/%m/%d')
          WHEN l.l_orderkey % 4 = 0 THEN strftime(l.l_shipdate, '%d-%m-%Y')
          WHEN l.l_orderkey % 4 = 1 THEN strftime(l.l_shipdate, '%Y-%m-%d')
          WHEN l.l_orderkey % 4 = 2 THEN strftime(l.l_shipdate, '%m/%d/%Y')
          ELSE strftime(l.l_shipdate, '%Y-%m-%dT%H:%M:%S') END AS date_raw,
     CASE WHEN l.l_partkey % 50 = 7 THEN NULL
          WHEN l.l_orderkey % 97 = 1 THEN 'x'
+         WHEN l.l_orderkey % 107 = 9 AND NOT l.l_orderkey % 103 = 7 THEN 'Infinity'
          ELSE CAST(CAST(l.l_quantity AS BIGINT)
                    * (CASE WHEN l.l_orderkey % 499 = 2 THEN 10 ELSE 1 END)
-                   * (CASE WHEN l.l_returnflag = 'R' THEN -1 ELSE 1 END) AS VARCHAR) END AS qty_raw,
-    CASE WHEN l.l_orderkey % 101 = 4 THEN NULL ELSE CAST(l.l_extendedprice AS VARCHAR) END AS amount_raw
+                   * (CASE WHEN l.l_returnflag = 'R' THEN -1 ELSE 1 END) AS VARCHAR)
+              || CASE WHEN l.l_orderkey % 103 = 7 THEN 'd' ELSE '' END END AS qty_raw,
+    CASE WHEN l.l_orderkey % 101 = 4 THEN NULL
+         WHEN l.l_orderkey % 109 = 5 THEN CAST(l.l_extendedprice AS VARCHAR) || 'f'
+         ELSE CAST(l.l_extendedprice AS VARCHAR) END AS amount_raw
   FROM lineitem l
   JOIN part p ON l.l_partkey = p.p_partkey
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
@@ -33,17 +43,31 @@ raw AS (
   JOIN region r ON n.n_regionkey = r.r_regionkey
 )"""
 
-TYPED = """
+def num(x: str) -> str:
+    """A number in text; anything else, words and suffixes included, is NULL."""
+    return f"(CASE WHEN regexp_full_match({x}, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') THEN try_cast({x} AS DOUBLE) END)"
+
+
+def day(x: str) -> str:
+    """The fixture's date texts, each by its full shape."""
+    formats = ("%d-%m-%Y", "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%dT%H:%M:%S", "%m-%d-%Y %H:%M:%S", "%b %d %Y", "%Y%m%d", "%Y/%m/%d")
+    return "CAST(coalesce(" + ", ".join(f"try_strptime({x}, '{f}')" for f in formats) + ") AS DATE)"
+
+
+def no_depot(sql: str) -> str:
+    """The result with null depots shown as NULL again."""
+    return f"SELECT * REPLACE (nullif(depot_name, '~') AS depot_name) FROM (\n{sql}\n)"
+
+
+TYPED = f"""
 typed AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
     depot_raw AS depot_name,
     material_raw AS material_number,
-    coalesce(desc_raw, material_raw) AS material_description,
-    CAST(coalesce(try_strptime(date_raw, '%d-%m-%Y'), try_strptime(date_raw, '%Y-%m-%d'),
-                  try_strptime(date_raw, '%m/%d/%Y'), try_strptime(date_raw, '%d/%m/%Y'),
-                  try_cast(date_raw AS TIMESTAMP)) AS DATE) AS document_date,
-    abs(CASE WHEN isnan(try_cast(qty_raw AS DOUBLE)) THEN NULL ELSE try_cast(qty_raw AS DOUBLE) END) AS consumption_qty,
-    abs(CASE WHEN isnan(try_cast(amount_raw AS DOUBLE)) THEN NULL ELSE try_cast(amount_raw AS DOUBLE) END) AS amount
+    coalesce(desc_raw, material_raw) AS material_description, desc_raw AS source_description,
+    {day("date_raw")} AS document_date,
+    abs({num("qty_raw")}) AS consumption_qty,
+    abs({num("amount_raw")}) AS amount
   FROM raw
 )"""
 
@@ -78,7 +102,7 @@ p1 AS (
 gm AS (SELECT DISTINCT {g}month FROM p1),
 mats AS (
   SELECT {g}material_number,
-         arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description
+         coalesce(arg_min(source_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)), material_number) AS description
   FROM mv GROUP BY {g}material_number
 ),
 grid AS (SELECT {"m.depot_name, " if by else ""}m.material_number, gm.month FROM mats m JOIN gm {"ON m.depot_name = gm.depot_name" if by else "ON TRUE"}),

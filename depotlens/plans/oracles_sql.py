@@ -1,7 +1,7 @@
 """Oracle SQL per registered query (DuckDB dialect)."""
 from __future__ import annotations
 
-from depotlens.plans.oracle import MV, RAW, STOCK, TYPED, patterns_ctes, tiers_ctes, with_
+from depotlens.plans.oracle import MV, RAW, STOCK, TYPED, day, no_depot, num, patterns_ctes, tiers_ctes, with_
 
 BASE = (RAW, TYPED, MV)
 PATTERN_SELECT = """material_number, CAST(n_months AS BIGINT) AS n_months,
@@ -59,7 +59,7 @@ REQS = _values("reqs", _fx.REQUESTS, "request_id, text, current_qty", ["INTEGER"
 MATS1 = """
 mats1 AS (
   SELECT material_number,
-         arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description
+         coalesce(arg_min(source_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)), material_number) AS description
   FROM mv GROUP BY material_number
 )"""
 
@@ -161,8 +161,8 @@ ordered AS (
 )
 SELECT * FROM (VALUES {_META}) t(section, item, value)
 UNION ALL SELECT 'rows', 'count', CAST(count(*) AS VARCHAR) FROM raw
-UNION ALL SELECT 'depot', coalesce(depot_raw, ''), CAST(count(*) AS VARCHAR) FROM raw GROUP BY depot_raw
-UNION ALL SELECT 'first_row', printf('%03d', rn), concat_ws('|', coalesce(depot_raw, ''), coalesce(material_raw, ''),
+UNION ALL SELECT 'depot', coalesce(nullif(depot_raw, '~'), ''), CAST(count(*) AS VARCHAR) FROM raw GROUP BY depot_raw
+UNION ALL SELECT 'first_row', printf('%03d', rn), concat_ws('|', coalesce(nullif(depot_raw, '~'), ''), coalesce(material_raw, ''),
   coalesce(desc_raw, ''), coalesce(date_raw, ''), coalesce(qty_raw, ''), coalesce(amount_raw, '')) FROM ordered WHERE rn <= 5
 UNION ALL SELECT 'first_description', printf('%03d', rn), coalesce(desc_raw, '') FROM ordered WHERE rn <= 10"""
 
@@ -315,14 +315,14 @@ FROM patb"""
 SQL["stock_validation"] = """
 WITH e AS (
   SELECT CAST(p_partkey AS VARCHAR) AS material_number,
-    CASE WHEN p_partkey % 97 = 3 THEN 'n/a' WHEN p_partkey % 89 = 5 THEN '-' || CAST(p_size AS VARCHAR)
+    CASE WHEN p_partkey % 97 = 3 THEN 'n/a' WHEN p_partkey % 79 = 11 THEN CAST(p_size AS VARCHAR) || 'd' WHEN p_partkey % 89 = 5 THEN '-' || CAST(p_size AS VARCHAR)
          WHEN p_partkey % 83 = 7 THEN NULL ELSE CAST(p_size * 2 AS VARCHAR) END AS raw_qty
   FROM part
 ), v AS (
-  SELECT material_number, raw_qty, try_cast(raw_qty AS DOUBLE) AS num,
+  SELECT material_number, raw_qty, """ + num("raw_qty") + """ AS num,
     CASE WHEN raw_qty IS NULL THEN 'current quantity is required'
-         WHEN try_cast(raw_qty AS DOUBLE) IS NULL OR isnan(try_cast(raw_qty AS DOUBLE)) THEN 'current quantity must be a number'
-         WHEN try_cast(raw_qty AS DOUBLE) < 0 THEN 'current quantity must not be negative' END AS input_error
+         WHEN """ + num("raw_qty") + """ IS NULL THEN 'current quantity must be a number'
+         WHEN """ + num("raw_qty") + """ < 0 THEN 'current quantity must not be negative' END AS input_error
   FROM e
 )
 SELECT material_number, CASE WHEN input_error IS NULL THEN num END AS current_qty, input_error FROM v"""
@@ -349,6 +349,15 @@ SELECT res.request_id, res.text, res.current_qty, res.match_type, res.material_n
   pred.status AS predicted_status, pred.order_quantity AS predicted_order
 FROM res LEFT JOIN pred ON res.request_id = pred.request_id"""
 
+SQL["request_matches"] = with_(*BASE, MATS1, REQS) + """,
+hits AS (
+  SELECT r.request_id, m.material_number, m.description, row_number() OVER (PARTITION BY r.request_id ORDER BY m.material_number) AS position,
+    count(*) OVER (PARTITION BY r.request_id) AS n
+  FROM reqs r JOIN mats1 m ON length(r.text) >= 2 AND contains(lower(coalesce(m.description, '')), lower(trim(r.text)))
+  WHERE r.text NOT IN (SELECT material_number FROM mats1)
+)
+SELECT request_id, position, material_number, description FROM hits WHERE n > 1 AND position <= 10"""
+
 SQL["high_demand_by_month"] = with_(*BASE, patterns_ctes(False)) + """,
 th AS (SELECT month, quantile_cont(qty, 0.75) AS threshold FROM dense GROUP BY month),
 ranked AS (
@@ -394,7 +403,7 @@ SQL["anomaly_rows"] = with_(*BASE, _anom(False)) + """
 SELECT depot_name, material_number, strftime(document_date, '%Y-%m-%d') AS document_date, consumption_qty FROM arows"""
 
 _AGG = """material_number,
-  arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description,
+  coalesce(arg_min(source_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)), material_number) AS description,
   CAST(trunc(max(consumption_qty)) AS BIGINT) AS max_consumption,
   CAST(trunc(round_even(avg(consumption_qty) * 100, 0) / 100) AS BIGINT) AS avg_high_consumption,
   CAST(count(*) AS BIGINT) AS high_consumption_instances, 'Unusually High Consumption' AS anomaly_type,
@@ -414,10 +423,8 @@ firsts AS (
 ),
 pr AS (SELECT material_number, max(CASE WHEN amount > 0 THEN amount / consumption_qty END) AS p FROM mv GROUP BY material_number),
 f2 AS (
-  SELECT f.*, try_cast(qty_raw AS DOUBLE) AS q, try_cast(amount_raw AS DOUBLE) AS a,
-    CAST(coalesce(try_strptime(date_raw, '%d-%m-%Y'), try_strptime(date_raw, '%Y-%m-%d'),
-                  try_strptime(date_raw, '%m/%d/%Y'), try_strptime(date_raw, '%d/%m/%Y'),
-                  try_cast(date_raw AS TIMESTAMP)) AS DATE) AS dt
+  SELECT f.*, """ + num("qty_raw") + """ AS q, """ + num("amount_raw") + """ AS a,
+    """ + day("date_raw") + """ AS dt
   FROM firsts f
 )
 SELECT m AS material_number, d AS description, coalesce(q, 0.0) AS quantity, coalesce(a, 0.0) AS amount,
@@ -453,7 +460,7 @@ def _nonmoving(by: bool) -> str:
     return with_(*BASE) + f""",
 cand AS (
   SELECT {g}material_number,
-    arg_min(material_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description
+    arg_min(source_description, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)) AS description
   FROM typed WHERE material_number IS NOT NULL AND material_number <> 'nan' GROUP BY {g}material_number
 ),
 nm AS (
@@ -474,6 +481,8 @@ SQL["assign_vendor"] = with_(*BASE, MATS1, VENDOR_CTES) + "\nSELECT material_num
 SQL["vendor_catalog"] = with_(*BASE, MATS1, VENDOR_CTES) + """
 SELECT v.vendor_rank, v.vendor, v.contact, v.phone, CAST(count(a.material_number) AS BIGINT) AS materials
 FROM vend v LEFT JOIN assigned a ON a.vendor = v.vendor GROUP BY v.vendor_rank, v.vendor, v.contact, v.phone"""
+SQL["vendor_members"] = with_(*BASE, MATS1, VENDOR_CTES) + """
+SELECT v.vendor_rank, a.vendor, a.material_number, a.description FROM assigned a LEFT JOIN vend v ON a.vendor = v.vendor"""
 SQL["vendor_contact"] = with_(*BASE, MATS1, VENDOR_CTES) + """
 SELECT a.material_number, a.vendor, coalesce(v.contact, 'Not available') AS contact, coalesce(v.phone, 'Not available') AS phone
 FROM assigned a LEFT JOIN vend v ON a.vendor = v.vendor"""
@@ -615,3 +624,7 @@ SQL["summary_report"] = _report(False, False)
 SQL["summary_report_by_depot"] = _report(True, False)
 SQL["full_report_summary"] = _report(False, True)
 SQL["full_report_summary_by_depot"] = _report(True, True)
+
+for _name in ("movements", "anomaly_rows", "predict_inventory_by_depot", "depot_filter_like", *[k for k in SQL if k.endswith("_by_depot")]):
+    if "nullif(depot_name" not in SQL[_name]:
+        SQL[_name] = no_depot(SQL[_name])

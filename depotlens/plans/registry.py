@@ -57,7 +57,7 @@ def _assigned(spark, sf_dir, mv=None, by=(), mats=None):
 @query("movements")
 def q_movements(spark, sf_dir):
     """Typed valid movement rows."""
-    return movements(spark, sf_dir).drop("row_key")
+    return movements(spark, sf_dir).drop("row_key", "source_description")
 
 
 # -- P: patterns --------------------------------------------------------------
@@ -284,7 +284,7 @@ def stock_entries(spark, sf_dir):
     """Stock as typed by a user: text, some blank, non-numeric or negative."""
     p = fx.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    txt = (F.when(k % 97 == 3, F.lit("n/a")).when(k % 89 == 5, F.concat(F.lit("-"), F.col("p_size").cast("string")))
+    txt = (F.when(k % 97 == 3, F.lit("n/a")).when(k % 79 == 11, F.concat(F.col("p_size").cast("string"), F.lit("d"))).when(k % 89 == 5, F.concat(F.lit("-"), F.col("p_size").cast("string")))
            .when(k % 83 == 7, F.lit(None).cast("string")).otherwise((F.col("p_size") * 2).cast("string")))
     return p.select(k.cast("string").alias("material_number"), txt.alias("current_qty"))
 
@@ -301,14 +301,13 @@ def q_resolve_requests(spark, sf_dir):
     mv = movements(spark, sf_dir)
     pat = P.material_patterns(mv, with_description=True)
     res = K.resolve_requests(fx.requests(spark), pat.select("material_number", "description"))
-    pred = I.predict_status_b(pat, res.where(F.col("material_number").isNotNull() & F.col("current_qty").isNotNull())
-                              .select("request_id", "material_number", "current_qty"))
-    pred = pred.select(F.col("material_number").alias("_m"), F.col("current_quantity").alias("_q"),
-                       F.col("status").alias("predicted_status"), F.col("order_quantity").alias("predicted_order"))
-    j = res.join(pred, (res.material_number == pred._m) & (res.current_qty == pred._q), "left")
-    out = j.select("request_id", "text", "current_qty", "match_type", "material_number", "match_count",
-                   "predicted_status", "predicted_order")
-    return nullable_ints_as_double(out, ["predicted_order"])
+    return nullable_ints_as_double(K.predict_requests(res, pat).drop("matches"), ["predicted_order"])
+
+
+@query("request_matches")
+def q_request_matches(spark, sf_dir):
+    """The ordered matches of requests with several."""
+    return K.request_matches(K.resolve_requests(fx.requests(spark), P.materials_dim(movements(spark, sf_dir))))
 
 
 # -- H --------------------------------------------------------------------------
@@ -397,22 +396,19 @@ def q_dedupe_first(spark, sf_dir):
 @query("non_moving_materials")
 def q_non_moving_materials(spark, sf_dir):
     """K5."""
-    raw = fx.movements_raw(spark, sf_dir)
-    return K.non_moving_materials(raw, N.normalise_movements(raw))
+    return K.non_moving_materials(fx.movements_raw(spark, sf_dir))
 
 
 @query("non_moving_by_depot")
 def q_non_moving_by_depot(spark, sf_dir):
     """K5 per depot."""
-    raw = fx.movements_raw(spark, sf_dir)
-    return K.non_moving_materials(raw, N.normalise_movements(raw), DEPOT)
+    return K.non_moving_materials(fx.movements_raw(spark, sf_dir), DEPOT)
 
 
 @query("non_moving_report")
 def q_non_moving_report(spark, sf_dir):
     """K6."""
-    raw = fx.movements_raw(spark, sf_dir)
-    return K.non_moving_report(raw, N.normalise_movements(raw))
+    return K.non_moving_report(fx.movements_raw(spark, sf_dir))
 
 
 # -- V --------------------------------------------------------------------------
@@ -440,6 +436,12 @@ def q_vendor_catalog(spark, sf_dir):
     return V.vendor_catalog(_assigned(spark, sf_dir), fx.vendors(spark))
 
 
+@query("vendor_members")
+def q_vendor_members(spark, sf_dir):
+    """V4 member lists."""
+    return V.vendor_members(_assigned(spark, sf_dir), fx.vendors(spark))
+
+
 @query("vendor_contact")
 def q_vendor_contact(spark, sf_dir):
     """V7."""
@@ -448,8 +450,9 @@ def q_vendor_contact(spark, sf_dir):
 
 
 def _order_lines(spark, sf_dir):
-    mv = movements(spark, sf_dir)
     basket = B.basket_current(fx.basket_events(spark, sf_dir))
+    wanted = basket.select("material_number").distinct()  # only what some basket holds is priced and assigned
+    mv = movements(spark, sf_dir).join(wanted, "material_number", "left_semi")
     return V.vendor_order_lines(basket, _assigned(spark, sf_dir, mv), P.max_unit_price(mv))
 
 
@@ -524,7 +527,7 @@ def q_full_report_summary(spark, sf_dir):
     """R2-R4."""
     raw = fx.movements_raw(spark, sf_dir)
     mv = N.normalise_movements(raw)
-    return R.full_report_summary(mv, P.material_patterns(mv), K.non_moving_materials(raw, mv))
+    return R.full_report_summary(mv, P.material_patterns(mv), K.non_moving_materials(raw))
 
 
 @query("full_report_summary_by_depot")
@@ -532,4 +535,4 @@ def q_full_report_summary_by_depot(spark, sf_dir):
     """R2-R4 per depot."""
     raw = fx.movements_raw(spark, sf_dir)
     mv = N.normalise_movements(raw)
-    return R.full_report_summary(mv, P.material_patterns(mv, DEPOT), K.non_moving_materials(raw, mv, DEPOT), DEPOT)
+    return R.full_report_summary(mv, P.material_patterns(mv, DEPOT), K.non_moving_materials(raw, DEPOT), DEPOT)

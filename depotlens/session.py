@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -38,30 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Fill in DEFAULTS where unset; ensure a reliable checkpoint directory exists."""
+    """Set DEFAULTS that the deployment did not set itself."""
+    given = spark.sparkContext.getConf()
     for k, v in DEFAULTS.items():
-        if spark.conf.get(k, None) in (None, ""):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # noqa: BLE001
-                pass
-    checkpoint_dir(spark)
+        if not given.contains(k):
+            spark.conf.set(k, v)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must be set by the deployment (a shared filesystem).  Only
-    when it is unset (local tests) do we create a scratch folder for it.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="depotlens-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - some deployments lock core settings
-            pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d

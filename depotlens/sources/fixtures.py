@@ -3,8 +3,8 @@
 ``movements_raw`` has the source system's shape: all-string columns named
 ``Name 1``, ``Material``, ``Material Description``, ``Document Date``,
 ``Quantity``, ``Amount`` plus ``row_key``, the struct that defines input order.
-Dirty values (bad dates, text quantities, missing amounts and materials) are
-injected by fixed modulo rules on the keys so Spark and the SQL oracle start
+Dirty values (bad and free-form dates, text quantities, missing amounts, materials,
+descriptions and depots) are injected by fixed modulo rules on the keys so Spark and the SQL oracle start
 from identical rows.  Side inputs (stock, basket events) are derived the same
 way; rule tables are small literal tables shipped with the package.
 """
@@ -20,37 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _few_splits(df: DataFrame) -> bool:
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give per-row work at least one partition per core.
-
-    A small single-file table scans as one task; on a cluster the fact table
-    arrives in thousands of splits and this is a no-op.  Otherwise the rows are
-    hash-spread over ``cores`` partitions and checkpointed into the shared
-    checkpoint folder (``spark.checkpoint.dir``): the lineage is cut, so the
-    optimizer cannot push the parsing filters back into the single scan task,
-    and every consumer of the table reuses the same spread copy.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    from depotlens.session import checkpoint_dir
-    checkpoint_dir(spark)
-    return df.repartition(cores, F.xxhash64(*[F.col(c) for c in df.columns])).checkpoint(eager=True)
-
-
 def movements_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate")
-    small = _few_splits(li)
-    if small:
-        cores = spark.sparkContext.defaultParallelism
-        li = li.repartition(cores, F.xxhash64(*[F.col(c) for c in li.columns]))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -62,6 +35,11 @@ def movements_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("l_orderkey")
     ship = F.col("l_shipdate")
     date_txt = (F.when(ok % 89 == 3, F.lit("n/a"))
+                .when(ok % 83 == 7, F.date_format(ship, "yyyy-MM-dd' junk'"))
+                .when(ok % 79 == 9, F.date_format(ship, "MM-dd-yyyy HH:mm:ss"))
+                .when(ok % 73 == 11, F.date_format(ship, "MMM dd yyyy"))
+                .when(ok % 71 == 13, F.date_format(ship, "yyyyMMdd"))
+                .when(ok % 67 == 15, F.date_format(ship, "yyyy/MM/dd"))
                 .when(ok % 4 == 0, F.date_format(ship, "dd-MM-yyyy"))
                 .when(ok % 4 == 1, F.date_format(ship, "yyyy-MM-dd"))
                 .when(ok % 4 == 2, F.date_format(ship, "MM/dd/yyyy"))
@@ -71,24 +49,21 @@ def movements_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
          * F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1)))
     qty_txt = (F.when(F.col("l_partkey") % 50 == 7, F.lit(None).cast("string"))
                .when(ok % 97 == 1, F.lit("x"))
+               .when(ok % 103 == 7, F.concat(q.cast("string"), F.lit("d")))
+               .when(ok % 107 == 9, F.lit("Infinity"))
                .otherwise(q.cast("string")))
-    amt_txt = F.when(ok % 101 == 4, F.lit(None).cast("string")).otherwise(F.col("l_extendedprice").cast("string"))
-    raw = j.select(
+    amt_txt = (F.when(ok % 101 == 4, F.lit(None).cast("string"))
+               .when(ok % 109 == 5, F.concat(F.col("l_extendedprice").cast("string"), F.lit("f")))
+               .otherwise(F.col("l_extendedprice").cast("string")))
+    return j.select(
         F.struct(*[F.col(c) for c in ROW_KEY_FIELDS]).alias("row_key"),
-        F.concat(F.col("r_name"), F.lit(" Depot")).alias("Name 1"),
+        F.when(F.col("l_suppkey") % 40 != 3, F.concat(F.col("r_name"), F.lit(" Depot"))).alias("Name 1"),
         F.when(ok % 211 == 5, F.lit(None).cast("string")).otherwise(F.col("l_partkey").cast("string")).alias("Material"),
-        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("Material Description"),
+        F.when(ok % 13 != 6, F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("Material Description"),
         date_txt.alias("Document Date"),
         qty_txt.alias("Quantity"),
         amt_txt.alias("Amount"),
     )
-    if small:
-        # A real source is stored text.  For a single-split test table, store
-        # the derived rows once (shared checkpoint folder) so the parsing
-        # filters see plain columns instead of re-deriving the text per use.
-        from depotlens.functions.groups import materialize
-        raw = materialize(raw)
-    return raw
 
 
 def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +78,7 @@ def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     click/view -> add, signup -> set, error -> set 0 (delete), purchase -> confirm.
     """
-    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     et = F.col("event_type")
     op = (F.when(et.isin("click", "view"), F.lit("add"))
           .when(et.isin("signup", "error"), F.lit("set"))

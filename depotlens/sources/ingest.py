@@ -32,21 +32,28 @@ class EmptySourceError(ValueError):
 
 
 def scan_movements(spark: SparkSession, path: str, fmt: str = "parquet",
-                   schema: T.StructType | None = None, **options) -> DataFrame:
+                   schema: T.StructType | None = None, key_columns: list[str] | None = None, **options) -> DataFrame:
     """Read a movement table from any Spark source.
 
-    Parquet/ORC keep their own schema; text formats (csv/json) are read with an
-    explicit schema (default: every column as string) instead of inference.
-    A ``row_key`` is added when the source carries none, so "first" has a
-    defined meaning (file, then position order).
+    Parquet and ORC keep their own schema.  CSV (with a header) and JSON are read as
+    text columns: by ``schema`` if given, else every column that the files name, all as strings.
+    ``key_columns`` name columns that define the order of rows; they become ``row_key``.  Without them Parquet rows are
+    keyed by file and row index, which do not depend on how the scan is split.  Other formats give no such
+    index, so they need ``key_columns`` or a ``row_key`` of their own.
     """
-    reader = spark.read.format(fmt).options(**options)
+    reader = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}), **options)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(path)
-    if "row_key" not in df.columns:
-        df = df.withColumn("row_key", F.struct(F.monotonically_increasing_id().alias("pos")))
-    return df
+    elif fmt == "json":
+        reader = reader.option("primitivesAsString", "true")
+    df = reader.load(path)  # csv without inferSchema: all strings
+    if key_columns:
+        return df.withColumn("row_key", F.struct(*[F.col(f"`{c}`") for c in key_columns]))
+    if "row_key" in df.columns:
+        return df
+    if fmt != "parquet":
+        raise ValueError(f"a {fmt} source needs key_columns: its rows have no stable order")
+    return df.withColumn("row_key", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
 def require_rows(df: DataFrame) -> DataFrame:
@@ -59,25 +66,26 @@ def require_rows(df: DataFrame) -> DataFrame:
 def resolve_columns(columns: list[str]) -> dict[str, str | None]:
     """Map source columns to roles (driver-side, schema metadata only).
 
-    Exact case-insensitive match in priority order (on case collisions the last
-    column wins), else the first column whose name contains the role word.
+    Every (role, column) pair gets a rank and each role takes its best: an accepted
+    name (case ignored) ranks by its place in the list, and of columns that differ in case only the later
+    one leads; a column whose name holds the role word ranks after all of those, earlier columns first.
     """
-    lookup = {c.lower(): c for c in columns}
-    roles: dict[str, str | None] = {}
-    for role, names in ROLE_NAMES.items():
-        hit = next((lookup[n.lower()] for n in names if n.lower() in lookup), None)
-        if hit is None:
-            words = role.lower().split()
-            hit = next((c for c in columns if any(w in c.lower() for w in words)), None)
-        roles[role] = hit
-    return roles
+    def rank(role: str, place: int, column: str) -> tuple | None:
+        accepted = [n.casefold() for n in ROLE_NAMES[role]]
+        name = column.casefold()
+        if name in accepted:
+            return (0, accepted.index(name), -place)
+        return (1, place, 0) if role in name else None
+
+    ranked = {role: [(r, c) for i, c in enumerate(columns) if (r := rank(role, i, c)) is not None] for role in ROLE_NAMES}
+    return {role: min(found)[1] if found else None for role, found in ranked.items()}
 
 
 def require_columns(roles: dict[str, str | None]) -> dict[str, str | None]:
     """S3: error naming the missing mandatory roles."""
     missing = [r for r in REQUIRED_ROLES if not roles.get(r)]
     if missing:
-        raise MissingColumnsError(f"Missing required columns: {missing}")
+        raise MissingColumnsError("no source column for " + ", ".join(missing))
     return roles
 
 

@@ -1,20 +1,31 @@
 """JSON records and report tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.functions.rounding import finite_or_null
+
+
+def _finite_inside(c: Column, kind: T.DataType) -> Column:
+    """``c`` with every NaN and infinity in it null, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite_or_null(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite_inside(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _finite_inside(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        inner = [_finite_inside(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*inner)) if inner else c
+    return c
+
 
 def json_records(df: DataFrame) -> DataFrame:
     """One JSON text per row: dates as yyyy-MM-dd, NaN/inf as null,
     nested arrays/structs serialised recursively (``to_json``)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
-        cols.append(c.alias(f.name))
+    cols = [_finite_inside(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*cols), {"dateFormat": "yyyy-MM-dd",
                                                   "timestampFormat": "yyyy-MM-dd",
                                                   "ignoreNullFields": "false"}).alias("json"))

@@ -1,25 +1,16 @@
-"""P1 on a stream: monthly consumption per (depot, material, calendar month).
+"""P1 on a stream: monthly consumption per (group, material, calendar month).
 
-Movements arrive as a stream; the month bucket (``date_trunc('month', ...)``)
-is the event-time window and a watermark on ``document_date`` bounds the state.
-Once the watermark passes a month, its rows are final and emitted (append
-mode).  Summing the emitted ``year_month`` rows per calendar month gives the
-batch P1 table.
+There is no watermark: nothing is too late to count, and the state is one row per result row
+(groups x materials x at most 12 months), which does not grow with time.  In ``update`` mode each trigger emits the
+rows that changed, so a sink that keeps the latest row per key, or ``complete`` mode, holds the batch P1 table.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from depotlens.operators.normalise import normalise_movements
+from depotlens.operators.patterns import monthly_consumption
 
 
-def monthly_consumption_stream(raw_stream: DataFrame, by: list[str] = ("depot_name",),
-                               watermark: str = "45 days") -> DataFrame:
-    mv = normalise_movements(raw_stream).withColumn(
-        "month_start", F.date_trunc("month", F.col("document_date").cast("timestamp")))
-    return (mv.withWatermark("month_start", watermark)
-            .groupBy(*list(by), "material_number", "month_start")
-            .agg(F.sum("consumption_qty").alias("qty"))
-            .select(*list(by), "material_number", F.month("month_start").alias("month"),
-                    F.date_format("month_start", "yyyy-MM").alias("year_month"), "qty"))
+def monthly_consumption_stream(raw_stream: DataFrame, by: list[str] = ("depot_name",)) -> DataFrame:
+    return monthly_consumption(normalise_movements(raw_stream), list(by))

@@ -40,13 +40,28 @@ def test_vendor_assignment(spark):
     assert cat["E"] == 0 and sum(cat.values()) == 7
 
 
-def test_contains_join_paths_agree(spark):
-    mats, rules, *_ = _setup(spark)
-    texts = mats.select("material_number", F.lower("description").alias("t"))
-    small = contains_join(texts, "t", rules, "keyword")
-    large = contains_join(texts, "t", rules, "keyword", max_broadcast_rows=1)
-    key = ["material_number", "rule_id"]
-    assert sorted(small.select(*key).collect()) == sorted(large.select(*key).collect())
+def test_contains_join_equals_brute_force(spark):
+    texts = [(1, "red bolt small"), (2, "bolt"), (3, ""), (4, None), (5, "x"), (6, "old cold old"), (7, "ab"), (7, "ab")]
+    patterns = [(1, "bolt"), (2, "red bolt"), (3, "old"), (4, "x"), (5, ""), (6, None), (7, "ab"), (8, "abc"), (9, "bolt")]
+    t = spark.createDataFrame(texts, "id int, t string")
+    p = spark.createDataFrame(patterns, "rule int, p string")
+    want = sorted((i, r) for i, x in texts for r, y in patterns if y is None or (x is not None and y in x))
+    assert sorted((r.id, r.rule) for r in contains_join(t, "t", p, "p").collect()) == want
+    assert contains_join(t, "t", p.limit(0), "p").count() == 0 and contains_join(t.limit(0), "t", p, "p").count() == 0
+
+
+def test_equal_requests_stay_one_row_each(spark):
+    from helpers import raw_rows
+    from depotlens.operators import patterns as P
+    from depotlens.operators.normalise import normalise_movements
+    raw = raw_rows(spark, [("A1", "01-01-2024", "2", "4", "ring one"), ("B2", "01-02-2024", "3", "3", "ring two"), ("C3", "01-02-2024", "1", "1", "plate")])
+    pat = P.material_patterns(normalise_movements(raw), with_description=True)
+    req = spark.createDataFrame([(1, "plate", 5.0), (2, "plate", 5.0), (3, "ring", None), (4, "A1", 1.0)], "request_id int, text string, current_qty double")
+    res = K.resolve_requests(req, pat.select("material_number", "description"))
+    out = {r.request_id: r for r in K.predict_requests(res, pat).collect()}
+    assert len(out) == 4 and K.predict_requests(res, pat).count() == 4
+    assert out[1].predicted_status == out[2].predicted_status and out[1].material_number == "C3"
+    assert [(r.request_id, r.position, r.material_number) for r in K.request_matches(res).orderBy("position").collect()] == [(3, 1, "A1"), (3, 2, "B2")]
 
 
 def test_search_ranked_limit_before_sort(spark):
