@@ -40,7 +40,7 @@ ROWS = 4
 STAR = 256
 BLOCK = 1024
 SKETCH_BINS = 512
-DEVIATIONS = 4.5
+DEVIATIONS = 5.0
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,24 +167,30 @@ def sketch(shingles: np.ndarray, bins: int = SKETCH_BINS) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, body): band hashes and sketch of each text."""
+    """(id, body): size of the set, band hashes and sketch of each text."""
     signature = Signature(bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [signature.band_hashes(s).tobytes() + sketch(s).tobytes() for _, s in shingle_sets(binary(batch.column("text")), shingle)]
+            bodies = [np.int64(len(s)).tobytes() + signature.band_hashes(s).tobytes() + sketch(s).tobytes() for _, s in shingle_sets(binary(batch.column("text")), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], ["id", "body"])
 
     return texts.select("id", "text").mapInArrow(run, T.StructType([texts.schema["id"]]).add("body", "binary"))
 
 
-def _likely(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of ``y`` may be similar to the sketch ``x``: estimate by the bins that either fills."""
-    filled = np.count_nonzero((y != 0) | (x != 0), axis=1)
-    same = np.count_nonzero((y == x) & (y != 0), axis=1)
+def _likely(x: np.ndarray, n: int, y: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which sketches ``y`` (of sets of ``m`` shingles) may be similar to ``x`` (of ``n``).
+
+    The share of agreeing bins among those that either fills estimates the similarity J of two sets with f shingles together; over b filled bins its
+    variance is J (1 - J) ((1 / b) (1 + 1 / (f - 1)) - 1 / (f - 1)): small where most shingles have a bin of their own.
+    """
     least = percent / 100
-    slack = DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1))
-    return same >= (least - slack) * filled
+    filled = np.maximum(np.count_nonzero((y != 0) | (x != 0), axis=1), 1)
+    same = np.count_nonzero((y == x) & (y != 0), axis=1)
+    beyond = np.maximum((n + m) / (1 + least) - 1, 1)
+    deviation = np.sqrt(least * (1 - least) * np.maximum((1 + 1 / beyond) / filled - 1 / beyond, 0))
+    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return fits & (same + 1 >= (least - DEVIATIONS * deviation) * filled)
 
 
 def block_candidates(rows: DataFrame, bands: int, percent: int) -> DataFrame:
@@ -195,15 +201,16 @@ def block_candidates(rows: DataFrame, bands: int, percent: int) -> DataFrame:
 
     def pairs(k: int, across: bool, group: list[tuple]) -> list[tuple]:
         node, label, block, body = zip(*group)
-        hashes = np.stack([np.frombuffer(b, np.int64, bands) for b in body])[:, :k]
-        sketch_ = np.stack([np.frombuffer(b, np.uint16, SKETCH_BINS, 8 * bands) for b in body])
+        numbers = np.stack([np.frombuffer(b, np.int64, 1 + bands) for b in body])
+        sizes, hashes = numbers[:, 0], numbers[:, 1:k + 1]
+        sketch_ = np.stack([np.frombuffer(b, np.uint16, SKETCH_BINS, 8 + 8 * bands) for b in body])
         names = {x: i for i, x in enumerate(set(label))}
         of, block = np.array([names[x] for x in label]), np.array(block)
         out = []
         for r in range(len(group) - 1):
             other = np.flatnonzero((of[r + 1:] != of[r]) & ((block[r + 1:] != block[r]) if across else True)) + r + 1
             if len(other):
-                other = other[_likely(sketch_[r], sketch_[other], percent)]
+                other = other[_likely(sketch_[r], sizes[r], sketch_[other], sizes[other], percent)]
                 other = other[~(hashes[other] == hashes[r]).any(1)]  # an earlier band that both share has the pair
                 out += [(min(node[r], node[o]), max(node[r], node[o])) for o in other.tolist()]
         return out

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from depotlens.llm.line_dedup import line_dedup
-from depotlens.llm.near_dedup import Signature, near_duplicates, shingle_sets, similar
+from depotlens.llm.near_dedup import Signature, _likely, near_duplicates, shingle_sets, similar, sketch
 from depotlens.llm.substring_dedup import substring_dedup
 from llm_cases import CLASHES, LOWER, awkward, awkward_rows, components_model, empty, phrase, words
 
@@ -115,6 +115,22 @@ def test_densified_signature_estimates_similarity():
         assert abs(np.mean(agree)) < 0.06
 
 
+def test_sketches_let_similar_pairs_through():
+    """Pairs just at the threshold pass the sketch; far ones mostly do not."""
+    rng = np.random.default_rng(3)
+    for size in (5, 40, 300, 3000):
+        passed = {85: 0, 60: 0}
+        for percent in passed:
+            for _ in range(200):
+                union = rng.choice(2**62, size, replace=False).astype(np.uint64) * np.uint64(3)
+                common = -(-size * percent // 100)
+                rest = union[common:]
+                half = rng.random(len(rest)) < 0.5
+                x, y = np.sort(np.concatenate([union[:common], rest[half]])), np.sort(np.concatenate([union[:common], rest[~half]]))
+                passed[percent] += bool(_likely(sketch(x), len(x), sketch(y)[None], np.array([len(y)]), 85)[0])
+        assert passed[85] == 200 and (size < 40 or passed[60] < 10)
+
+
 def test_similarity_threshold_is_exact():
     a, b = np.arange(100, dtype=np.uint64), np.arange(15, 100, dtype=np.uint64)
     assert similar(a, b, 85) and not similar(a, b[1:], 85) and not similar(a[:0], a[:0], 85)
