@@ -1,5 +1,107 @@
-"""DuckDB SQL of the llm queries that SQL can express."""
+"""DuckDB SQL of the llm queries that SQL can express.
+
+Tokenizers (op4, op10) and trained models (op5, op6, op8) are tested against brute force and held-out rows instead.
+"""
+from __future__ import annotations
+
+import math
+
+from depotlens.llm import quality_rules as rules
+
+WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS k
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win JOIN rep USING (k)),
+wd AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM wd ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWER.format("text"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+          FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM inter WHERE 100 * c >= 85 * (na + nb - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp USING (doc_id)
+"""
+
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+k AS (SELECT *, {LOWER.format(f"trim(line, {BLANK})")} AS key FROM l),
+h AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, h.keeper IS NOT NULL AND k.doc_id <> h.keeper AS gone FROM k LEFT JOIN h USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
+
+
+def _rules() -> str:
+    share = rules.RISK / len(rules.RULES)
+    log_error = math.log(rules.ERROR / (len(rules.RULES) * rules.STRATA))
+    top = rules.LEVELS - 1
+
+    def level(part: str, whole: str) -> str:
+        return f"least({top}, floor({rules.LEVELS}::DOUBLE * ({part}) / greatest({whole}, 1)))"
+
+    levels = [level("n_symbols", "2 * n_words"), level("n_dup_lines", "n_lines"), level("n_repeat_words", "n_words"),
+              level("word_chars", "24 * n_words"), level("n_words - n_distinct", "n_words")]
+    term = ("lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})").format(p=f"{share!r}::DOUBLE")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {WORDS.format("text")} AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 7), ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT r, k FROM win GROUP BY r, k HAVING count(*) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS c FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win JOIN rep USING (r, k)) GROUP BY r),
+b AS (SELECT r, doc_id,
+  (CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END) || CASE WHEN len(w) < {rules.LONG} THEN '-short' ELSE '-long' END AS stratum,
+  len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: trim(x, {BLANK}) <> '') AS ls, coalesce(c, 0) AS n_repeat_words, len(list_distinct(w)) AS n_distinct
+  FROM d LEFT JOIN cov USING (r)),
+f AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+j AS (SELECT *, [{", ".join(levels)}] AS lv FROM f),
+lab AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+held AS (SELECT stratum, good, unnest(lv) AS level, unnest(range(0, {len(rules.RULES)})) AS rule FROM j JOIN lab USING (doc_id) WHERE NOT base_failed),
+grid AS (SELECT stratum, rule, unnest(range(0, {rules.LEVELS})) AS cut FROM (SELECT DISTINCT stratum, rule FROM held)),
+at_ AS (SELECT g.stratum, g.rule, g.cut, count(*) FILTER (good = 1 AND level >= cut) AS k, count(*) FILTER (good = 1) AS n,
+  count(*) FILTER (good = 0 AND level >= cut) AS caught, count(*) FILTER (good = 0) AS bad
+  FROM grid g JOIN held h ON g.stratum = h.stratum AND g.rule = h.rule GROUP BY ALL),
+tails AS (SELECT stratum, rule, cut, ln(sum(exp(lt - top))) + any_value(top) AS tail FROM (
+    SELECT *, max(lt) OVER (PARTITION BY stratum, rule, cut) AS top FROM (
+      SELECT stratum, rule, cut, {term} AS lt FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM at_ WHERE k <= n * {share!r}::DOUBLE)))
+  GROUP BY stratum, rule, cut),
+sure AS (SELECT a.*, min(CASE WHEN t.tail <= {log_error!r}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY a.stratum, a.rule ORDER BY a.cut DESC) AS ok
+  FROM at_ a LEFT JOIN tails t USING (stratum, rule, cut)),
+best AS (SELECT stratum, rule, arg_max(cut, (caught / bad - {rules.WEIGHT!r}::DOUBLE * k / greatest(n, 1), cut)) AS cut,
+  arg_max(caught, (caught / bad - {rules.WEIGHT!r}::DOUBLE * k / greatest(n, 1), cut)) AS caught FROM sure WHERE ok = 1 AND bad > 0 GROUP BY stratum, rule),
+hit AS (SELECT DISTINCT x.r FROM (SELECT r, stratum, unnest(lv) AS level, unnest(range(0, {len(rules.RULES)})) AS rule FROM j) x
+  JOIN best USING (stratum, rule) WHERE caught > 0 AND level >= cut)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (r IN (SELECT r FROM hit)) AS kept
+FROM j
+"""
+
+
 SQL: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRINGS,
+    "op2_minhash_near_dedup": NEAR,
+    "op3_quality_rules": _rules(),
+    "op9_line_dedup": LINES,
     "op7_exact_top_k": """
 WITH v AS (
     SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
