@@ -22,11 +22,14 @@ def null_safe(left: list[Column], right: list[Column]) -> Column:
 
 
 def checked(stats: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
-    """``stats``, failing at run time if it has more than ``max_rows`` rows."""
-    size = stats.agg(F.count(F.lit(1)).alias("_rows"))  # always one row
+    """``stats``, failing at run time if it has more than ``max_rows`` rows.
+
+    At most ``max_rows`` + 1 rows are gathered and counted in one place, from where they are broadcast
+    anyway; ``stats`` is planned and worked out once.
+    """
+    rows = stats.limit(max_rows + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in stats.columns])).alias("_rows"))
     message = f"statistics of more than {max_rows} groups are too large to broadcast"
-    ok = F.assert_true(F.col("_rows") <= max_rows, message)
-    return stats.join(F.broadcast(size), F.lit(True)).where(ok.isNull()).drop("_rows")
+    return rows.where(F.assert_true(F.size("_rows") <= max_rows, message).isNull()).select(F.inline("_rows"))
 
 
 def attach_group(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:

@@ -39,23 +39,32 @@ def monthly_consumption(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     return mv.groupBy(*by, "material_number", "month").agg(exact_sum(F.col("consumption_qty")).alias("qty"))
 
 
-def _month_slots(mv: DataFrame, by: list[str], with_description: bool = False) -> DataFrame:
+def month_slots(rows: DataFrame, by: list[str], with_description: bool = False, valid: Column | None = None) -> DataFrame:
     """One row per (group, material): twelve month sums (null = no movement
-    that month) and the max positive unit price (P11).
+    that month), the max positive unit price (P11), number and date range of movements.
 
-    Only fixed-width buffers, so this is a plain HashAggregate with map-side
+    ``rows`` are valid movements, or all typed rows with ``valid`` saying which count; then
+    materials without any movement keep a row with ``n_valid`` 0.  Only fixed-width buffers, so this is a plain HashAggregate with map-side
     partial aggregation straight from the movement rows (P1 folded in: one
     shuffle of at most one partial row per material per input partition).
     """
-    q = F.col("consumption_qty")
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    q = F.when(ok, F.col("consumption_qty"))
     aggs = [exact_sum(F.when(F.col("month") == i, q)).alias(f"_q{i}") for i in range(1, 13)]
     aggs.append(F.max(F.when(F.col("amount") > 0, F.col("amount") / q)).alias("max_price"))
+    day = F.when(ok, F.col("document_date"))
+    aggs += [F.count(F.when(ok, 1)).alias("n_valid"), F.min(day).alias("first_date"), F.max(day).alias("last_date")]
     if with_description:
         # P6 folded into the same pass: the string buffer makes this a
         # sort-based partial aggregate, still one read of the movements
         # instead of a second full pass for the descriptions.
-        aggs.append(F.coalesce(first_description(), F.col("material_number")).alias("description"))
-    return mv.groupBy(*by, "material_number").agg(*aggs)
+        if valid is not None:
+            d = F.when(ok, F.col("source_description"))
+            first = F.min(F.when(d.isNotNull(), F.struct(F.col("row_key").alias("k"), d.alias("d"))))["d"]
+        else:
+            first = first_description()
+        aggs.append(F.coalesce(first, F.col("material_number")).alias("description"))
+    return rows.groupBy(*by, "material_number").agg(*aggs)
 
 
 def _slot_array() -> Column:
@@ -89,8 +98,15 @@ def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool
     input order (P6, computed in the same pass).
     """
     by = list(by)
-    # Two branches (M per group, statistics per material) over one exchange.
-    slots = _month_slots(mv, by, with_description)
+    return patterns_from_slots(month_slots(mv, by, with_description), by, with_description)
+
+
+def patterns_from_slots(slots: DataFrame, by: list[str] = (), with_description: bool = False) -> DataFrame:
+    """P2-P5, P11 from the slot table of active materials.
+
+    Two branches (M per group, statistics per material) read one exchange.
+    """
+    by = list(by)
     j = attach_group(slots, active_months(slots, by), by)
     vals = _slot_array()
     extra = ["description"] if with_description else []
@@ -172,6 +188,16 @@ def dataset_overview(mv: DataFrame, by: list[str] = (), approx: bool = False) ->
     )
 
 
+def overview_from_slots(slots: DataFrame, by: list[str] = ()) -> DataFrame:
+    """P7 from the slot table, with the number of materials that have no movement (``idle_materials``)."""
+    active = F.col("n_valid") > 0
+    return slots.groupBy(*list(by)).agg(
+        F.count(F.when(active, 1)).cast("long").alias("unique_materials"), F.count(F.when(~active, 1)).cast("long").alias("idle_materials"),
+        F.sum("n_valid").cast("long").alias("valid_rows"),
+        F.date_format(F.min("first_date"), "dd-MM-yyyy").alias("start_date"),
+        F.date_format(F.max("last_date"), "dd-MM-yyyy").alias("end_date"))
+
+
 def seasonal_overview(pat: DataFrame, by: list[str] = ()) -> DataFrame:
     """Materials analysed, int(mean avg), top material (first on ties)."""
     by = list(by)

@@ -624,6 +624,7 @@ SQL["summary_report"] = _report(False, False)
 SQL["summary_report_by_depot"] = _report(True, False)
 SQL["full_report_summary"] = _report(False, True)
 SQL["full_report_summary_by_depot"] = _report(True, True)
+SQL["full_report_tiers_by_depot"] = SQL["tier_counts_by_depot"]
 
 for _name in ("movements", "anomaly_rows", "predict_inventory_by_depot", "depot_filter_like", *[k for k in SQL if k.endswith("_by_depot")]):
     if "nullif(depot_name" not in SQL[_name]:

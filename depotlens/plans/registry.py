@@ -511,28 +511,28 @@ def q_auto_basket(spark, sf_dir):
 @query("summary_report")
 def q_summary_report(spark, sf_dir):
     """R1."""
-    mv = movements(spark, sf_dir)
-    return R.summary_report(mv, P.material_patterns(mv))
+    return R.summary_report(R.material_table(fx.movements_raw(spark, sf_dir)))
 
 
 @query("summary_report_by_depot")
 def q_summary_report_by_depot(spark, sf_dir):
     """R1 per depot."""
-    mv = movements(spark, sf_dir)
-    return R.summary_report(mv, P.material_patterns(mv, DEPOT), DEPOT)
+    return R.summary_report(R.material_table(fx.movements_raw(spark, sf_dir), DEPOT), DEPOT)
 
 
 @query("full_report_summary")
 def q_full_report_summary(spark, sf_dir):
     """R2-R4."""
-    raw = fx.movements_raw(spark, sf_dir)
-    mv = N.normalise_movements(raw)
-    return R.full_report_summary(mv, P.material_patterns(mv), K.non_moving_materials(raw))
+    return R.full_report_summary(R.material_table(fx.movements_raw(spark, sf_dir)))
 
 
 @query("full_report_summary_by_depot")
 def q_full_report_summary_by_depot(spark, sf_dir):
     """R2-R4 per depot."""
-    raw = fx.movements_raw(spark, sf_dir)
-    mv = N.normalise_movements(raw)
-    return R.full_report_summary(mv, P.material_patterns(mv, DEPOT), K.non_moving_materials(raw, DEPOT), DEPOT)
+    return R.full_report_summary(R.material_table(fx.movements_raw(spark, sf_dir), DEPOT), DEPOT)
+
+
+@query("full_report_tiers_by_depot")
+def q_full_report_tiers_by_depot(spark, sf_dir):
+    """R2: the tier table of the whole report set, per depot."""
+    return R.full_report(fx.movements_raw(spark, sf_dir), DEPOT)["tiers"]
