@@ -69,49 +69,81 @@ def basket_totals(basket: DataFrame) -> DataFrame:
         round_half_even(F.sum(F.col("total").cast("decimal(38,10)")).cast("double"), 2).alias("total_value"))
 
 
-def order_lines(events: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Every confirm that finds a live line becomes an order line with the
-    line as it stood just before the confirm, its vendor and a deterministic
-    order id ``substr(sha2(session|vendor|seq), 1, 8)``.
+#: Sequence numbers per block of the order-line fold: at most so many events of one key meet in one task.
+BLOCK_SEQS = 100_000
 
-    The state before each confirm is a prefix fold over the key's own events:
-    window frames ``rowsBetween(unboundedPreceding, -1)`` partitioned by
-    (session, material).
+
+def _block_states(events: DataFrame, block_seqs: int) -> DataFrame:
+    """What each confirm, and the end of each (key, block), finds when only the block's own events count.
+
+    ``cut``: the block removed the line before this row, so what came before the block no longer matters.
+    ``own_*``: the line that the block's events alone leave.  ``set_qty`` / ``adds``: what they make of a line that
+    was there before the block: the last positive set plus the adds after it, or that many more.
     """
-    ev = events
-    w = Window.partitionBy(*KEY).orderBy("seq")
+    cols = [*KEY, "seq", "op", "quantity", "unit_price"]
+    ev = events.select(*cols).withColumn("block", F.floor(F.col("seq") / F.lit(block_seqs)))
+    ends = ev.select(*KEY, "block").distinct().select(
+        *KEY, F.lit(None).cast("long").alias("seq"), F.lit("end").alias("op"), F.lit(None).cast("long").alias("quantity"),
+        F.lit(None).cast("double").alias("unit_price"), "block")
+    ev = ev.withColumn("seq", F.col("seq").cast("long")).withColumn("quantity", F.col("quantity").cast("long")).unionByName(ends)
+    w = Window.partitionBy(*KEY, "block").orderBy(F.col("seq").asc_nulls_last())
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    incl = w.rowsBetween(Window.unboundedPreceding, 0)
     is_add = F.col("op") == "add"
-    cum_add_incl = F.sum(F.when(is_add, F.col("quantity")).otherwise(0)).over(incl)
-    cnt_add_incl = F.sum(F.when(is_add, 1).otherwise(0)).over(incl)
-    s1 = ev.select("*", cum_add_incl.alias("ca"), cnt_add_incl.alias("na"), _removal().alias("rem"),
-                   _positive_set().alias("pset"))
-    # carried values at the last removal / last positive set strictly before the row
+
+    def before(column) -> F.Column:
+        return F.last(column, ignorenulls=True).over(prev)
+
+    s1 = ev.select("*", F.coalesce(F.sum(F.when(is_add, F.col("quantity"))).over(prev), F.lit(0)).alias("ca"),
+                   F.count(F.when(is_add, 1)).over(prev).alias("na"), _removal().alias("rem"), _positive_set().alias("pset"))
     s2 = s1.select(
-        "*",
-        F.last(F.when(F.col("rem"), F.col("seq")), ignorenulls=True).over(prev).alias("R"),
-        F.last(F.when(F.col("rem"), F.col("ca")), ignorenulls=True).over(prev).alias("ca_R"),
-        F.last(F.when(F.col("rem"), F.col("na")), ignorenulls=True).over(prev).alias("na_R"),
-        F.last(F.when(F.col("pset"), F.col("seq")), ignorenulls=True).over(prev).alias("LS"),
-        F.last(F.when(F.col("pset"), F.col("quantity")), ignorenulls=True).over(prev).alias("LSQ"),
-        F.last(F.when(F.col("pset"), F.col("ca")), ignorenulls=True).over(prev).alias("ca_LS"),
-    )
-    na_prev = F.col("na") - F.when(is_add, 1).otherwise(0)
-    ca_prev = F.col("ca") - F.when(is_add, F.col("quantity")).otherwise(0)
-    first_add = is_add & ((na_prev - F.coalesce("na_R", F.lit(0))) == 0)
-    s3 = s2.select("*", first_add.alias("fa_flag"))
-    s4 = s3.select(
-        "*",
-        F.last(F.when(F.col("fa_flag"), F.col("seq")), ignorenulls=True).over(prev).alias("FA"),
-        F.last(F.when(F.col("fa_flag"), F.col("unit_price")), ignorenulls=True).over(prev).alias("FA_price"),
-        na_prev.alias("na_prev"), ca_prev.alias("ca_prev"))
-    live = (F.col("na_prev") - F.coalesce("na_R", F.lit(0))) > 0
-    qty = F.when(F.col("LS").isNotNull() & (F.col("LS") > F.col("FA")),
-                 F.col("LSQ") + F.col("ca_prev") - F.col("ca_LS")) \
-        .otherwise(F.col("ca_prev") - F.coalesce("ca_R", F.lit(0)))
-    conf = s4.where((F.col("op") == "confirm") & live).select(
-        *KEY, "seq", qty.cast("long").alias("quantity"), F.col("FA_price").alias("unit_price"))
+        "*", before(F.when(F.col("rem"), F.col("seq"))).alias("R"), before(F.when(F.col("rem"), F.col("ca"))).alias("ca_R"),
+        before(F.when(F.col("rem"), F.col("na"))).alias("na_R"), before(F.when(F.col("pset"), F.col("seq"))).alias("LS"),
+        before(F.when(F.col("pset"), F.col("quantity"))).alias("LSQ"), before(F.when(F.col("pset"), F.col("ca"))).alias("ca_LS"))
+    first_add = is_add & (F.col("na") == F.coalesce("na_R", F.lit(0)))
+    s3 = s2.withColumn("first_add", first_add)
+    s4 = s3.select("*", before(F.when(F.col("first_add"), F.col("seq"))).alias("FA"),
+                   before(F.when(F.col("first_add"), F.col("unit_price"))).alias("FA_price"))
+    after_set = F.col("LSQ") + F.col("ca") - F.col("ca_LS")
+    own = F.when(F.col("LS") > F.col("FA"), after_set).otherwise(F.col("ca") - F.coalesce("ca_R", F.lit(0)))
+    return s4.where(F.col("op").isin("confirm", "end")).select(
+        *KEY, "block", "seq", F.col("R").isNotNull().alias("cut"), (F.col("na") > F.coalesce("na_R", F.lit(0))).alias("own_live"),
+        own.cast("long").alias("own_qty"), F.col("FA_price").alias("own_price"), after_set.cast("long").alias("set_qty"), F.col("ca").cast("long").alias("adds"))
+
+
+def _apply(state, x):
+    """The line after ``x``'s events, given the line before its block (struct live, qty, price)."""
+    own = x["cut"] | ~state["live"]
+    return F.struct(
+        F.when(own, x["own_live"]).otherwise(F.lit(True)).alias("live"),
+        F.when(own, x["own_qty"]).otherwise(F.coalesce(x["set_qty"], state["qty"] + x["adds"])).alias("qty"),
+        F.when(own, x["own_price"]).otherwise(state["price"]).alias("price"))
+
+
+def order_lines(events: DataFrame, assigned: DataFrame, block_seqs: int = BLOCK_SEQS) -> DataFrame:
+    """Every confirm that finds a live line becomes an order line with the
+    line as it stood just before the confirm, its vendor and a deterministic
+    order id ``substr(sha2(session|vendor|seq), 1, 8)``.
+
+    The line before a confirm is a prefix fold over the key's events.  Events are cut into blocks by ``seq``; each (key, block) is folded
+    by itself (window frames over at most ``block_seqs`` events) to a summary that composes, the summaries of a key are folded in
+    order, and each confirm is finished from the line that its block began with.  So a hot key's events spread over as many tasks as it has blocks.
+    """
+    rows = _block_states(events, block_seqs)
+    fields = ["block", "cut", "own_live", "own_qty", "own_price", "set_qty", "adds"]
+    blocks = rows.where(F.col("seq").isNull()).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("b"))
+    nothing = F.struct(F.lit(False).alias("live"), F.lit(None).cast("long").alias("qty"), F.lit(None).cast("double").alias("price"))
+    kind = "array<struct<block:bigint,was:struct<live:boolean,qty:bigint,price:double>>>"
+
+    def step(acc, x):
+        seen = F.concat(acc["seen"], F.array(F.struct(x["block"].alias("block"), acc["now"].alias("was"))).cast(kind))
+        return F.struct(_apply(acc["now"], x).cast("struct<live:boolean,qty:bigint,price:double>").alias("now"), seen.alias("seen"))
+
+    start = F.struct(nothing.cast("struct<live:boolean,qty:bigint,price:double>").alias("now"), F.array().cast(kind).alias("seen"))
+    began = blocks.select(*KEY, F.inline(F.aggregate("b", start, step, lambda acc: acc["seen"])))
+    confirms = rows.where(F.col("seq").isNotNull()).join(began, [*KEY, "block"])
+    x = {c: F.col(c) for c in fields}
+    conf = confirms.select(*KEY, "seq", _apply(F.col("was"), x).alias("line")).where("line.live").select(
+        *KEY, "seq", F.col("line.qty").alias("quantity"), F.col("line.price").alias("unit_price"))
     j = conf.join(assigned.select("material_number", "vendor"), "material_number", "left")
     oid = F.substring(F.sha2(F.concat_ws("|", F.col("session_id").cast("string"), F.coalesce("vendor", F.lit("")),
                                          F.col("seq").cast("string")), 256), 1, 8)

@@ -58,3 +58,18 @@ def test_fold_equals_sequential_model(spark):
         lines = sorted((r.session_id, r.material_number, r.seq, r.quantity, r.unit_price)
                        for r in B.order_lines(df, assigned).collect())
         assert lines == want_lines
+
+
+def test_order_lines_in_blocks(spark):
+    """Any block width gives the sequential result, one key with many events included."""
+    assigned = spark.createDataFrame([(str(i), "V") for i in range(1, 6)], "material_number string, vendor string")
+    for width in (1, 3, 50):
+        ev = random_events(300, width)
+        df = spark.createDataFrame(ev, SCHEMA)
+        got = sorted((r.session_id, r.material_number, r.seq, r.quantity, r.unit_price) for r in B.order_lines(df, assigned, width).collect())
+        assert got == sequential(ev)[1]
+    rnd = random.Random(5)
+    hot = [(seq, 1, "1", rnd.choice(["add"] * 20 + ["set", "confirm"]), rnd.randint(0, 9), float(rnd.randint(1, 50))) for seq in range(100_000)]
+    df = spark.createDataFrame(hot, SCHEMA).repartition(5)
+    got = sorted((r.session_id, r.material_number, r.seq, r.quantity, r.unit_price) for r in B.order_lines(df, assigned, 5_000).collect())
+    assert got == sequential(hot)[1]
