@@ -547,7 +547,8 @@ SQL["vendor_orders"] = _LINES + "\nSELECT * FROM orders"
 SQL["bulk_confirm_summary"] = _LINES + """
 SELECT session_id, CAST(count(*) FILTER (WHERE vendor IS NOT NULL AND vendor <> '' AND n_lines > 0) AS BIGINT) AS succeeded,
   CAST(count(*) FILTER (WHERE NOT (vendor IS NOT NULL AND vendor <> '' AND n_lines > 0)) AS BIGINT) AS failed
-FROM orders GROUP BY session_id"""
+FROM (SELECT session_id, CASE WHEN session_id % 11 <> 3 THEN vendor END AS vendor, CASE WHEN session_id % 13 = 5 THEN 0 ELSE n_lines END AS n_lines FROM orders)
+GROUP BY session_id"""
 SQL["vendor_order_edit"] = _LINES + """,
 edits AS (
   SELECT DISTINCT user_id AS session_id, CAST((user_id * 7 + event_id % 5) % 200 AS VARCHAR) AS material_number

@@ -495,8 +495,9 @@ def q_order_lines(spark, sf_dir):
 
 @query("bulk_confirm_summary")
 def q_bulk_confirm_summary(spark, sf_dir):
-    """B7 over the vendor orders of every session."""
-    return B.bulk_confirm_summary(V.vendor_orders(_order_lines(spark, sf_dir), fx.vendors(spark)))
+    """B3 + B7 over the confirm requests of every session."""
+    orders = V.vendor_orders(_order_lines(spark, sf_dir), fx.vendors(spark))
+    return B.bulk_confirm_summary(fx.confirm_requests(orders))
 
 
 @query("auto_basket")

@@ -125,6 +125,13 @@ def order_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def confirm_requests(orders: DataFrame) -> DataFrame:
+    """Confirm requests as buyers send them: some name no vendor, some hold no lines."""
+    s = F.col("session_id")
+    return orders.select("session_id", F.when(s % 11 != 3, F.col("vendor")).alias("vendor"),
+                         F.when(s % 13 == 5, F.lit(0)).otherwise(F.col("n_lines")).alias("n_lines"))
+
+
 # ---------------------------------------------------------------------------
 # Literal side tables.  Neutral names; the rules only use words that occur in
 # the test part names and types.
