@@ -52,14 +52,11 @@ class _Bucket:
     """Windows of one bucket: two independent 64-bit hashes per window start."""
 
     def __init__(self, texts: list[bytes | None], window: int):
-        self.words = [t.split() if t else [] for t in texts]
-        self.n_words = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        n = int(self.n_words.sum())
-        h = np.empty(n, np.uint64)
-        at = 0
-        for w in self.words:
-            h[at:at + len(w)] = WORD_HASH.of(w)
-            at += len(w)
+        hashes = [WORD_HASH.of(t.split()) if t else np.empty(0, np.uint64) for t in texts]  # words are not kept: they would outweigh the text
+        self.n_words = np.fromiter(map(len, hashes), np.int64, len(hashes))
+        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        del hashes
+        n = len(h)
         self.window, self.n = window, n
         ends = np.repeat(np.cumsum(self.n_words), self.n_words)
         self.starts = np.flatnonzero(np.arange(n) + window <= ends)
@@ -70,13 +67,11 @@ class _Bucket:
         if not len(self.starts):
             return np.empty(0, np.uint64)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(base)
-        inverse = np.full(self.n, pow(base, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
         sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(h * np.cumprod(inverse), out=sums[1:])
-        power = np.full(self.n, base, np.uint64)
-        power[0] = 1
-        out = (sums[self.starts + self.window] - sums[self.starts]) * np.cumprod(power)[self.starts]
+        h *= _powers(pow(base, -1, 1 << 64), self.n)
+        np.cumsum(h, out=sums[1:])
+        out = sums[self.starts + self.window] - sums[self.starts]
+        out *= _powers(base, self.n)[self.starts]
         return out ^ (out >> np.uint64(31))
 
     def cells(self, row: int, width_bits: int) -> np.ndarray:
@@ -84,6 +79,13 @@ class _Bucket:
         return h >> np.uint64(64 - width_bits)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
 def _marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """marks: one per distinct key in order -> one per element of ``keys``."""
     order = np.argsort(keys)
@@ -194,7 +196,8 @@ class _Plan:
 
     def cut(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         """Words left in each document of a bucket."""
-        windows = _Bucket(binary(docs["text"]), self.window)
+        texts = binary(docs["text"])
+        windows = _Bucket(texts, self.window)
         covered = np.zeros(windows.n + 1, np.int64)
         if len(windows.starts):
             rows = replies.to_pylist()
@@ -208,7 +211,8 @@ class _Plan:
             np.add.at(covered, at + self.window, -1)
         keep = np.cumsum(covered)[:-1] == 0
         n_removed, kept, at = [], [], 0
-        for words in windows.words:
+        for t in texts:
+            words = t.split() if t else []
             k = keep[at:at + len(words)]
             at += len(words)
             left = int(np.count_nonzero(k))
