@@ -38,7 +38,7 @@ from depotlens.llm.tokens import WordIds, chunks
 
 LEXICON_WORDS = 1 << 17
 #: Pieces of words whose ids one Python worker remembers; beyond it the memo starts again.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 
 
 # --- the automaton ---------------------------------------------------------------------------

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose hash one Python worker remembers; beyond it the memo starts again.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:

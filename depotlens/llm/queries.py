@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 import depotlens
 
 _SHIPPED: set[str] = set()
+#: Rows of whole texts that one Arrow batch holds, where the session does not say: the default of 10,000 is tens of MB, several times over.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and keep Arrow batches of whole texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

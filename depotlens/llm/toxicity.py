@@ -34,7 +34,7 @@ EPOCHS = 14
 RATE = 0.5
 INIT = 0.01
 THRESHOLD = 0.7
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
