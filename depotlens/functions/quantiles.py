@@ -1,48 +1,59 @@
 """Exact quantiles per group without holding a group in one task.
 
 1. Equal values are counted (``groupBy(group, value)``, combined on the map side).
-2. The distinct values are range-partitioned by (group, value).  Each partition reports one
-   row per group that it touches: how many values it holds.  Prefix sums over those few rows
-   say which partition holds which rank.
-3. Only partitions that hold a wanted rank are looked at again, and two values per
-   quantile are interpolated linearly, as pandas and numpy do.
-
-Both passes read one exchange.  Should a plan ever split them, the counts of the two disagree
-and the query fails rather than answer wrongly.
+2. Each distinct value falls into a bucket that only depends on the value and grows with it: its binary exponent, cut into
+   ``STEPS`` equal steps.  Buckets of a group are few (about ``STEPS`` for each power of two that the values span) and their
+   totals say which bucket holds which rank.
+3. Only buckets that hold a wanted rank are looked at again, and two values per quantile are
+   interpolated linearly, as pandas and numpy do.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlens.functions.groups import attach_group
 
+STEPS = 1024
+#: Above the exponent of every double, so that a bucket number has the sign of its values.
+_LIFT = 1100
+
+
+def _bucket(v: Column) -> Column:
+    """A whole number that does not fall as ``v`` rises.
+
+    ``log2`` may round across a power of two; the step is then -1 or ``STEPS``, which is the neighbour it belongs to.
+    """
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
+    place = (exponent + _LIFT) * STEPS + step
+    return F.when(v > 0, place).when(v < 0, -place).otherwise(0).cast("long")
+
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], weight: str | None = None) -> DataFrame:
-    """One row per group of ``by``: the columns named in ``quantiles`` (name -> q), null values left out.
+    """One row per group of ``by``: the columns named in ``quantiles`` (name -> q) over the finite values.
 
     ``weight`` (whole numbers) is how often a row counts.
     """
     by = list(by)
+    v = F.col(value).cast("double")
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(n.cast("long").alias("_n"))
-    counts = counts.where("_n > 0")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, *by, "_v").withColumn("_p", F.spark_partition_id())
-    totals = ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_t"))
-    group = Window.partitionBy(*by)  # at most one row per partition and group
-    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    counts = df.where(finite).groupBy(*by, v.alias("_v")).agg(n.cast("long").alias("_n")).where("_n > 0")
+    counts = counts.withColumn("_b", _bucket(F.col("_v")))
+    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     places = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).withColumn("_all", F.sum("_t").over(group))
     position = {name: q * (F.col("_all") - 1) for name, q in quantiles.items()}
     wanted = F.lit(False)
     for p in position.values():
         for rank in (F.floor(p), F.ceil(p)):
             wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_t")))
-    held = attach_group(ranged, places.where(wanted), [*by, "_p"])
-    piece = Window.partitionBy(*by, "_p")
-    upto = piece.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = held.withColumn("_end", F.col("_before") + F.sum("_n").over(upto)).withColumn("_seen", F.sum("_n").over(piece))
-    ranked = ranked.where(F.assert_true(F.col("_seen") == F.col("_t"), "the value ranges changed between two passes").isNull())
+    held = attach_group(counts, places.where(wanted).select(*by, "_b", "_before", "_all"), [*by, "_b"])
+    upto = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
 
     def at(rank):
         return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_v")))
@@ -54,4 +65,5 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[st
         p, low, high = position[name], F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high).alias(name)
 
+    # A grouping-free aggregate of no rows is one row of nulls: as ``percentile`` gives.
     return picked.select(*by, *[between(name) for name in quantiles])

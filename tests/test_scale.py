@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotlens.functions import groups
-from depotlens.functions.quantiles import exact_quantiles
+from depotlens.functions.quantiles import _bucket, exact_quantiles
 from depotlens.operators import anomalies as A
 from depotlens.operators import catalog as K
 from depotlens.operators import patterns as P
@@ -32,12 +32,22 @@ def test_quantiles_equal_model(spark, by):
         for g, v, w in rows:
             if v is not None:
                 values.setdefault((g,) if by else (), []).extend([v] * (w if weight else 1))
-        assert set(got) == {k for k, v in values.items() if v}
-        for key, r in got.items():
+        assert {k for k in got if got[k].p50 is not None} == {k for k, v in values.items() if v}
+        for key in (k for k, v in values.items() if v):
+            r = got[key]
             for name, q in qs.items():
                 assert r[name] == pytest.approx(model(values[key], q), abs=1e-12)
 
 
+def test_buckets_never_fall(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, 5e-324, 1e308, -1e308, 1.0, 3.0] + [2.0 ** k * (1 + d) for k in range(-60, 60, 7) for d in (0, 2e-16, -1.2e-16, 0.5)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-5, 9) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", _bucket(F.col("v")).alias("b"))
+    got = [r.b for r in sorted(df.collect(), key=lambda r: r.v)]
+    assert got == sorted(got)
+
+
 def test_quantile_of_a_million_distinct_values(spark):
     df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003 + F.lit(0.25)).alias("v"))
     plan_free = exact_quantiles(df, [], "v", {"p99": 0.99, "p50": 0.5})
