@@ -1,27 +1,5 @@
-"""Schemas and fixed vocabularies shared by the operators."""
+"""Fixed vocabularies shared by the operators."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-# Raw contract: every source column arrives as nullable text.
-RAW_MOVEMENTS = T.StructType([
-    T.StructField("Name 1", T.StringType()),
-    T.StructField("Material", T.StringType()),
-    T.StructField("Material Description", T.StringType()),
-    T.StructField("Document Date", T.StringType()),
-    T.StructField("Quantity", T.StringType()),
-    T.StructField("Amount", T.StringType()),
-])
-
-# Typed contract produced by normalise_movements.
-MOVEMENT_COLUMNS = [
-    "depot_name", "material_number", "material_description", "document_date",
-    "consumption_qty", "amount", "unit_price", "year", "month", "month_name", "year_month",
-]
-
 # The six demand tiers, in report order.
 TIERS = ["HD_Critical", "HD_Variable", "MD_Regular", "MD_Seasonal", "LD_Stable", "LD_Sporadic"]
-
-# Stock statuses and material types.
-QTY_STATUSES = ["Critical", "Low", "Adequate", "Excess", "No-Consumption"]
-MATERIAL_TYPES = ["Non-Moving", "Infrequent", "Slow-Moving", "Regular"]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from depotlens.functions.groups import attach_group, join_null_safe
 from depotlens.functions.quantiles import exact_quantiles
-from depotlens.functions.rounding import round_half_even
+from depotlens.functions.rounding import finite_or_zero, round_half_even
 from depotlens.functions.text import month_name
 
 
@@ -151,7 +151,7 @@ def patterns_from_slots(slots: DataFrame, by: list[str] = (), with_description:
         # Variant B: rounded std / rounded avg, non-finite -> 0.
         std_r.alias("consumption_std"),
         cv_b.alias("cv_rounded_basis"),
-        F.coalesce(F.col("max_price"), F.lit(0.0)).alias("max_unit_price"),
+        finite_or_zero(F.col("max_price")).alias("max_unit_price"),  # N11
         *extra,
     )
     return out
@@ -172,8 +172,8 @@ def max_unit_price(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per material max(amount / qty) over rows with both > 0, else 0.0."""
     by = list(by)
     return mv.groupBy(*by, "material_number").agg(
-        F.coalesce(F.max(F.when((F.col("amount") > 0) & (F.col("consumption_qty") > 0),
-                                F.col("amount") / F.col("consumption_qty"))), F.lit(0.0)).alias("max_unit_price"))
+        finite_or_zero(F.max(F.when((F.col("amount") > 0) & (F.col("consumption_qty") > 0),
+                                    F.col("amount") / F.col("consumption_qty")))).alias("max_unit_price"))
 
 
 def dataset_overview(mv: DataFrame, by: list[str] = (), approx: bool = False) -> DataFrame:
