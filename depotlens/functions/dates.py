@@ -11,9 +11,8 @@ as a year alone or trailing text, is null.
 Implementation: one chain of ``regexp_replace`` rewrites a string of any of these shapes
 to ``yyyy-M-d`` and leaves others as they are; day-first and month-first are told apart by which
 number can be a month.  ``regexp_extract`` of the plain shape then refuses whatever is left, and
-``try_cast(... as date)`` validates the calendar (31-02 -> null).  The input is
-referenced once, so a derived input is not worked out again per pattern, no formatter runs and no
-exception is thrown per row.
+``try_cast(... as date)`` validates the calendar (31-02 -> null).  No formatter runs and no
+exception is thrown per row.  The few usual shapes are tried first, so that the chain runs only for the rest.
 """
 from __future__ import annotations
 
@@ -39,8 +38,18 @@ REWRITES = [
 PLAIN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 
+#: The shapes nearly every row has, each tried only where the one before gave no day.
+_DASHED, _ISO = (r"^\s*(\d{1,2})-(\d{1,2})-(\d{4})\s*$", "$3-$2-$1"), r"^(\d{4}-\d{1,2}-\d{1,2})" + TIME
+
+
 def parse_any_date(c: Column) -> Column:
-    s = F.trim(c.cast("string"))
+    text = c.cast("string")
+    s = F.trim(text)
     for shape, to in REWRITES:
         s = F.regexp_replace(s, shape, to)
-    return F.regexp_extract(s, PLAIN, 0).try_cast("date")
+    return F.coalesce(
+        F.regexp_extract(F.regexp_replace(text, *_DASHED), PLAIN, 0).try_cast("date"),  # d-M-yyyy and yyyy-M-d
+        F.regexp_extract(F.regexp_replace(text, REWRITES[2][0], REWRITES[2][1]), PLAIN, 0).try_cast("date"),  # M/d/yyyy
+        F.regexp_extract(text, _ISO, 1).try_cast("date"),
+        F.regexp_extract(s, PLAIN, 0).try_cast("date"),
+    )

@@ -13,8 +13,8 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-#: Shape of a number in text: no type suffixes, no hexadecimal, no words; short enough to be finite.
-NUMBER = r"^\s*([+-]?(?:\d{1,200}\.?\d{0,99}|\.\d{1,99})(?:[eE][+-]?\d{1,2})?)\s*$"
+#: What a number in text is made of: no type suffixes, no hexadecimal, no words, no exponent that overflows.
+NUMBER = r"^[\s0-9.+-]{1,200}([eE][+-]?\d{1,2})?\s*$"
 
 
 def to_number(c: Column) -> Column:
@@ -23,7 +23,8 @@ def to_number(c: Column) -> Column:
     Deviation: an infinite quantity or amount is no measurement and becomes null, not
     a value that would turn every statistic into NaN.
     """
-    return F.regexp_extract(c.cast("string"), NUMBER, 1).try_cast("double")
+    s = c.cast("string")
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:

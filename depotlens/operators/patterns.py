@@ -23,8 +23,11 @@ from depotlens.functions.text import month_name
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum that does not depend on the order of rows: DECIMAL accumulation, double result."""
-    return F.sum(c.cast("decimal(38,10)")).cast("double")
+    """Sum that does not depend on the order of rows: whole millionths in a long, double result.
+
+    A long holds totals up to 9e12; beyond, the query fails rather than round.
+    """
+    return F.sum(F.rint(c * F.lit(1e6)).cast("long")) / F.lit(1e6)
 
 
 def first_description() -> Column:
