@@ -1,12 +1,14 @@
 """Bounded labelled samples for the classifiers trained on the driver."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts that a classifier is fitted on, at most (half of them of either label), and the bytes of each text it is fitted on.
+from depotlens.llm.common import stored
+
+#: Labelled texts that a classifier is fitted on, at most, and the bytes of all of them together (half of either for each label).
 SAMPLE_ROWS = 8_000
-SAMPLE_BYTES = 1 << 15
+TOTAL_BYTES = 64 << 20
 
 
 def fold(id_col: str, folds: int, part: int) -> Column:
@@ -15,17 +17,22 @@ def fold(id_col: str, folds: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 3,
-                    held_out: int = 1, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES, extra: tuple[str, ...] = ()) -> list:
-    """Rows (text, label, *extra) of at most ``rows`` labelled documents outside the held-out fold.
+                    held_out: int = 1, rows: int = SAMPLE_ROWS, total_bytes: int = TOTAL_BYTES, extra: tuple[str, ...] = ()) -> list:
+    """Rows (text, label, *extra) of at most ``rows`` labelled documents outside the held-out fold, with their whole texts.
 
-    Ids are taken in the order of a hash, half per label, so the sample does not depend on the tables' order.
-    Only those ids (a proven bound) are broadcast; texts are cut to ``text_bytes`` for fitting alone.
+    Ids are taken in the order of a hash, half per label, so the sample does not depend on the tables' order; those of a label end
+    with the one that reaches half of ``total_bytes``, so long texts make fewer rows and none is cut or passed over for its length.
+    Only the ids (a proven bound) are broadcast.
     """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~fold(id_col, folds, held_out))
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")))
-    half = [known.where(F.col("label") == v).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows // 2) for v in (0, 1)]
+    place = F.xxhash64(F.col("id").cast("string"))
+    half = [known.where(F.col("label") == v).orderBy(place, "id").limit(rows // 2) for v in (0, 1)]
     chosen = half[0].unionByName(half[1])
-    text = F.substring(F.col(text_col).cast("string").cast("binary"), 1, text_bytes)
-    picked = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c) for c in extra]).join(F.broadcast(chosen), "id")
-    out = [(bytes(r["text"] or b""), int(r["label"]), *(r[c] for c in extra), r["id"]) for r in picked.collect()]
+    text = F.col(text_col).cast("string").cast("binary")
+    picked = stored(docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c) for c in extra]).join(F.broadcast(chosen), "id"))
+    before = Window.partitionBy("label").orderBy(place, "id").rowsBetween(Window.unboundedPreceding, -1)  # at most rows // 2 ids each
+    sizes = picked.groupBy("id", "label").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    fitting = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < total_bytes // 2).select("id")
+    out = [(bytes(r["text"] or b""), int(r["label"]), *(r[c] for c in extra), r["id"]) for r in picked.join(F.broadcast(fitting), "id", "left_semi").collect()]
     return [r[:-1] for r in sorted(out, key=lambda r: (r[-1], r[0]))]

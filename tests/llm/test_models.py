@@ -78,6 +78,19 @@ def test_sample_leaves_the_held_out_fold(spark):
     assert all(f == (zlib.crc32(str(i).encode()) % 3 == 1) for i, f in flags.items())
 
 
+def test_sample_holds_whole_texts(spark):
+    rows = [(k, f"text {k} " + "x" * 39_990 + f" end {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = labels_of(spark, [(k, k % 2, 0) for k in range(40)])
+    whole = {t.encode() for _, t in rows}
+    sample = labelled_sample(docs, labels, "quality")
+    assert len(sample) > 20 and all(t in whole for t, _ in sample)
+    few = labelled_sample(docs, labels, "quality", total_bytes=200_000)  # fewer rows, not shorter ones
+    assert sorted(v for _, v in few) == [0] * 3 + [1] * 3 and all(t in whole for t, _ in few)
+    one = labelled_sample(docs, labels, "quality", total_bytes=2)
+    assert sorted(v for _, v in one) == [0, 1] and all(t in whole for t, _ in one)
+
+
 def test_quality_machine_learns_structure():
     rng = random.Random(5)
     corpus = []
