@@ -35,6 +35,8 @@ RATE = 0.5
 INIT = 0.01
 THRESHOLD = 0.7
 MEMO_WORDS = 250_000
+#: Words of the sample whose bags training looks at together, about.
+PART_WORDS = 1 << 20
 
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +83,17 @@ def worst_bags(values: np.ndarray, n_words: np.ndarray, span: int = SPAN) -> tup
     return best, at[hit[which]], size
 
 
+def worst_places(per_word: np.ndarray, doc_words: np.ndarray, n_words: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of each text's worst bag, worked out a few texts at a time."""
+    ends = np.cumsum(n_words)
+    first, size = np.empty_like(n_words), np.empty_like(n_words)
+    for part in np.split(np.arange(len(n_words)), np.flatnonzero(np.diff(ends // PART_WORDS)) + 1):
+        start = ends[part[0]] - n_words[part[0]]
+        _, at, size[part] = worst_bags(per_word[doc_words[start:ends[part[-1]]]], n_words[part], span)
+        first[part] = at + start
+    return first, size
+
+
 @dataclass
 class Model:
     """One number for each hashed n-gram, and the bias; ``None`` numbers score 0."""
@@ -116,21 +129,27 @@ def train(texts: list[bytes], labels: list[int], *, span: int = SPAN, buckets: i
     use = np.flatnonzero(n_words > 0)
     weight = np.where(y == 1, 0.5 / max(1, (y[use] == 1).mean()), 0.5 / max(1e-9, (y[use] == 0).mean()))
     weight = weight / weight[use].mean()
+    first_word = np.cumsum(n_words) - n_words
     for epoch in range(epochs):
-        # every text's worst bag under the present model (any bag at first)
-        direction = out[:, 1] - out[:, 0] if epoch else rng.normal(size=dim).astype(np.float32)
-        per_word = np.add.reduceat((table @ direction)[gram], gram_at) / n_gram
-        _, first, size = worst_bags(per_word[doc_words], n_words, span)
-        if not epoch:  # whole texts, cut to a bounded number of words, for a first idea of the words that matter
-            first, size = np.cumsum(n_words) - n_words, np.minimum(n_words, 64 * span)
+        # every text's worst bag under the present model; at first all its words, for an idea of the words that matter
+        if epoch:
+            per_word = np.add.reduceat((table @ (out[:, 1] - out[:, 0]))[gram], gram_at) / n_gram
+            first, size = worst_places(per_word, doc_words, n_words, span)
+        else:
+            first, size = first_word, n_words
         order = rng.permutation(use)
         for docs in np.array_split(order, max(1, len(order) // 128)):
             n = size[docs]
-            words = doc_words[np.arange(int(n.sum())) + np.repeat(first[docs] - (np.cumsum(n) - n), n)]
+            # distinct words of each bag and their shares, so that a long text costs its distinct words
+            place = np.arange(int(n.sum())) + np.repeat(first[docs] - (np.cumsum(n) - n), n)
+            cell, times = np.unique(np.repeat(np.arange(len(docs)) * len(n_gram), n) + doc_words[place], return_counts=True)
+            bag = cell // len(n_gram)
+            share = (times / n[bag]).astype(np.float32)
+            words, which = np.unique(cell % len(n_gram), return_inverse=True)
             own = n_gram[words]
             flat = gram[np.arange(int(own.sum())) + np.repeat(gram_at[words] - (np.cumsum(own) - own), own)]
             vectors = np.add.reduceat(table[flat], np.cumsum(own) - own) / own[:, None]
-            bags = np.add.reduceat(vectors, np.cumsum(n) - n) / n[:, None]
+            bags = np.add.reduceat(vectors[which] * share[:, None], np.searchsorted(bag, np.arange(len(docs))))
             z = bags @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -140,9 +159,9 @@ def train(texts: list[bytes], labels: list[int], *, span: int = SPAN, buckets: i
             for value, seen, g in ((out, seen_out, bags.T @ p), (bias, seen_bias, p.sum(0))):
                 seen += g * g
                 value -= rate * g / np.sqrt(seen)
-            to_grams = np.repeat(np.repeat(to_bags / n[:, None], n, axis=0) / own[:, None], own, axis=0)
+            to_words = np.stack([np.bincount(which, to_bags[bag, d] * share, len(words)) for d in range(dim)], 1) / own[:, None]
             rows, inverse = np.unique(flat, return_inverse=True)
-            g = np.stack([np.bincount(inverse, to_grams[:, d], len(rows)) for d in range(dim)], 1)
+            g = np.stack([np.bincount(inverse, np.repeat(to_words[:, d], own), len(rows)) for d in range(dim)], 1)
             seen_table[rows] += g * g
             table[rows] -= rate * g / np.sqrt(seen_table[rows])
     direction = out[:, 1] - out[:, 0]

@@ -45,6 +45,24 @@ def test_toxicity_finds_misspellings():
     assert toxicity._Scorer(model).scores([b"ba do grumpflyng ki"])[0] > 0.7 > toxicity._Scorer(model).scores([b"ba do ki"])[0]
 
 
+def test_first_epoch_sees_words_late_in_texts():
+    rng, late = random.Random(12), [["plovence", "quarthin", "tuffeny", "yazzwope"], ["grumpfling", "snozzwick", "wretchard", "hrumphtag"]]
+    corpus = [(" ".join(prose(rng, 250) + late[k % 2] * 5), k % 2) for k in range(400)]
+    model = toxicity.train([t.encode() for t, _ in corpus], [y for _, y in corpus], epochs=1)
+    clean, bad = (toxicity._Scorer(model).scores([w.encode() for w in words]) for words in late)
+    assert bad.min() > clean.max() + 0.05
+
+
+def test_worst_places_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    n_words = rng.integers(0, 40, 200)
+    doc_words, per_word = rng.integers(0, 50, n_words.sum()), rng.normal(size=50)
+    _, first, size = toxicity.worst_bags(per_word[doc_words], n_words)
+    monkeypatch.setattr(toxicity, "PART_WORDS", 100)
+    at, n = toxicity.worst_places(per_word, doc_words, n_words, toxicity.SPAN)
+    assert n.tolist() == size.tolist() and at[n > 0].tolist() == first[size > 0].tolist()
+
+
 def test_subwords_and_bags():
     gram, n = toxicity.subwords([b"ab", b"abcdef", "é".encode()])
     assert n.tolist() == [4, 19, 4] and len(gram) == 27  # <ab>: two 3-grams, one 4-gram and the word itself
