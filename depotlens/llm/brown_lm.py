@@ -3,18 +3,23 @@
 log P(text) = sum over tokens of log P(class | class before) + log P(token | class); each text starts after an end token and ends with one.
 
 1. Word counts cover all training texts: each bucket of documents counts its own words, and the counts are added up by word.
-2. The exchange algorithm clusters *units*: the ``frequent`` commonest words, each its own unit, and ``endings``
+2. The exchange algorithm clusters *units* first: the ``frequent`` commonest words, each its own unit, and ``endings``
    groups of all other words by a hash of how they end, so that every word, seen or not, has a unit without a table of all words.
    Bigrams of units are counted over all training texts; their table has at most (frequent + endings + 1)^2 cells, whatever the input, and is
    clustered on the driver: units move, one at a time, to the class that most raises the class-bigram likelihood.
-3. Transitions are smoothed towards the class frequencies, emissions by adding ``add`` to each count, with one more place for unseen words.
-4. For scoring, each bucket gets back the counts of its own words and no others; no vocabulary is broadcast.
+3. Every other training word then gets its own class: its neighbours' classes are counted over all training texts, added up by word, and
+   each word moves from its ending's class to the one that most raises the likelihood of the class table (broadcast; all words move at
+   once).  Class bigrams are counted again with the words' own classes; should their likelihood be lower, the units' classes stay.
+   Only unseen words keep the class of their ending.
+4. Transitions are smoothed towards the class frequencies, emissions by adding ``add`` to each count, with one more place for unseen words.
+5. For scoring, each bucket gets back the counts and classes of its own words and no others; no vocabulary is broadcast.
 
 Defined cases: null or empty text or white space only: the end token alone.  Rows with a null id belong to the training texts.
 No training texts: all counts are 0 and every class is as likely as any other.  Repeated rows count and score each.  Empty table: empty result.
 """
 from __future__ import annotations
 
+import dataclasses
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +41,8 @@ ROUNDS = 4
 ADD = 1.0
 PRIOR = 50.0
 BUCKET_BYTES = 8 << 20
+#: Rows of contexts whose words move together.
+MOVE_ROWS = 8_000
 #: The end token; no word holds a line end.
 END = b"\n"
 
@@ -58,6 +65,10 @@ class Units(dict):
     def __len__(self) -> int:
         return self._n + self._endings
 
+    @property
+    def frequent(self) -> list[bytes]:
+        return self._frequent
+
     def __missing__(self, word: bytes) -> int:
         if super().__len__() > self.MEMO:
             self.clear()
@@ -69,11 +80,16 @@ class Units(dict):
         return Units, (self._frequent, self._endings)
 
 
+def phi(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(n: np.ndarray) -> float:
+    return float(phi(n).sum() - phi(n.sum(0)).sum() - phi(n.sum(1)).sum())
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each unit.  Maximises sum N(g,h) log N(g,h) - sum N(g,.) log N(g,.) - sum N(.,h) log N(.,h)."""
-    def phi(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     units = len(bigrams)
     order = np.argsort(-(bigrams.sum(0) + bigrams.sum(1)), kind="stable")
     of = np.empty(units, np.int64)
@@ -117,6 +133,42 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
+def gains(n: np.ndarray, after: np.ndarray, before: np.ndarray, self_: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(words, classes): what each word, taken out of its class ``own`` in the class table ``n``, adds to the likelihood in each class.
+
+    ``after``, ``before`` (words, classes): neighbours of each class; ``self_``: how often the word follows itself.  As in ``exchange``,
+    for many words at once, and at the cost of the classes that they meet.
+    """
+    m, k = after.shape
+    row, diagonal = np.arange(m), np.arange(k)
+    to, from_ = after.copy(), before.copy()
+    to[row, own] -= self_
+    from_[row, own] -= self_
+    total = np.zeros((m, k))
+    for x, table, mine, other in ((to, n, after, before), (from_, n.T, before, after)):
+        w, h = np.nonzero(x)
+        if not len(w):
+            continue
+        a, cell = own[w], np.arange(len(w))
+        base = table.T[h]  # table[b, h] of every class b
+        base[cell, a] -= mine[w, h]
+        at = np.flatnonzero(h == a)
+        base[at] -= other[w[at]]
+        base[at, a[at]] += self_[w[at]]
+        gain = phi(base + x[w, h][:, None]) - phi(base)
+        gain[cell, h] = 0  # on the diagonal both sides meet, below
+        start = np.flatnonzero(np.diff(w, prepend=-1))
+        total[w[start]] += np.add.reduceat(gain, start)
+    cells = np.tile(n[diagonal, diagonal], (m, 1))
+    cells[row, own] += self_ - after[row, own] - before[row, own]
+    total += phi(cells + to + from_ + self_[:, None]) - phi(cells)
+    for out, mine in ((n.sum(1), after.sum(1)), (n.sum(0), before.sum(1))):  # the neighbours' own totals stay, wherever the word goes
+        left = np.tile(out, (m, 1))
+        left[row, own] -= mine
+        total -= phi(left + mine[:, None]) - phi(left)
+    return total
+
+
 @dataclass
 class Model:
     units: Units
@@ -126,13 +178,19 @@ class Model:
     add: float
     train_tokens: int
     distinct: int
+    table: np.ndarray  # bigrams of classes
+    own: bool = False  # whether training words have classes of their own
+
+    def classes(self, words: list[bytes], given: list[int | None]) -> np.ndarray:
+        """Class of each word: its own (``given``), or else its unit's."""
+        return np.fromiter((self.of[self.units[w]] if g is None or not self.own else g for w, g in zip(words, given)), np.int64, len(words))
 
-    def score(self, texts: list[bytes | None], counts: dict[bytes, int]) -> tuple[np.ndarray, ...]:
-        """(tokens, known tokens, base score, score) of each text; ``counts`` of all words in them."""
+    def score(self, texts: list[bytes | None], counts: dict[bytes, int], given: list[int | None]) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, base score, score) of each text; ``counts`` and own classes of all words in them."""
         words = list(counts)
         code = dict(zip(words, range(len(words))))
         c = np.fromiter(counts.values(), np.float64, len(words))
-        cls = self.of[np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))]
+        cls = self.classes(words, given)
         emit = np.log10((c + self.add) / self.places[cls])
         base = np.log10((c + 1) / (self.train_tokens + self.distinct + 1))
         own = [tokens(t) for t in texts]
@@ -212,11 +270,110 @@ def fit(bucketed: DataFrame, totals: DataFrame, *, frequent: int = FREQUENT, end
         words[r["unit"]] = r["n"]
     member = np.zeros((len(units), classes))
     member[np.arange(len(units)), of] = 1
-    n = member.T @ bigrams @ member
-    tokens_of, words_of = member.T @ bigrams.sum(0), member.T @ words
-    share = (tokens_of + 1) / (tokens_of.sum() + classes)
+    return _model(units, of, member.T @ bigrams @ member, member.T @ words, add, prior, int(n_tokens), int(distinct))
+
+
+def _model(units: Units, of: np.ndarray, n: np.ndarray, words_of: np.ndarray, add: float, prior: float, n_tokens: int, distinct: int, own: bool = False) -> Model:
+    tokens_of = n.sum(0)
+    share = (tokens_of + 1) / (tokens_of.sum() + len(n))
     transition = np.log10((n + prior * share) / (n.sum(1, keepdims=True) + prior))
-    return Model(units, of, transition, tokens_of + add * (words_of + 1), add, int(n_tokens), int(distinct))
+    return Model(units, of, transition, tokens_of + add * (words_of + 1), add, n_tokens, distinct, n, own)
+
+
+def moved(bucketed: DataFrame, model: Model) -> DataFrame:
+    """(word, cls): the class of its own of every training word that is no frequent one."""
+    k = len(model.table)
+    shared = bucketed.sparkSession.sparkContext.broadcast(model)  # frequent words and class tables: a fixed size
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, of = shared.value.units, shared.value.of
+        for batch in batches:
+            texts = binary(batch.column("text"))
+            for part in chunks(texts, 8 << 20):
+                code: dict[bytes, int] = {END: 0}
+                own = [tokens(t) for t in texts[part]]
+                now = np.fromiter((code.setdefault(w, len(code)) for t in own for w in t), np.int64, sum(map(len, own)))
+                before = np.concatenate([[0], now[:-1]])
+                words = list(code)
+                unit = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
+                cls, rare = of[unit], unit >= len(units.frequent)
+                same = now[now == before]
+                word = np.concatenate([before, now, same])
+                key = np.concatenate([cls[now], k + cls[before], np.full(len(same), 2 * k)])
+                cell, n = np.unique((word * (2 * k + 1) + key)[rare[word]], return_counts=True)
+                word, key = cell // (2 * k + 1), cell % (2 * k + 1)
+                start = np.flatnonzero(np.diff(word, prepend=-1))
+                offsets = pa.array(np.append(start, len(word)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in word[start].tolist()], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(key.astype(np.int32))),
+                                                  pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], ["word", "key", "n"])
+
+    def move(table: pa.Table) -> pa.RecordBatch:
+        model = shared.value
+        coded = table["word"].combine_chunks().dictionary_encode()
+        words, key = coded.dictionary.to_pylist(), table["key"].combine_chunks()
+        word = np.repeat(coded.indices.to_numpy(), key.value_lengths().to_numpy())
+        cell = word.astype(np.int64) * (2 * k + 1) + key.flatten().to_numpy()
+        n = np.bincount(cell, table["n"].combine_chunks().flatten().to_numpy(), len(words) * (2 * k + 1)).reshape(-1, 2 * k + 1)
+        own = model.of[np.fromiter(map(model.units.__getitem__, words), np.int64, len(words))]
+        gain = gains(model.table, n[:, :k], n[:, k:2 * k], n[:, 2 * k], own)
+        stay = gain[np.arange(len(words)), own] >= gain.max(1) - 1e-9
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.where(stay, own, gain.argmax(1)).astype(np.int32))], ["word", "cls"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:  # sorted by word
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < MOVE_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            index = table["word"].combine_chunks().dictionary_encode().indices.to_numpy()
+            cut = int(np.searchsorted(index, index[-1]))  # the last word may go on
+            if cut:
+                yield move(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            yield move(pa.Table.from_batches(held))
+
+    found = bucketed.where("train").select("text").mapInArrow(contexts, "word binary, key array<int>, n array<long>")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, cls int")
+
+
+def class_bigrams(bucketed: DataFrame, replies: DataFrame, model: Model) -> np.ndarray:
+    """Bigrams of classes over all training texts, by the words' own classes (``replies``: bucket, word, c, cls)."""
+    k = len(model.table)
+    shared = bucketed.sparkSession.sparkContext.broadcast(model)
+
+    def count(texts: pa.Table, known: pa.Table) -> pa.Table:
+        words = known["word"].to_pylist()
+        cls = dict(zip(words, shared.value.classes(words, known["cls"].to_pylist()).tolist()))
+        end, n = cls.get(END, 0), np.zeros(k * k, np.int64)
+        whole = [t for t, train in zip(binary(texts["text"]), texts["train"].to_pylist()) if train]
+        for part in chunks(whole, 8 << 20):
+            own = [tokens(t) for t in whole[part]]
+            now = np.fromiter((c for t in own for c in map(cls.__getitem__, t)), np.int64, sum(map(len, own)))
+            n += np.bincount(np.concatenate([[end], now[:-1]]) * k + now, minlength=k * k)
+        at = np.flatnonzero(n)
+        return pa.table({"cell": at, "n": n[at]})
+
+    cells = bucketed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: count(a, b), "cell long, n long")
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return out.reshape(k, k)
+
+
+def refine(bucketed: DataFrame, replies: DataFrame, own: DataFrame, seed: Model, *, add: float = ADD, prior: float = PRIOR) -> Model:
+    """The model with the words' own classes (``own``: word, cls), or ``seed`` where they lower the likelihood."""
+    n = class_bigrams(bucketed, replies, dataclasses.replace(seed, own=True))
+    if likelihood(n) < likelihood(seed.table):
+        return seed
+    words_of = np.zeros(len(n))
+    for r in own.groupBy("cls").count().collect():
+        words_of[r["cls"]] += r["count"]
+    for i in range(len(seed.units.frequent) if seed.train_tokens else 0):
+        words_of[seed.of[i]] += 1
+    return _model(seed.units, seed.of, n, words_of, add, prior, seed.train_tokens, seed.distinct, True)
 
 
 def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, **settings) -> DataFrame:
@@ -225,9 +382,11 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     bucketed = _bucketed(docs, id_col, text_col, training, bucket_bytes)
     counts = stored(bucket_counts(bucketed))
     totals = stored(counts.groupBy("word").agg(F.sum("n").alias("c")))
-    model = fit(bucketed, totals, **settings)
+    seed = fit(bucketed, totals, **settings)
+    own = stored(moved(bucketed, seed))
+    replies = stored(counts.select("bucket", "word").join(totals.join(own, "word", "left"), "word").select("bucket", "word", "c", "cls"))
+    model = refine(bucketed, replies, own, seed, **{k: v for k, v in settings.items() if k in ("add", "prior")})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # frequent words and class tables: a fixed size
-    replies = counts.select("bucket", "word").join(totals, "word").select("bucket", "word", "c")
     schema = T.StructType([bucketed.schema["id"]])
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
@@ -235,7 +394,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         model = shared.value
         own = dict(zip(known["word"].to_pylist(), known["c"].to_pylist()))
-        n, found, base, total = model.score(binary(texts["text"]), own)
+        n, found, base, total = model.score(binary(texts["text"]), own, known["cls"].to_pylist())
         return pa.table({"id": texts["id"], "n_tokens": n, "n_known": found, "train_tokens": np.full(len(n), model.train_tokens), "base_score": base, "score": total})
 
     return bucketed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), schema)

@@ -204,6 +204,45 @@ def test_model_is_a_distribution(spark):
     assert all(abs(m + model.add / model.places[c] - 1) < 1e-9 for c, m in mass.items())  # one place for all unseen words
 
 
+def test_gains_equal_the_likelihood():
+    rng = np.random.default_rng(6)
+    bigrams, of = rng.poisson(0.6, (25, 25)).astype(float), rng.integers(0, 4, 25)
+
+    def table(classes):
+        member = np.eye(4)[classes]
+        return member.T @ bigrams @ member
+
+    got = brown_lm.gains(table(of), bigrams @ np.eye(4)[of], bigrams.T @ np.eye(4)[of], bigrams.diagonal().copy(), of)
+    for w in range(25):
+        want = [brown_lm.likelihood(table(np.where(np.arange(25) == w, b, of))) for b in range(4)]
+        assert np.allclose(got[w] - got[w][0], np.array(want) - want[0])
+
+
+def test_rare_words_get_classes_by_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "MOVE_ROWS", 5)
+    rng = random.Random(4)
+    rows = []
+    for k in range(600):  # words of two kinds take turns; all endings are alike
+        rows.append((k, " ".join(f"{'ab'[i % 2]}{rng.randrange(60)}xyz" for i in range(rng.randint(5, 40)))))
+    bucketed = brown_lm._bucketed(awkward(spark, rows), "doc_id", "text", F.lit(True), 20_000)
+    counts = brown_lm.bucket_counts(bucketed).cache()
+    totals = counts.groupBy("word").agg(F.sum("n").alias("c")).cache()
+    seed = brown_lm.fit(bucketed, totals, frequent=20, endings=8, classes=5)
+    own = brown_lm.moved(bucketed, seed).cache()
+    of = {bytes(r.word): r.cls for r in own.collect()}
+    assert len(of) == 120 + 1 - len(seed.units.frequent)
+    kinds = [{c for w, c in of.items() if w[:1] == kind} for kind in (b"a", b"b")]
+    assert len({seed.of[seed.units[w]] for w in of}) == 1 and not kinds[0] & kinds[1]
+    replies = counts.select("bucket", "word").join(totals.join(own, "word", "left"), "word")
+    model = brown_lm.refine(bucketed, replies, own, seed)
+    assert model.own and brown_lm.likelihood(model.table) > brown_lm.likelihood(seed.table) and model.table.sum() == seed.table.sum()
+    mass = collections.Counter()
+    for r in totals.collect():
+        cls = model.classes([bytes(r.word)], [of.get(bytes(r.word))])[0]
+        mass[cls] += (r.c + model.add) / model.places[cls]
+    assert all(abs(m + model.add / model.places[c] - 1) < 1e-9 for c, m in mass.items())
+
+
 def test_language_model_without_training_texts(spark):
     out = brown_lm.score(awkward(spark), F.lit(False)).collect()
     assert len(out) == len(awkward_rows()) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in out)
