@@ -22,6 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
 
     Ids are taken in the order of a hash, half per label, so the sample does not depend on the tables' order; those of a label end
     with the one that reaches half of ``total_bytes``, so long texts make fewer rows and none is cut or passed over for its length.
+    Of an id's rows one is taken, by a hash, so a repeated id weighs as one example.
     Only the ids (a proven bound) are broadcast.
     """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~fold(id_col, folds, held_out))
@@ -30,9 +31,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
     half = [known.where(F.col("label") == v).orderBy(place, "id").limit(rows // 2) for v in (0, 1)]
     chosen = half[0].unionByName(half[1])
     text = F.col(text_col).cast("string").cast("binary")
-    picked = stored(docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c) for c in extra]).join(F.broadcast(chosen), "id"))
+    found = docs.select(F.col(id_col).alias("id"), F.struct(text.alias("text"), *[F.col(c) for c in extra]).alias("row")).join(F.broadcast(chosen), "id")
+    picked = stored(found.groupBy("id", "label").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("id", "label", "row.*"))
     before = Window.partitionBy("label").orderBy(place, "id").rowsBetween(Window.unboundedPreceding, -1)  # at most rows // 2 ids each
-    sizes = picked.groupBy("id", "label").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
-    fitting = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < total_bytes // 2).select("id")
+    fitting = picked.withColumn("before", F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before), F.lit(0))).where(F.col("before") < total_bytes // 2).select("id")
     out = [(bytes(r["text"] or b""), int(r["label"]), *(r[c] for c in extra), r["id"]) for r in picked.join(F.broadcast(fitting), "id", "left_semi").collect()]
     return [r[:-1] for r in sorted(out, key=lambda r: (r[-1], r[0]))]

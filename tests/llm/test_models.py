@@ -109,6 +109,15 @@ def test_sample_holds_whole_texts(spark):
     assert sorted(v for _, v in one) == [0, 1] and all(t in whole for t, _ in one)
 
 
+def test_sample_takes_one_text_of_a_repeated_id(spark):
+    rows = [(0, f"copy {k % 30}", k % 30) for k in range(300)] + [(k, f"text {k}", k) for k in range(1, 40)] + [(50, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    labels = labels_of(spark, [(k, k % 2, 0) for k in range(40)] + [(50, 0, 0)])
+    samples = [labelled_sample(docs.repartition(n), labels, "quality", folds=1, extra=("n_chars",)) for n in (1, 5)]
+    assert samples[0] == samples[1] and len(samples[0]) == 41
+    assert all(t == b"" and c is None or int(t.split()[1]) == c for t, _, c in samples[0])
+
+
 def test_quality_machine_learns_structure():
     rng = random.Random(5)
     corpus = []
