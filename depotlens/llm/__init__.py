@@ -1,4 +1,4 @@
-"""Training-data operators: dedup, quality, tokenising, scoring, search and packing.
+"""Training-data operators: dedup, quality, tokenising, scoring, search, packing, spelling and conversation repair.
 
 Nothing else in the package imports this subpackage.  Each module holds one
 operator with its own general interface; ``queries`` derives the registered

@@ -1,6 +1,6 @@
 """DuckDB SQL of the llm queries that SQL can express.
 
-Tokenizers (op4, op10) and trained models (op5, op6, op8) are tested against brute force and held-out rows instead.
+Tokenizers (op4, op10, op13) and trained models (op5, op6, op8) are tested against brute force and held-out rows instead.
 """
 from __future__ import annotations
 
@@ -97,7 +97,78 @@ FROM j
 """
 
 
+#: CRC-32 in plain SQL: its table from the polynomial's rule, then byte by byte.
+CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crc_t
+FROM (SELECT unnest(range(256)) AS i))"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT)),
+lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])))"""
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS d, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+seen AS (SELECT d, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {CRC.format("d || run")} AS h FROM seen, crc_table),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+g AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at, form AS next FROM g UNION ALL SELECT c.word, g.word, g.form FROM chain c JOIN g ON c.next = g.word)
+SELECT g.word, g.form, c.at AS root, g.n, CAST(g.n_near AS BIGINT) AS n_near, CAST(g.form_n AS BIGINT) AS form_n FROM g JOIN chain c ON g.word = c.word AND c.next IS NULL
+"""
+
+
+def _repair() -> str:
+    """Forward DP over rows: of each state the cheapest, then ASCII-least, edits so far with the repaired lines."""
+    def moved(state: str, cost: str, edit: str, line: str | None = None) -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {lines}}} END"
+
+    def turned(state: str, initial: str, role: str) -> str:
+        kept, changed = moved(state, "k", "K", "role || ':' || text"), moved(state, "k + 3", "R", f"'{role}:' || text")
+        return f"CASE WHEN gone THEN NULL WHEN i = '{initial}' THEN {kept} ELSE {changed} END"
+
+    delete = {s: moved(s, "4", "D") for s in ("s0", "s1", "s2", "s3")}
+    kept_first = moved("s0", "k", "K", "role || ':' || text")
+    first = f"CASE WHEN NOT gone AND i = 's' THEN {kept_first} END"
+    to_u, to_a = ", ".join(turned(s, "u", "user") for s in ("s0", "s1", "s3")), turned("s2", "a", "assistant")
+    in_u, in_a = ", ".join(moved(s, "3", "I", "'user:'") for s in ("s0", "s1", "s3")), moved("s2", "3", "I", "'assistant:'")
+    lines = "{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+    one = "{'c': 3::BIGINT, 'a': 'I', 't': ['user:']}"
+    two = "{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations, crc_table),
+dmg AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '-') AS conv, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) FROM c WHERE f <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM dmg),
+x AS (SELECT *, trim(text, {BLANK}) AS body, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY p) > 1 AS again,
+  substr(role, 1, 1) || lead(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY p) AS two FROM o),
+r AS MATERIALIZED (SELECT conv, turn, role, text, i, two, p, body = '' AS blank, body <> '' AND again AS dup, body = '' OR again AS gone,
+  body <> '' AND NOT again AND NOT regexp_matches(right(body, 1), '[.!?]') AS cut FROM x),
+w AS (SELECT DISTINCT conv, 0::BIGINT AS p, {lines} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS s1, {one} AS s2, {two} AS s3 FROM r
+  UNION ALL SELECT conv, p, s0, s1, s2, list_min([s3, {in_a}]) FROM (
+    SELECT conv, p, s0, s1, list_min([s2, {in_u}]) AS s2, s3 FROM (
+      SELECT conv, r.p, {delete["s0"]} AS s0, list_min([{delete["s1"]}, {first}]) AS s1, list_min([{delete["s2"]}, {to_u}]) AS s2, list_min([{delete["s3"]}, {to_a}]) AS s3
+      FROM w JOIN (SELECT *, CASE WHEN cut THEN 3 ELSE 0 END AS k FROM r) r USING (conv) WHERE r.p = w.p + 1))),
+done AS (SELECT conv, arg_max(list_min([s0, s3]), p) AS best FROM w GROUP BY conv),
+n AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (cut) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '-') AS conv FROM conversations) a LEFT JOIN n USING (conv) LEFT JOIN done USING (conv)
+"""
+
+
 SQL: dict[str, str] = {
+    "op11_spelling_variants": SPELLING,
+    "op12_conversation_repair": _repair(),
     "op1_substring_dedup": SUBSTRINGS,
     "op2_minhash_near_dedup": NEAR,
     "op3_quality_rules": _rules(),

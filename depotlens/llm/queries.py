@@ -138,6 +138,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.spelling import spelling_variants
+    return spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.conversation_repair import damaged, repair, text_digests
+    conversations = read(spark, sf_dir, "conversations")
+    summary, repaired = repair(damaged(conversations))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = summary.join(text_digests(repaired).withColumnRenamed("conv_id", "other"), F.col("conv_id").eqNullSafe(F.col("other")), "left").drop("other")
+    every = conversations.select(F.col("conv_id").alias("every_id")).distinct()
+    return every.join(found, F.col("every_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@_query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depotlens.llm.token_counts import token_counts
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, vocabulary("byte_bpe_50k.json")).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op8_brown_lm, op9_line_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_bpe, op5_toxicity, op6_quality_classifier, op7_exact_top_k, op8_brown_lm, op9_line_dedup, op10_best_fit_packing,
+                             op11_spelling_variants, op12_conversation_repair, op13_token_counts)
 }
