@@ -1,4 +1,5 @@
 """Token counts against the tokenizers library on whole texts."""
+import json
 import random
 
 from hypothesis import given, settings
@@ -6,12 +7,12 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from depotlens.llm.queries import op13_token_counts, vocabulary
-from depotlens.llm.token_counts import Counter, may_split, split, token_counts
+from depotlens.llm.token_counts import PIECES, Counter, may_split, split, token_counts
 from llm_cases import awkward, awkward_rows, empty
 
 PATH = vocabulary("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-SMALL = Counter(PATH, split_chars=3, batch_bytes=20)
+SMALL = Counter(PATH, split_chars=3, batch_bytes=20, memo_pieces=50)
 
 
 def size(text):
@@ -26,18 +27,20 @@ PARTS = st.one_of(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "
 @given(st.lists(PARTS, max_size=30))
 def test_split_texts_count_like_whole_ones(parts):
     text = "".join(parts)
-    assert "".join(split(text, 3)) == text
+    assert "".join(split(text, 3)) == text and "".join(PIECES.findall(text)) == text
     assert SMALL.counts([text, None, text]).tolist() == [size(text), 0, size(text)]
 
 
-def test_long_texts_are_cut():
-    text = "word " * 5000
-    pieces = split(text, 1000)
+def test_long_pieces_are_cut():
+    pieces = split("abc123" * 5000, 1000)
     assert len(pieces) > 20 and max(map(len, pieces)) < 1010
     assert len(split("x" * 5000, 1000)) == 1
+    long = "abc123,你好" * 40_000
+    assert Counter(PATH).counts([long, long + " x"]).tolist() == [size(long), size(long + " x")]
 
 
 def test_other_vocabularies_stay_whole():
+    assert may_split(json.load(open(PATH, encoding="utf-8")))
     plain = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "normalizer": None, "post_processor": None, "added_tokens": []}
     token = {"content": "<a b>", "lstrip": False, "rstrip": False, "single_word": False}
     assert may_split(plain)
