@@ -9,7 +9,7 @@ from depotlens.functions.groups import attach_group
 from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.rounding import trunc_long
 from depotlens.functions.text import month_name
-from depotlens.operators.patterns import monthly_consumption
+from depotlens.operators.patterns import monthly_from_slots, slot_table
 
 
 def high_demand_by_month(mv: DataFrame, by: list[str] = (), q: float = 0.75, top: int = 50) -> DataFrame:
@@ -21,11 +21,12 @@ def high_demand_by_month(mv: DataFrame, by: list[str] = (), q: float = 0.75, top
     row (frequency = materials without movement that month) and the distributed exact
     quantile interpolates over the full column.  The
     top-k is ``row_number() <= top`` which Spark plans as a WindowGroupLimit
-    (partial top-k before the shuffle), so no task holds a whole month.
+    (partial top-k before the shuffle), so no task holds a whole month.  All of it reads one stored slot table.
     """
     by = list(by)
-    p1 = monthly_consumption(mv, by)
-    n_mat = p1.groupBy(*by).agg(F.countDistinct("material_number").alias("n_mat"))
+    slots = slot_table(mv, by)
+    p1 = monthly_from_slots(slots, by)
+    n_mat = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("n_mat"))
     per_month = p1.groupBy(*by, "month").agg(F.count(F.lit(1)).alias("n_obs"))
     zeros = attach_group(per_month, n_mat, by).where(F.col("n_mat") > F.col("n_obs")).select(
         *by, "month", F.lit(0.0).alias("qty"), (F.col("n_mat") - F.col("n_obs")).alias("freq"))

@@ -4,12 +4,11 @@ Semantics.  Per group (``by``), M is the set of calendar months (1..12, years
 collapsed) in which *any* material has a valid movement.  Every material is
 seen over all of M with zeros filled in, so mean/std/min run over |M| values.
 
-Plan.  One partial+final hash aggregation turns movements into one row per
-(group, material) holding twelve month sums (null = no movement that month).
-M per group is a second tiny hash aggregate over that table, which reads the same
-exchange, so the movements are scanned once; ``attach_group`` broadcasts it (checked, null-safe).  The statistics are pure expressions over the
-dense <=12-slot vector taken in month order: no material x month cross join,
-no sort-based aggregation, no Python.
+Plan.  One partial+final aggregation turns movements into one row per
+(group, material) holding twelve month sums (null = no movement that month), the highest price, counts, dates and, where asked for, the description.
+This slot table is stored (``slot_table``) and everything else reads it, so the movements are scanned once whatever a query needs of them.
+M per group is a tiny aggregate over it, attached null-safe by ``attach_group``.  The statistics are pure expressions over the
+dense <=12-slot vector taken in month order: no material x month cross join, no Python.
 """
 from __future__ import annotations
 
@@ -19,15 +18,19 @@ from pyspark.sql import functions as F
 from depotlens.functions.groups import attach_group, join_null_safe
 from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.rounding import finite_or_zero, round_half_even
+from depotlens.functions.stored import stored
 from depotlens.functions.text import month_name
 
 
-def exact_sum(c: Column) -> Column:
-    """Sum that does not depend on the order of rows: whole millionths in a long, double result.
+#: Values from this size on are added as doubles: their last digit is above a hundred, and a DECIMAL total of others has room for 10^10 rows.
+LARGE = 1e18
 
-    A long holds totals up to 9e12; beyond, the query fails rather than round.
-    """
-    return F.sum(F.rint(c * F.lit(1e6)).cast("long")) / F.lit(1e6)
+
+def exact_sum(c: Column) -> Column:
+    """Sum that does not depend on the order of rows: DECIMAL with ten places, double result.  Values of ``LARGE`` and more are added as doubles."""
+    small = F.abs(c) < LARGE
+    exact, rest = F.sum(F.when(small, c).cast("decimal(38,10)")).cast("double"), F.sum(F.when(~small, c))
+    return F.coalesce(exact + rest, exact, rest)
 
 
 def first_description() -> Column:
@@ -91,6 +94,18 @@ def _fold_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def slot_table(rows: DataFrame, by: list[str] = (), with_description: bool = False, valid: Column | None = None) -> DataFrame:
+    """``month_slots``, stored: the one pass over the movements that every statistic of a query shares."""
+    return stored(month_slots(rows, list(by), with_description, valid))
+
+
+def monthly_from_slots(slots: DataFrame, by: list[str] = ()) -> DataFrame:
+    """P1 from the slot table."""
+    months = F.array(*[F.struct(F.lit(i).alias("month"), F.col(f"_q{i}").alias("qty")) for i in range(1, 13)])
+    return (slots.select(*by, "material_number", F.explode(months).alias("m")).select(*by, "material_number", "m.month", "m.qty")
+            .where(F.col("qty").isNotNull()))
+
+
 def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool = False) -> DataFrame:
     """P2-P5, P11 in one table, one row per (group, material).
 
@@ -101,14 +116,11 @@ def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool
     input order (P6, computed in the same pass).
     """
     by = list(by)
-    return patterns_from_slots(month_slots(mv, by, with_description), by, with_description)
+    return patterns_from_slots(slot_table(mv, by, with_description), by, with_description)
 
 
 def patterns_from_slots(slots: DataFrame, by: list[str] = (), with_description: bool = False) -> DataFrame:
-    """P2-P5, P11 from the slot table of active materials.
-
-    Two branches (M per group, statistics per material) read one exchange.
-    """
+    """P2-P5, P11 from the slot table of active materials."""
     by = list(by)
     j = attach_group(slots, active_months(slots, by), by)
     vals = _slot_array()
@@ -171,6 +183,13 @@ def materials_dim(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     return mv.groupBy(*by, "material_number").agg(F.coalesce(first_description(), F.col("material_number")).alias("description"))
 
 
+def material_facts(mv: DataFrame, by: list[str] = ()) -> DataFrame:
+    """P6 and P11 in one pass, stored: (by, material_number, description, max_unit_price)."""
+    price = F.max(F.when((F.col("amount") > 0) & (F.col("consumption_qty") > 0), F.col("amount") / F.col("consumption_qty")))
+    return stored(mv.groupBy(*list(by), "material_number").agg(F.coalesce(first_description(), F.col("material_number")).alias("description"),
+                                                               finite_or_zero(price).alias("max_unit_price")))
+
+
 def max_unit_price(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per material max(amount / qty) over rows with both > 0, else 0.0."""
     by = list(by)

@@ -28,9 +28,9 @@ def _group_figures(table: DataFrame, by: list[str]) -> DataFrame:
 
 
 def material_table(raw: DataFrame, by: list[str] = (), with_description: bool = False) -> DataFrame:
-    """One pass over the raw rows: the slot table of every named material, movements or not (``n_valid`` 0)."""
+    """One pass over the raw rows: the stored slot table of every named material, movements or not (``n_valid`` 0)."""
     rows = typed_columns(raw).where(F.col("material_number").isNotNull() & (F.col("material_number") != "nan"))
-    return P.month_slots(rows.withColumn("month", F.month("document_date")), list(by), with_description, is_valid())
+    return P.slot_table(rows.withColumn("month", F.month("document_date")), list(by), with_description, is_valid())
 
 
 def _active(table: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def full_report_summary(table: DataFrame, by: list[str] = ()) -> DataFrame:
 def full_report(raw: DataFrame, by: list[str] = ()) -> dict[str, DataFrame]:
     """R2 as a whole: every report table by name, for ``sinks.write_report``.
 
-    All tables come from one material table, so a caller that writes several may store it first.
+    All tables come from one stored material table, the only pass over the raw rows.
     """
     by = list(by)
     table = material_table(raw, by, with_description=True)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.functions.groups import join_null_safe
 from depotlens.functions.rounding import round_half_even, trunc_long
 from depotlens.functions.text import float_text, month_name
 from depotlens.operators.normalise import to_number
@@ -144,13 +145,13 @@ def predict_inventory(pat: DataFrame, stock: DataFrame, vendor: DataFrame | None
     )
     if vendor is not None:
         vkeys = [c for c in by if c in vendor.columns] + ["material_number"]
-        out = out.join(vendor.select(*vkeys, "vendor"), on=vkeys, how="left")
+        out = join_null_safe(out, vendor.select(*vkeys, "vendor"), vkeys, "left")
         out = out.withColumn("vendor", F.when(F.col("found"), F.col("vendor")))
     return out
 
 
 def recommendation_text(status: Column, cv: Column, avg: Column, qty: Column) -> Column:
-    """Advice sentence from status and CV (> 1.0 is 'variable')."""
+    """Advice sentence from status and CV (> 1.0 is 'variable').  The sentences are fixed values."""
     a = avg.cast("double")
     optimal = trunc_long(a * F.lit(1.1))
     high = trunc_long(a * F.lit(1.3))

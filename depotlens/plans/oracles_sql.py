@@ -63,35 +63,42 @@ mats1 AS (
   FROM mv GROUP BY material_number
 )"""
 
-VENDOR_CTES = f"""{RULES},{VENDS},{FALLB},
+def vendor_ctes(source: str, keys: str = "material_number") -> str:
+    """V1-V3 over a table of materials; ``keys``: the columns that name a row of it."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    return f"""{RULES},{VENDS},{FALLB},
 txt AS (
-  SELECT material_number, description, lower(coalesce(description, '')) AS d,
+  SELECT {keys}, description, lower(coalesce(description, '')) AS d,
          lower(coalesce(description, '')) || ' ' || lower(material_number) AS t
-  FROM mats1
+  FROM {source}
 ),
 scores AS (
-  SELECT x.material_number, r.vendor,
+  SELECT {of("x")}, r.vendor,
     CAST(sum((CASE WHEN trim(lower(r.keyword)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(lower(r.keyword)), '\\s+')) END)
              * (CASE WHEN contains(x.d, lower(r.keyword)) THEN 2 ELSE 1 END)) AS BIGINT) AS score
   FROM txt x JOIN rules r ON contains(x.t, lower(r.keyword))
-  GROUP BY x.material_number, r.vendor
+  GROUP BY {of("x")}, r.vendor
 ),
 best AS (
-  SELECT s.material_number, arg_max(s.vendor, (s.score, -coalesce(v.vendor_rank, 2147483647))) AS rule_vendor, max(s.score) AS score
-  FROM scores s LEFT JOIN vend v ON s.vendor = v.vendor WHERE s.score > 0 GROUP BY s.material_number
+  SELECT {of("s")}, arg_max(s.vendor, (s.score, -coalesce(v.vendor_rank, 2147483647))) AS rule_vendor, max(s.score) AS score
+  FROM scores s LEFT JOIN vend v ON s.vendor = v.vendor WHERE s.score > 0 GROUP BY {of("s")}
 ),
 fbm AS (
-  SELECT x.material_number, arg_min(f.vendor, (f.priority, f.vendor)) AS fallback_vendor
+  SELECT {of("x")}, arg_min(f.vendor, (f.priority, f.vendor)) AS fallback_vendor
   FROM txt x JOIN fb f ON f.term IS NULL OR contains(x.t, lower(f.term))
-  GROUP BY x.material_number
+  GROUP BY {of("x")}
 ),
 assigned AS (
-  SELECT x.material_number, x.description, coalesce(b.rule_vendor, f.fallback_vendor) AS vendor,
+  SELECT {of("x")}, x.description, coalesce(b.rule_vendor, f.fallback_vendor) AS vendor,
          coalesce(b.score, 0) AS score, CASE WHEN b.rule_vendor IS NULL THEN 'fallback' ELSE 'rules' END AS basis
-  FROM txt x LEFT JOIN best b USING (material_number) LEFT JOIN fbm f USING (material_number)
+  FROM txt x LEFT JOIN best b ON {same("x", "b")} LEFT JOIN fbm f ON {same("x", "f")}
 )"""
 
 
+VENDOR_CTES = vendor_ctes("mats1")
+
+
 def ftext(x: str) -> str:
     """Python str(float) for whole values ('12.0'), cast otherwise."""
     return f"(CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({x} AS VARCHAR) END)"
@@ -137,9 +144,10 @@ FROM stock s LEFT JOIN patb p ON s.material_number = p.material_number
 LEFT JOIN mats1 m ON s.material_number = m.material_number
 LEFT JOIN assigned asg ON s.material_number = asg.material_number"""
 
-SQL["predict_inventory_by_depot"] = with_(*BASE, patterns_ctes(True), STOCK) + _predict_select("p.depot_name, ", False) + """
+SQL["predict_inventory_by_depot"] = with_(*BASE, patterns_ctes(True), STOCK, vendor_ctes("mats", "depot_name, material_number")) + _predict_select("p.depot_name, ", True) + """
 FROM stock s LEFT JOIN patb p ON s.material_number = p.material_number
-LEFT JOIN mats m ON p.depot_name = m.depot_name AND p.material_number = m.material_number"""
+LEFT JOIN mats m ON p.depot_name = m.depot_name AND p.material_number = m.material_number
+LEFT JOIN assigned asg ON p.depot_name = asg.depot_name AND p.material_number = asg.material_number"""
 
 SQL["movement_rejects"] = with_(RAW, TYPED) + """
 SELECT reason, CAST(count(*) AS BIGINT) AS "rows" FROM (
@@ -544,6 +552,10 @@ orders AS (
 )"""
 SQL["vendor_order_lines"] = _LINES + "\nSELECT session_id, vendor, material_number, description, quantity, unit_price, total_price FROM lines"
 SQL["vendor_orders"] = _LINES + "\nSELECT * FROM orders"
+SQL["vendor_order_view"] = _LINES + """
+SELECT l.session_id, l.vendor, n_lines, total_value, contact, phone, CAST(row_number() OVER (PARTITION BY l.session_id, l.vendor ORDER BY l.material_number) - 1 AS BIGINT) AS position,
+  l.material_number, l.description, l.quantity, l.unit_price, l.total_price
+FROM lines l JOIN orders o ON l.session_id = o.session_id AND l.vendor IS NOT DISTINCT FROM o.vendor"""
 SQL["bulk_confirm_summary"] = _LINES + """
 SELECT session_id, CAST(count(*) FILTER (WHERE vendor IS NOT NULL AND vendor <> '' AND n_lines > 0) AS BIGINT) AS succeeded,
   CAST(count(*) FILTER (WHERE NOT (vendor IS NOT NULL AND vendor <> '' AND n_lines > 0)) AS BIGINT) AS failed

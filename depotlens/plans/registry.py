@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotlens.functions.stored import stored
 from depotlens.operators import normalise as N
 from depotlens.operators import patterns as P
 from depotlens.operators import segments as C
@@ -46,10 +47,9 @@ PREDICT_INTS = ["avg_monthly_consumption", "order_quantity", "yearly_consumption
 STATUS_INTS = ["avg_monthly_consumption", "peak_consumption", "low_consumption", "order_quantity"]
 
 
-def _assigned(spark, sf_dir, mv=None, by=(), mats=None):
-    """V3 over the material dimension (from patterns when the caller has them)."""
-    mv = mv if mv is not None else movements(spark, sf_dir)
-    mats = mats if mats is not None else P.materials_dim(mv, list(by))
+def _assigned(spark, sf_dir, mats=None, by=()):
+    """V3 over stored material facts (those of all movements unless given)."""
+    mats = mats if mats is not None else P.material_facts(movements(spark, sf_dir), list(by))
     return V.assign_vendor(mats, fx.vendor_rules(spark), fx.vendors(spark), fx.vendor_fallback(spark), list(by))
 
 
@@ -92,11 +92,16 @@ def q_tier_counts_by_depot(spark, sf_dir):
 @query("predict_inventory")
 def q_predict_inventory(spark, sf_dir):
     """I1-I8 for every stock row, one group, with vendor (V3)."""
-    mv = movements(spark, sf_dir)
-    pat = P.material_patterns(mv, with_description=True)
-    mats = pat.select("material_number", "description")
-    out = I.predict_inventory(pat, fx.stock(spark, sf_dir), _assigned(spark, sf_dir, mv, mats=mats))
-    return nullable_ints_as_double(out.drop("_max_unit_price"), PREDICT_INTS)
+    return _predictions(spark, sf_dir)
+
+
+def _predictions(spark, sf_dir, by=()):
+    """Patterns, descriptions and vendors of all materials from one slot table."""
+    slots = P.slot_table(movements(spark, sf_dir), by, with_description=True)
+    pat = P.patterns_from_slots(slots, by, with_description=True)
+    vendor = _assigned(spark, sf_dir, slots.select(*by, "material_number", "description"), by)
+    out = I.predict_inventory(pat, fx.stock(spark, sf_dir), vendor, by).drop("_max_unit_price")
+    return nullable_ints_as_double(out, PREDICT_INTS)
 
 
 # -- more N / S: sources, cleaning, depots --------------------------------------
@@ -250,11 +255,8 @@ def q_tier_detail_display(spark, sf_dir):
 # -- I --------------------------------------------------------------------------
 @query("predict_inventory_by_depot")
 def q_predict_inventory_by_depot(spark, sf_dir):
-    """I1-I8 per depot (stock rows scored against every depot)."""
-    mv = movements(spark, sf_dir)
-    pat = P.material_patterns(mv, DEPOT, with_description=True)
-    out = I.predict_inventory(pat, fx.stock(spark, sf_dir), by=DEPOT).drop("_max_unit_price")
-    return nullable_ints_as_double(out, PREDICT_INTS)
+    """I1-I8 per depot (stock rows scored against every depot), with the vendor of the depot's material."""
+    return _predictions(spark, sf_dir, DEPOT)
 
 
 @query("predict_status")
@@ -300,14 +302,14 @@ def q_resolve_requests(spark, sf_dir):
     """I13 (+ I9 for resolved requests with a quantity)."""
     mv = movements(spark, sf_dir)
     pat = P.material_patterns(mv, with_description=True)
-    res = K.resolve_requests(fx.requests(spark), pat.select("material_number", "description"))
+    res = stored(K.resolve_requests(fx.requests(spark), pat.select("material_number", "description")))
     return nullable_ints_as_double(K.predict_requests(res, pat).drop("matches"), ["predicted_order"])
 
 
 @query("request_matches")
 def q_request_matches(spark, sf_dir):
     """The ordered matches of requests with several."""
-    return K.request_matches(K.resolve_requests(fx.requests(spark), P.materials_dim(movements(spark, sf_dir))))
+    return K.request_matches(K.resolve_requests(fx.requests(spark), P.material_facts(movements(spark, sf_dir))))
 
 
 # -- H --------------------------------------------------------------------------
@@ -415,13 +417,13 @@ def q_non_moving_report(spark, sf_dir):
 @query("vendor_scores")
 def q_vendor_scores(spark, sf_dir):
     """V1."""
-    return V.vendor_scores(P.materials_dim(movements(spark, sf_dir)), fx.vendor_rules(spark))
+    return V.vendor_scores(P.material_facts(movements(spark, sf_dir)), fx.vendor_rules(spark))
 
 
 @query("vendor_fallback")
 def q_vendor_fallback(spark, sf_dir):
     """V2."""
-    return V.vendor_fallback_match(P.materials_dim(movements(spark, sf_dir)), fx.vendor_fallback(spark))
+    return V.vendor_fallback_match(P.material_facts(movements(spark, sf_dir)), fx.vendor_fallback(spark))
 
 
 @query("assign_vendor")
@@ -452,8 +454,8 @@ def q_vendor_contact(spark, sf_dir):
 def _order_lines(spark, sf_dir):
     basket = B.basket_current(fx.basket_events(spark, sf_dir))
     wanted = basket.select("material_number").distinct()  # only what some basket holds is priced and assigned
-    mv = movements(spark, sf_dir).join(wanted, "material_number", "left_semi")
-    return V.vendor_order_lines(basket, _assigned(spark, sf_dir, mv), P.max_unit_price(mv))
+    facts = P.material_facts(movements(spark, sf_dir).join(wanted, "material_number", "left_semi"))
+    return V.vendor_order_lines(basket, _assigned(spark, sf_dir, facts), facts)
 
 
 @query("vendor_order_lines")
@@ -464,8 +466,18 @@ def q_vendor_order_lines(spark, sf_dir):
 
 @query("vendor_orders")
 def q_vendor_orders(spark, sf_dir):
-    """V5/V6 per (session, vendor)."""
-    return V.vendor_orders(_order_lines(spark, sf_dir), fx.vendors(spark))
+    """V5/V6 per (session, vendor), the lines as a list of material numbers."""
+    view = V.vendor_order_view(_order_lines(spark, sf_dir), fx.vendors(spark))
+    materials = F.array_join(F.transform("lines", lambda x: x["material_number"]), ",").alias("materials")
+    return view.select("session_id", "vendor", "n_lines", "total_value", materials, "contact", "phone")
+
+
+@query("vendor_order_view")
+def q_vendor_order_view(spark, sf_dir):
+    """V6: each order's nested lines, one row per element of the array, with the order's own fields."""
+    view = V.vendor_order_view(_order_lines(spark, sf_dir), fx.vendors(spark))
+    return view.select("session_id", "vendor", "n_lines", "total_value", "contact", "phone", F.posexplode("lines").alias("position", "line")).select(
+        "session_id", "vendor", "n_lines", "total_value", "contact", "phone", "position", "line.*")
 
 
 @query("vendor_order_edit")

@@ -1,15 +1,19 @@
 """Plans and results that must hold at any size."""
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from depotlens.functions import groups
-from depotlens.functions.quantiles import _bucket, exact_quantiles
+from conftest import SMOKE
+from depotlens.functions import groups, quantiles
+from depotlens.functions import stored as stored_module
+from depotlens.functions.quantiles import _bucket, buckets_to_rank, exact_quantiles
 from depotlens.operators import anomalies as A
 from depotlens.operators import catalog as K
 from depotlens.operators import patterns as P
 from depotlens.operators.normalise import normalise_movements
+from depotlens.plans import registry
 from helpers import raw_rows
 
 
@@ -57,11 +61,57 @@ def test_quantile_of_a_million_distinct_values(spark):
     assert r.p99 == pytest.approx(model(values, 0.99)) and r.p50 == pytest.approx(model(values, 0.5))
 
 
-def test_too_many_groups_fail_clearly(spark, monkeypatch):
-    stats = spark.range(20).select(F.col("id").alias("g"), F.lit(1).alias("s"))
-    assert groups.attach_group(spark.range(5).withColumnRenamed("id", "g"), stats, ["g"]).count() == 5
-    with pytest.raises(Exception, match="too large to broadcast"):
-        groups.checked(stats, max_rows=10).count()
+def test_narrow_column_is_cut_again(spark):
+    """A million distinct values between 2^20 and 2^20 + 1024: one bucket of the first round holds most of them."""
+    rows = 1_000_000
+    df = spark.range(rows).select((F.lit(2.0 ** 20) + F.col("id") * 7919 % 1_000_003 * 1024 / 1_000_003).alias("v"))
+    qs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    held = buckets_to_rank(df, [], "v", qs, bound=5000)
+    assert held.groupBy("_before").count().agg(F.max("count")).first()[0] <= 5000
+    r = exact_quantiles(df, [], "v", qs, bound=5000).first()
+    values = [2.0 ** 20 + i * 7919 % 1_000_003 * 1024 / 1_000_003 for i in range(rows)]
+    for name, q in qs.items():
+        assert r[name] == pytest.approx(model(values, q), abs=1e-6)
+
+
+def test_cut_again_in_groups(spark):
+    rng = random.Random(5)
+    rows = [(g, 1.0 + rng.random() * 1e-3 if g != "c" else 7.0, rng.randint(1, 3)) for g in ("a", "b", None, "c") for _ in range(400)] + [("a", 1e300, 1), ("b", -1e300, 2)]
+    got = {r.g: r for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double, w int"), ["g"], "v", {"p30": 0.3, "p99": 0.99, "p100": 1.0}, "w", bound=3).collect()}
+    for g in ("a", "b", None, "c"):
+        values = [v for k, v, w in rows if k == g for _ in range(w)]
+        assert [got[g].p30, got[g].p99, got[g].p100] == pytest.approx([model(values, q) for q in (0.3, 0.99, 1.0)], rel=1e-15)
+
+
+def test_many_groups_equal_few(spark):
+    """200,000 groups, one of them null and one with a third of the rows: the joins beside the broadcast lose and double nothing."""
+    n = 200_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("id") % n)
+    df = spark.range(3 * n).select(key.alias("g"), (F.col("id") % 7).alias("v"), F.col("id").alias("_x"))
+    stats = df.groupBy("g").agg(F.sum("v").alias("s"))
+    for how in ("inner", "left"):
+        some = stats.where("g IS NULL OR g % 10 <> 4")  # the null group, which a third of the rows hold, has its figures
+        got = groups.attach_group(df, some, ["g"], how).select("g", "v", "_x", "s")
+        want = groups.join_null_safe(df, some, ["g"], how).select("g", "v", "_x", "s")
+        assert got.count() == want.count()
+        assert got.agg(F.sum(F.xxhash64("g", "v", "_x", "s").cast("decimal(38,0)"))).first() == want.agg(F.sum(F.xxhash64("g", "v", "_x", "s").cast("decimal(38,0)"))).first()
+    small = groups.attach_group(df.where("_x < 5000"), stats.where("g IS NOT NULL"), ["g"], "left", max_groups=10)
+    assert small.where("g IS NULL").where("s IS NOT NULL").count() == 0 and small.count() == 5000
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(groups, "MAX_GROUPS", 50)
+    rows = [(k % 300, float(k * 31 % 1009)) for k in range(6000)]
+    got = {r.g: r.p80 for r in exact_quantiles(spark.createDataFrame(rows, "g long, v double"), ["g"], "v", {"p80": 0.8}).collect()}
+    assert len(got) == 300
+    for g in range(300):
+        assert got[g] == pytest.approx(model([v for k, v in rows if k == g], 0.8))
+
+
+def test_sums_have_no_cap_and_no_millionths(spark):
+    df = spark.createDataFrame([("a", 1e-7), ("a", 3e-10), ("b", 9e15), ("b", 9e15), ("b", 0.25), ("c", 1e30), ("c", 1.0), ("d", None)], "g string, v double")
+    got = {r.g: r.s for r in df.groupBy("g").agg(P.exact_sum(F.col("v")).alias("s")).collect()}
+    assert got == {"a": 1.003e-07, "b": 18000000000000000.0, "c": 1e30, "d": None}
 
 
 ROWS = [("A", "05-01-2024", "2", "2", None, None), ("A", "06-02-2024", "3", "3", "real text", None), ("A", "06-02-2024", "3", "3", "x", "D1"),
@@ -86,6 +136,31 @@ def test_movements_are_not_exchanged_on_the_group(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan
 
 
+SCANS = {"predict_inventory": 0, "predict_inventory_by_depot": 0, "anomalies": 0, "anomalies_by_depot": 0, "high_demand_by_month": 0, "vendor_orders": 0,
+         "tier_counts_by_depot": 0, "patterns": 0, "full_report_summary_by_depot": 0, "order_lines": 0, "assign_vendor": 0}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_one_pass_over_the_source(spark, name):
+    """Building the query reads lineitem in one job; what is left reads stored tables only."""
+    import __spark_entry__ as E
+    reads = []
+    original = stored_module.stored
+
+    def counting(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        reads.append(len(set(re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*lineitem", plan))) if "lineitem" in plan else 0)
+        return original(df)
+
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (P, A, groups, quantiles, registry):
+            patch.setattr(module, "stored", counting)
+        df = E.queries()[name](spark, SMOKE)
+        df.collect()
+    left = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("lineitem.parquet")
+    assert sum(reads) == 1 and left == SCANS[name], (reads, left)
+
+
 def test_fractional_sums_do_not_depend_on_order(spark):
     rows = [("A", "05-01-2024", f"{0.1 * k:.2f}", "1") for k in range(1, 200)]
     one = P.monthly_consumption(normalise_movements(raw_rows(spark, rows).coalesce(1))).first().qty
