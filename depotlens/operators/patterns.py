@@ -7,11 +7,13 @@ seen over all of M with zeros filled in, so mean/std/min run over |M| values.
 Plan.  One partial+final aggregation turns movements into one row per
 (group, material) holding twelve month sums (null = no movement that month), the highest price, counts, dates and, where asked for, the description.
 This slot table is stored (``slot_table``) and everything else reads it, so the movements are scanned once whatever a query needs of them.
-M per group is a tiny aggregate over it, attached null-safe by ``attach_group``.  The statistics are pure expressions over the
-dense <=12-slot vector taken in month order: no material x month cross join, no Python.
+M per group is a tiny aggregate over it, attached null-safe by ``attach_group``.  The statistics are plain expressions over the twelve
+columns, taken in month order: no material x month cross join, no arrays, no Python.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,25 +75,17 @@ def month_slots(rows: DataFrame, by: list[str], with_description: bool = False,
     return rows.groupBy(*by, "material_number").agg(*aggs)
 
 
-def _slot_array() -> Column:
-    return F.array(*[F.col(f"_q{i}") for i in range(1, 13)])
+MONTHS = range(1, 13)
 
 
 def active_months(slots: DataFrame, by: list[str] = ()) -> DataFrame:
-    """M per group: sorted months with any movement (<= 12 values)."""
-    flags = [F.max(F.col(f"_q{i}").isNotNull().cast("int")).alias(f"_m{i}") for i in range(1, 13)]
-    g = slots.groupBy(*list(by)).agg(*flags)
-    present = F.array(*[F.col(f"_m{i}") for i in range(1, 13)])
-    return g.select(*list(by), F.filter(F.sequence(F.lit(1), F.lit(12)), lambda m: F.element_at(present, m) == 1)
-                    .alias("months"))
-
+    """M per group: one flag per month, whether any material has a movement in it."""
+    return slots.groupBy(*list(by)).agg(*[F.coalesce(F.max(F.col(f"_q{i}").isNotNull()), F.lit(False)).alias(f"_m{i}") for i in MONTHS])
 
-def _dense(months: Column, vals: Column) -> Column:
-    return F.transform(months, lambda m: F.coalesce(F.element_at(vals, m), F.lit(0.0)))
 
-
-def _fold_sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+def _fold(terms: list[Column]) -> Column:
+    """Sum in the order of the months, so that results do not depend on the plan."""
+    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
 def slot_table(rows: DataFrame, by: list[str] = (), with_description: bool = False, valid: Column | None = None) -> DataFrame:
@@ -122,25 +116,29 @@ def material_patterns(mv: DataFrame, by: list[str] = (), with_description: bool
 def patterns_from_slots(slots: DataFrame, by: list[str] = (), with_description: bool = False) -> DataFrame:
     """P2-P5, P11 from the slot table of active materials."""
     by = list(by)
-    j = attach_group(slots, active_months(slots, by), by)
-    vals = _slot_array()
+    q = [F.col(f"_q{i}") for i in MONTHS]
+    in_m = [F.col(f"_m{i}") for i in MONTHS]
+    zero = F.lit(0.0)
     extra = ["description"] if with_description else []
-    j = j.select(*by, "material_number", "max_price", *extra, "months", vals.alias("vals"))
-    j = j.withColumn("dense", _dense(F.col("months"), F.col("vals"))).withColumn("n_months", F.size("months"))
-    j = j.withColumn("observed_months", F.size(F.filter("vals", lambda x: x.isNotNull())))
-    j = j.withColumn("total_qty", _fold_sum(F.col("dense")))
+    j = attach_group(slots, active_months(slots, by), by)
+    j = j.withColumn("n_months", _fold([m.cast("int") for m in in_m]).cast("int"))
+    j = j.withColumn("observed_months", _fold([x.isNotNull().cast("int") for x in q]).cast("int"))
+    j = j.withColumn("total_qty", _fold([F.coalesce(x, zero) for x in q]))
     j = j.withColumn("mean_qty", F.col("total_qty") / F.col("n_months"))
-    ss = F.aggregate(F.col("dense"), F.lit(0.0),
-                     lambda acc, x: acc + (x - F.col("mean_qty")) * (x - F.col("mean_qty")))
+    off = [F.coalesce(x, zero) - F.col("mean_qty") for x in q]
+    ss = _fold([F.when(m, d * d).otherwise(zero) for m, d in zip(in_m, off)])
     j = j.withColumn("std_qty", F.when(F.col("n_months") > 1, F.sqrt(ss / (F.col("n_months") - 1))))
-    peak_qty = F.array_max("vals")
-    low_obs = F.array_min("vals")
-    # array_position returns the first (lowest) month holding the value: ties -> earliest month.
-    peak_month = F.array_position("vals", peak_qty).cast("int")
-    low_month_obs = F.array_position("vals", low_obs).cast("int")
-    gap = F.array_min(F.filter("months", lambda m: F.element_at(F.col("vals"), m).isNull()))
+    j = j.withColumn("_peak", F.greatest(*q)).withColumn("_low", F.least(*q))
+    peak_qty, low_obs = F.col("_peak"), F.col("_low")
+
+    def first(hits: list[Column]) -> Column:
+        """The earliest month for which a condition holds."""
+        return F.coalesce(*[F.when(h, F.lit(i)) for i, h in zip(MONTHS, hits)])
+
+    peak_month = first([x == peak_qty for x in q])
+    gap = first([m & x.isNull() for m, x in zip(in_m, q)])
     has_zero = F.col("observed_months") < F.col("n_months")
-    low_month = F.when(has_zero, gap).otherwise(low_month_obs)
+    low_month = F.when(has_zero, gap).otherwise(first([x == low_obs for x in q]))
     avg = F.rint(F.col("mean_qty")).cast("long")
     std_r = F.coalesce(F.rint(F.col("std_qty")).cast("long"), F.lit(0).cast("long"))
     cv_b = F.when(avg > 0, round_half_even(std_r / avg, 2)).otherwise(F.lit(0.0))
@@ -236,8 +234,9 @@ def seasonal_overview(pat: DataFrame, by: list[str] = ()) -> DataFrame:
 def high_velocity_count(pat: DataFrame, by: list[str] = (), q: float = 0.9) -> DataFrame:
     """Materials whose avg is at or above the q-quantile (linear) of avg."""
     by = list(by)
+    pat = stored(pat.select(*by, "avg_monthly_consumption"))
     th = exact_quantiles(pat, by, "avg_monthly_consumption", {"p_hv": q})
-    j = attach_group(pat.select(*by, "avg_monthly_consumption"), th, by)
+    j = attach_group(pat, th, by)
     return j.groupBy(*by).agg(F.count(F.when(F.col("avg_monthly_consumption") >= F.col("p_hv"), 1))
                               .cast("long").alias("high_velocity_items"))
 

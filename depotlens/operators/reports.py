@@ -8,6 +8,7 @@ from depotlens.contracts import TIERS
 from depotlens.functions.groups import attach_group
 from depotlens.functions.quantiles import exact_quantiles
 from depotlens.functions.rounding import round_half_even
+from depotlens.functions.stored import stored
 from depotlens.operators import demand as H
 from depotlens.operators import patterns as P
 from depotlens.operators import segments as C
@@ -16,11 +17,11 @@ from depotlens.operators.normalise import is_valid, typed_columns
 
 def _group_figures(table: DataFrame, by: list[str]) -> DataFrame:
     """Per group: materials, dates, idle materials, high-velocity items, mean and the six tier counts."""
-    pat = P.patterns_from_slots(_active(table), by)
     avg = F.col("avg_monthly_consumption")
+    pat = stored(P.patterns_from_slots(_active(table), by).select(*by, avg, "coefficient_of_variation"))
     limits = exact_quantiles(pat, by, "avg_monthly_consumption", {"p_hv": 0.9, "p80": 0.8, "p50": 0.5})
     tier = C.tier_expr(avg, F.col("coefficient_of_variation"), F.col("p80"), F.col("p50"))
-    figures = attach_group(pat.select(*by, avg, "coefficient_of_variation"), limits, by).withColumn("tier", tier).groupBy(*by).agg(
+    figures = attach_group(pat, limits, by).withColumn("tier", tier).groupBy(*by).agg(
         F.count(F.when(avg >= F.col("p_hv"), 1)).cast("long").alias("high_velocity_items"),
         F.avg(avg).cast("long").alias("avg_monthly_consumption"),
         *[F.count(F.when(F.col("tier") == t, 1)).cast("long").alias(t.lower()) for t in TIERS])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from depotlens.contracts import TIERS
 from depotlens.functions.groups import attach_group, join_null_safe
 from depotlens.functions.quantiles import exact_quantiles
+from depotlens.functions.stored import stored
 from depotlens.functions.text import month_name
 
 
@@ -24,8 +25,9 @@ def tier_expr(avg: Column, cv: Column, p80: Column, p50: Column) -> Column:
 
 
 def classify_materials(pat: DataFrame, by: list[str] = (), cv_col: str = "coefficient_of_variation") -> DataFrame:
-    """Pattern rows plus ``tier`` (and the thresholds used)."""
+    """Pattern rows plus ``tier`` (and the thresholds used).  The patterns are worked out once, for the thresholds and the rows."""
     by = list(by)
+    pat = stored(pat)
     th = tier_thresholds(pat, by)
     j = attach_group(pat, th, by)
     return j.withColumn("tier", tier_expr(F.col("avg_monthly_consumption"), F.col(cv_col), F.col("p80"), F.col("p50")))

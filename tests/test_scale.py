@@ -12,6 +12,8 @@ from depotlens.functions.quantiles import _bucket, buckets_to_rank, exact_quanti
 from depotlens.operators import anomalies as A
 from depotlens.operators import catalog as K
 from depotlens.operators import patterns as P
+from depotlens.operators import reports as R
+from depotlens.operators import segments as C
 from depotlens.operators.normalise import normalise_movements
 from depotlens.plans import registry
 from helpers import raw_rows
@@ -153,7 +155,7 @@ def test_one_pass_over_the_source(spark, name):
         return original(df)
 
     with pytest.MonkeyPatch.context() as patch:
-        for module in (P, A, groups, quantiles, registry):
+        for module in (P, A, C, R, groups, quantiles, registry):
             patch.setattr(module, "stored", counting)
         df = E.queries()[name](spark, SMOKE)
         df.collect()
