@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.dates import parse_any_date
+from depotlens.functions.numbering import serial_numbers
 from depotlens.functions.text import clip_text, month_name
 from depotlens.sources.ingest import DEPOT_COLUMN, require_columns, resolve_columns
 
@@ -88,13 +89,9 @@ def display_columns(df: DataFrame, order_by: list[str], desc_col: str = "descrip
                     cv_col: str | None = "coefficient_of_variation", by: list[str] | None = None) -> DataFrame:
     """Serial number, description clipped to 40 chars, CV 0 shown as N/A.
 
-    The serial number is a ``row_number`` per ``by`` group (a whole-table
-    numbering would pull every row into one task, so tables without groups
-    should be numbered only after an ordered limit).
+    The serial number counts per ``by`` group, or over the whole table; see ``functions.numbering``.
     """
-    from pyspark.sql.window import Window
-    w = Window.partitionBy(*[F.col(c) for c in (by or [])]).orderBy(*[F.col(c) for c in order_by])
-    out = df.withColumn("serial_no", F.row_number().over(w)).withColumn("description_short", clip_text(F.col(desc_col)))
+    out = serial_numbers(df, list(by or []), order_by).withColumn("description_short", clip_text(F.col(desc_col)))
     if cv_col:
         cv = F.col(cv_col)
         out = out.withColumn("cv_text", F.when(cv.isNull(), F.lit(None).cast("string"))

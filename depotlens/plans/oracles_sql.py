@@ -639,6 +639,20 @@ SQL["full_report_summary"] = _report(False, True)
 SQL["full_report_summary_by_depot"] = _report(True, True)
 SQL["full_report_tiers_by_depot"] = SQL["tier_counts_by_depot"]
 
+SQL["scan_csv"] = SQL["materials_dim"]
+SQL["scan_json"] = f"SELECT material_number, document_date, quantity FROM ({SQL['dedupe_first']})"
+SQL["json_records"] = with_(*BASE) + """,
+m AS (SELECT material_number, month, CAST(sum(consumption_qty) AS BIGINT) AS qty FROM mv GROUP BY material_number, month),
+l AS (SELECT material_number, '[' || string_agg('{"month":' || month || ',"qty":' || qty || '}', ',' ORDER BY month) || ']' AS months FROM m GROUP BY material_number),
+d AS (SELECT material_number, strftime(min(document_date), '%Y-%m-%d') AS first_date FROM mv GROUP BY material_number)
+SELECT material_number, '{"material_number":"' || material_number || '","first_date":"' || first_date || '","remark":null,"ratio":null,"months":' || months || '}' AS json FROM l JOIN d USING (material_number)"""
+SQL["report_sink"] = with_(*BASE, patterns_ctes(False), tiers_ctes(False), _nonmoving(False)[len(with_(*BASE)) + 1:]) + """
+SELECT * FROM (VALUES ('summary', 1), ('tiers', 6), ('peak_months', 12), ('seasonal', 1)) t(report, "rows")
+UNION ALL SELECT 'tier_detail', count(*) FROM cls
+UNION ALL SELECT 'top_consumers', least(count(*), 10) FROM cls
+UNION ALL SELECT 'non_moving', count(*) FROM nm"""
+SQL["report_sink"] = f'SELECT report, CAST("rows" AS BIGINT) AS "rows" FROM ({SQL["report_sink"]})'
+
 for _name in ("movements", "anomaly_rows", "predict_inventory_by_depot", "depot_filter_like", *[k for k in SQL if k.endswith("_by_depot")]):
     if "nullif(depot_name" not in SQL[_name]:
         SQL[_name] = no_depot(SQL[_name])

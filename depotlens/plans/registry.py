@@ -549,3 +549,53 @@ def q_full_report_summary_by_depot(spark, sf_dir):
 def q_full_report_tiers_by_depot(spark, sf_dir):
     """R2: the tier table of the whole report set, per depot."""
     return R.full_report(fx.movements_raw(spark, sf_dir), DEPOT)["tiers"]
+
+
+# -- S: sources and sinks, over copies of the derived movements in other formats ---
+from depotlens.functions.stored import shared_folder  # noqa: E402
+from depotlens.sources import sinks  # noqa: E402
+
+
+def _text_copy(spark, sf_dir, fmt):
+    """The movements in input order as text files; the folder they are in."""
+    path = shared_folder(spark)
+    raw = fx.movements_raw(spark, sf_dir)
+    rows = raw.orderBy("row_key").drop("row_key")
+    rows.write.options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(path)
+    return path
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    """S1 over CSV files without key columns: P6, whose "first" goes by the order of rows in the files."""
+    return P.materials_dim(N.normalise_movements(ingest.scan_movements(spark, _text_copy(spark, sf_dir, "csv"), "csv")))
+
+
+@query("scan_json")
+def q_scan_json(spark, sf_dir):
+    """S1, S3 over JSON files without key columns: K4, the first row per material."""
+    raw = ingest.scan_movements(spark, _text_copy(spark, sf_dir, "json"), "json")
+    ingest.require_columns(ingest.resolve_columns([c for c in raw.columns if c != "row_key"]))
+    d = K.dedupe_first(raw.withColumn("material_number", F.coalesce("Material", F.lit("nan"))), "material_number")
+    return d.select("material_number", F.col("Document Date").alias("document_date"), F.col("Quantity").alias("quantity"))
+
+
+@query("json_records")
+def q_json_records(spark, sf_dir):
+    """Each tier member as a JSON record, with a date, a null and a nested list."""
+    slots = P.slot_table(movements(spark, sf_dir))
+    months = F.filter(F.array(*[F.when(F.col(f"_q{i}").isNotNull(), F.struct(F.lit(i).alias("month"), F.col(f"_q{i}").cast("long").alias("qty"))) for i in P.MONTHS]), lambda m: m.isNotNull())
+    rows = slots.select("material_number", F.col("first_date"), F.lit(None).cast("string").alias("remark"), F.lit(float("nan")).alias("ratio"), months.alias("months"))
+    return sinks.json_records(rows).select(F.get_json_object("json", "$.material_number").alias("material_number"), "json")
+
+
+@query("report_sink")
+def q_report_sink(spark, sf_dir):
+    """The whole report set published as one release and read back: rows of each table."""
+    path = shared_folder(spark)
+    sinks.publish_report(R.full_report(fx.movements_raw(spark, sf_dir)), path)
+    counts = [t.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("rows")) for name, t in sorted(sinks.read_report(spark, path).items())]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

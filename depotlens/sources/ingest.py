@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from depotlens.functions.groups import attach_group
+
 # Accepted source column names per role, highest priority first.
 ROLE_NAMES: dict[str, list[str]] = {
     "date": ["Document Date", "Posting Date", "Document_Date", "Posting_Date",
@@ -37,9 +39,10 @@ def scan_movements(spark: SparkSession, path: str, fmt: str = "parquet",
 
     Parquet and ORC keep their own schema.  CSV (with a header) and JSON are read as
     text columns: by ``schema`` if given, else every column that the files name, all as strings.
-    ``key_columns`` name columns that define the order of rows; they become ``row_key``.  Without them Parquet rows are
-    keyed by file and row index, which do not depend on how the scan is split.  Other formats give no such
-    index, so they need ``key_columns`` or a ``row_key`` of their own.
+    ``key_columns`` name columns that define the order of rows; they become ``row_key``.  Without them rows are keyed by their place:
+    in Parquet by file and row index, in other formats by file, the byte at which their split of the file begins, and
+    their place in the reading task, which grows within a split.  However a scan is split, the keys sort rows in the order of
+    the files; only Parquet's also name the same row in two scans that are split differently.
     """
     reader = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}), **options)
     if schema is not None:
@@ -51,9 +54,25 @@ def scan_movements(spark: SparkSession, path: str, fmt: str = "parquet",
         return df.withColumn("row_key", F.struct(*[F.col(f"`{c}`") for c in key_columns]))
     if "row_key" in df.columns:
         return df
-    if fmt != "parquet":
-        raise ValueError(f"a {fmt} source needs key_columns: its rows have no stable order")
-    return df.withColumn("row_key", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    file = F.col("_metadata.file_path").alias("file")
+    if fmt == "parquet":
+        return df.withColumn("row_key", F.struct(file, F.col("_metadata.row_index").alias("row")))
+    return df.withColumn("row_key", F.struct(file, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")))
+
+
+def row_numbers(raw: DataFrame) -> DataFrame:
+    """``raw`` of a text format, scanned without ``key_columns``, with its keys as (file, row index in the file), as Parquet has them.
+
+    Rows are counted per split; the counts of a file's earlier splits are what a split starts from.  A second scan, which has to be split like the first:
+    both are parts of one plan over the same files.
+    """
+    key = F.struct(F.col("row_key.file").alias("file"), F.col("row_key.split").alias("split"))
+    splits = raw.groupBy(key.alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.min("row_key.row").alias("_first"))
+    earlier = Window.partitionBy("_s.file").orderBy("_s.split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_s", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("row_key.row") - F.col("_first")).alias("row")
+    numbered = attach_group(raw.withColumn("_s", key), starts, ["_s"])
+    return numbered.withColumn("row_key", F.struct("row_key.file", place)).drop("_s", "_first", "_before")
 
 
 def require_rows(df: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """JSON records and report tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +40,37 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write each report table under ``path/report=<name>`` (one job per
-    table; every table is a small aggregate of the cached/checkpointed inputs)."""
+    """Write each report table under ``path/report=<name>``, in place."""
     for name, df in tables.items():
         df.write.mode(mode).format(fmt).save(f"{path}/report={name}")
+
+
+def publish_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> str:
+    """Write a set of report tables as one release; returns its name.
+
+    Each table goes under ``path/release=<name>/report=<table>``; a manifest row (release, time, table, rows) per table is appended to ``path/manifest`` last, in one
+    commit.  Readers go by the manifest, so a run that fails halfway leaves the release before it as it was.
+    Tables of ``reports.full_report`` share one stored material table: the source is scanned once, when that is made.
+    """
+    if not tables:
+        raise ValueError("a report needs at least one table")
+    spark = next(iter(tables.values())).sparkSession
+    release = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    entries = []
+    for name, df in tables.items():
+        place = f"{path}/release={release}/report={name}"
+        df.write.format(fmt).save(place)
+        entries.append((release, name, fmt, spark.read.format(fmt).load(place).count()))
+    spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return release
+
+
+MANIFEST = "release string, report string, format string, rows long"
+
+
+def read_report(spark: SparkSession, path: str, release: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest complete release, or of the one named."""
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    chosen = release or manifest.agg(F.max("release")).first()[0]
+    rows = manifest.where(F.col("release") == chosen).collect()  # a row per table of one report
+    return {r.report: spark.read.format(r.format).load(f"{path}/release={chosen}/report={r.report}") for r in rows}

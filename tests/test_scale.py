@@ -3,11 +3,13 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
 from depotlens.functions import groups, quantiles
 from depotlens.functions import stored as stored_module
+from depotlens.functions.numbering import serial_numbers
 from depotlens.functions.quantiles import _bucket, buckets_to_rank, exact_quantiles
 from depotlens.operators import anomalies as A
 from depotlens.operators import catalog as K
@@ -168,3 +170,16 @@ def test_fractional_sums_do_not_depend_on_order(spark):
     one = P.monthly_consumption(normalise_movements(raw_rows(spark, rows).coalesce(1))).first().qty
     many = P.monthly_consumption(normalise_movements(raw_rows(spark, rows[::-1]).repartition(7))).first().qty
     assert one == many == 1990.0
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_serial_numbers_equal_row_number(spark, by):
+    """One group holds most rows; it is spread over partitions and its numbers run on."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 20_011).alias("v"), F.lit("x").alias("n"))
+    got = serial_numbers(df, by, ["v"], "no", partitions=13)
+    want = df.withColumn("no", F.row_number().over(Window.partitionBy(*by).orderBy("v")))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert serial_numbers(df.limit(0), by, ["v"]).count() == 0
+    ranged = df.repartitionByRange(13, *by, "v").where("g IS NULL").groupBy(F.spark_partition_id()).count()
+    assert ranged.agg(F.max("count")).first()[0] < 4000  # of 18,000 rows of the group
