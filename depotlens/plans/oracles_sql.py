@@ -653,6 +653,9 @@ UNION ALL SELECT 'top_consumers', least(count(*), 10) FROM cls
 UNION ALL SELECT 'non_moving', count(*) FROM nm"""
 SQL["report_sink"] = f'SELECT report, CAST("rows" AS BIGINT) AS "rows" FROM ({SQL["report_sink"]})'
 
+SQL["basket_stream"] = "WITH" + EVENTS + "\nSELECT session_id, material_number, quantity, unit_price FROM basket"
+SQL["monthly_stream"] = SQL["monthly_consumption"]
+
 for _name in ("movements", "anomaly_rows", "predict_inventory_by_depot", "depot_filter_like", *[k for k in SQL if k.endswith("_by_depot")]):
     if "nullif(depot_name" not in SQL[_name]:
         SQL[_name] = no_depot(SQL[_name])

@@ -599,3 +599,34 @@ def q_report_sink(spark, sf_dir):
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+# -- §2.12: streaming forms, run to the end of what their source holds ----------------
+from depotlens.streaming.basket_events import basket_event_stream, current_lines  # noqa: E402
+from depotlens.streaming.closing_months import closing_month_stream, total  # noqa: E402
+from depotlens.streaming.runs import run_available  # noqa: E402
+
+#: Files, each a micro-batch, over which rows are dealt by a hash: arrival in no order.
+ARRIVALS = 4
+
+
+def _shuffled_stream(rows, spark):
+    path = shared_folder(spark)
+    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "row_key"]), F.lit(ARRIVALS)))
+    for k in range(ARRIVALS):
+        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@query("basket_stream")
+def q_basket_stream(spark, sf_dir):
+    """B4 from events that arrive in no order, as keyed state with a buffer and timers."""
+    stamps = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    events = fx.basket_events(spark, sf_dir).join(stamps, "seq")
+    return current_lines(run_available(basket_event_stream(_shuffled_stream(events, spark), "60 days")))
+
+
+@query("monthly_stream")
+def q_monthly_stream(spark, sf_dir):
+    """P1 from movements that arrive in no order: closed and open months plus late rows."""
+    return total(run_available(closing_month_stream(_shuffled_stream(fx.movements_raw(spark, sf_dir), spark), delay="400 days")))
