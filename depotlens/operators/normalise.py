@@ -28,8 +28,8 @@ def to_number(c: Column) -> Column:
     return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
-def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:
-    """N1-N7 without the validity filter: every raw row, typed."""
+def typed_columns(raw: DataFrame, roles: dict | None = None, keep: list[str] = ()) -> DataFrame:
+    """N1-N7 without the validity filter: every raw row, typed; ``keep`` names raw columns to carry along."""
     roles = require_columns(roles or resolve_columns([c for c in raw.columns if c != "row_key"]))
     qty = F.abs(to_number(_q(roles["quantity"])))                       # N2
     amount = F.abs(to_number(_q(roles["amount"])))                      # N3
@@ -49,7 +49,7 @@ def typed_columns(raw: DataFrame, roles: dict | None = None) -> DataFrame:
         amount.alias("amount"),
         F.when(qty > 0, amount / qty).otherwise(F.lit(0.0)).alias("unit_price"),  # N4
     ]
-    return raw.select(*cols)
+    return raw.select(*cols, *[_q(c) for c in keep])
 
 
 def validity(c_qty: Column, c_amount: Column, c_material: Column, c_date: Column) -> Column:

@@ -656,6 +656,9 @@ SQL["report_sink"] = f'SELECT report, CAST("rows" AS BIGINT) AS "rows" FROM ({SQ
 SQL["basket_stream"] = "WITH" + EVENTS + "\nSELECT session_id, material_number, quantity, unit_price FROM basket"
 SQL["monthly_stream"] = SQL["monthly_consumption"]
 
+SQL["search_indexed"] = SQL["search_movements"]
+SQL["search_indexed_regex"] = SQL["search_movements"].replace("(?i)ring", "(?i)red +wid[gh]et .*brand#1")
+
 for _name in ("movements", "anomaly_rows", "predict_inventory_by_depot", "depot_filter_like", *[k for k in SQL if k.endswith("_by_depot")]):
     if "nullif(depot_name" not in SQL[_name]:
         SQL[_name] = no_depot(SQL[_name])

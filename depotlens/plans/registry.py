@@ -630,3 +630,34 @@ def q_basket_stream(spark, sf_dir):
 def q_monthly_stream(spark, sf_dir):
     """P1 from movements that arrive in no order: closed and open months plus late rows."""
     return total(run_available(closing_month_stream(_shuffled_stream(fx.movements_raw(spark, sf_dir), spark), delay="400 days")))
+
+
+# -- scale options: sketches, and an index for the search ------------------------------
+from depotlens.operators import search_index  # noqa: E402
+from depotlens.operators import sketches  # noqa: E402
+
+
+@query("sketch_overview_by_depot")
+def q_sketch_overview_by_depot(spark, sf_dir):
+    """P7 and A1's quantiles per depot, merged from sketches per depot and month; errors as ``sketches`` states them."""
+    return sketches.approximate_overview(sketches.sketch_table(movements(spark, sf_dir), DEPOT), DEPOT)
+
+
+@query("sketch_thresholds_by_depot")
+def q_sketch_thresholds_by_depot(spark, sf_dir):
+    """C1 per depot from sketches."""
+    return sketches.approximate_thresholds(P.material_patterns(movements(spark, sf_dir), DEPOT), DEPOT)
+
+
+@query("search_indexed")
+def q_search_indexed(spark, sf_dir):
+    """K1 + K4 by the trigram index: the rows of ``search_movements``."""
+    path = search_index.build_index(fx.movements_raw(spark, sf_dir))
+    return search_index.search_indexed(spark, path, "ring").drop("row_key")
+
+
+@query("search_indexed_regex")
+def q_search_indexed_regex(spark, sf_dir):
+    """K1 by the index with a pattern of two required runs."""
+    path = search_index.build_index(fx.movements_raw(spark, sf_dir))
+    return search_index.search_indexed(spark, path, "red +wid[gh]et .*brand#1").drop("row_key")
