@@ -119,6 +119,24 @@ def _apply(state, x):
         F.when(own, x["own_price"]).otherwise(state["price"]).alias("price"))
 
 
+def _lines_at_block_starts(blocks: DataFrame) -> DataFrame:
+    """(key, block, was): the line that each block begins with, by running windows over the key's block summaries.
+
+    An epoch begins with a block that cuts.  In it the first block whose own events leave a line is the base; later blocks set or add to that line.
+    """
+    in_key = Window.partitionBy(*KEY).orderBy("block")
+    upto = Window.partitionBy(*KEY, "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    b = blocks.withColumn("epoch", F.sum(F.col("cut").cast("int")).over(in_key.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("base", F.first(F.when(F.col("own_live"), F.struct("block", "own_qty", "own_price")), ignorenulls=True).over(upto))
+    later = F.coalesce(F.col("block") > F.col("base.block"), F.lit(False))
+    b = b.withColumn("added", F.sum(F.when(later, F.col("adds")).otherwise(0)).over(upto))
+    b = b.withColumn("set", F.last(F.when(later & F.col("set_qty").isNotNull(), F.struct("set_qty", "added")), ignorenulls=True).over(upto))
+    qty = F.when(F.col("set").isNotNull(), F.col("set.set_qty") + F.col("added") - F.col("set.added")).otherwise(F.col("base.own_qty") + F.col("added"))
+    line = F.struct(F.col("base").isNotNull().alias("live"), qty.cast("long").alias("qty"), F.col("base.own_price").alias("price"))
+    nothing = F.struct(F.lit(False).alias("live"), F.lit(None).cast("long").alias("qty"), F.lit(None).cast("double").alias("price"))
+    return b.select(*KEY, "block", F.coalesce(F.lag(line).over(in_key), nothing).alias("was"))
+
+
 def order_lines(events: DataFrame, assigned: DataFrame, block_seqs: int = BLOCK_SEQS) -> DataFrame:
     """Every confirm that finds a live line becomes an order line with the
     line as it stood just before the confirm, its vendor and a deterministic
@@ -130,16 +148,7 @@ def order_lines(events: DataFrame, assigned: DataFrame, block_seqs: int = BLOCK_
     """
     rows = _block_states(events, block_seqs)
     fields = ["block", "cut", "own_live", "own_qty", "own_price", "set_qty", "adds"]
-    blocks = rows.where(F.col("seq").isNull()).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("b"))
-    nothing = F.struct(F.lit(False).alias("live"), F.lit(None).cast("long").alias("qty"), F.lit(None).cast("double").alias("price"))
-    kind = "array<struct<block:bigint,was:struct<live:boolean,qty:bigint,price:double>>>"
-
-    def step(acc, x):
-        seen = F.concat(acc["seen"], F.array(F.struct(x["block"].alias("block"), acc["now"].alias("was"))).cast(kind))
-        return F.struct(_apply(acc["now"], x).cast("struct<live:boolean,qty:bigint,price:double>").alias("now"), seen.alias("seen"))
-
-    start = F.struct(nothing.cast("struct<live:boolean,qty:bigint,price:double>").alias("now"), F.array().cast(kind).alias("seen"))
-    began = blocks.select(*KEY, F.inline(F.aggregate("b", start, step, lambda acc: acc["seen"])))
+    began = _lines_at_block_starts(rows.where(F.col("seq").isNull()).select(*KEY, *fields))
     confirms = rows.where(F.col("seq").isNotNull()).join(began, [*KEY, "block"])
     x = {c: F.col(c) for c in fields}
     conf = confirms.select(*KEY, "seq", _apply(F.col("was"), x).alias("line")).where("line.live").select(
