@@ -10,8 +10,10 @@
    coordinates, then scored exactly in integers, and the thresholds rise.
 5. Each pair of blocks gives at most k rows a query; the best k of them are the result.  Nothing is left out, so recall is 1.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with no id or those with a component beyond
-2^23 in size (their scores need not fit).  Shorter vectors count as filled up with zeros.  Rows equal in id and vector count once;
+Vectors as long as 2^31 or longer, whose products may leave 64 bits, are scored pair by pair in whole numbers of any size, without the rotated sums.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with no id.  A query with a result that does not fit a
+long fails with a message.  Shorter vectors count as filled up with zeros.  Rows equal in id and vector count once;
 a query's own rows are all those with its id.  Fewer than k candidates: all of them.  Empty table: empty result.
 """
 from __future__ import annotations
@@ -31,17 +33,25 @@ BLOCK = 4096
 SLAB = 512
 SEEDS = 2048
 SAMPLE = 20_000
-_LIMIT = 1 << 23
+#: Bytes of vectors that the driver gathers for the sample, and for the seeds, at most.
+GATHER_BYTES = 64 << 20
+#: Length from which on products of vectors are worked out in whole numbers of any size; below it they stay under 2^62.
+LONG = float(1 << 31)
 #: Allowance for rounding in the rotated sums, relative to |q| * |x|.
 _SLACK = 1e-9
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<bigint>, norm) of the vectors that take part, each distinct (id, vector) once."""
+    """(id, v array<double> of whole numbers, norm) of the vectors that take part, each distinct (id, vector) once."""
     x = F.col(vector_col).cast("array<double>")
-    usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < _LIMIT))
-    v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+    usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+
+    def whole(c: Column) -> Column:
+        y = c * F.lit(float(scale))
+        return F.when(F.abs(y) < 2.0 ** 52, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole already
+
+    v = F.transform(x, whole)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     return vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).distinct().withColumn("norm", norm)
 
 
@@ -63,9 +73,9 @@ class Rotation:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """List column -> int64 matrix, shorter rows filled with zeros."""
+    """List column -> matrix of whole doubles, shorter rows filled with zeros."""
     sizes = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), dim), np.int64)
+    out = np.zeros((len(column), dim))
     out[np.arange(dim) < sizes[:, None]] = column.flatten().to_numpy()
     return out
 
@@ -90,27 +100,57 @@ class Best:
         self.q, self.id, self.score = q[keep], ids[keep], score[keep]
 
 
+def whole_scores(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products of whole doubles of any size, exactly, but for pairs of a query and its ``own`` rows.  One below the range of a long counts as its least value."""
+    exact = [[[int(c) for c in row] for row in side] for side in (queries, vectors)]
+    out = np.full((len(queries), len(vectors)), LEAST, np.int64)
+    for i, q in enumerate(exact[0]):
+        for j, x in enumerate(exact[1]):
+            if own[i, j]:
+                continue
+            product = sum(a * b for a, b in zip(q, x))
+            if product >= 1 << 63:
+                raise OverflowError(f"an inner product of {product} does not fit a long")
+            out[i, j] = max(product, LEAST)
+    return out
+
+
+#: The score of pairs below the range of a long, of which both signs are longs.
+LEAST = 1 - (1 << 63)
+
+
 def search(best: Best, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, slab: int = SLAB) -> None:
     """Feed ``best`` all candidates that may belong; ``vectors`` are in descending length."""
-    rq, left_q = rotation.apply(queries.astype(np.float64))
-    rx, left_x = rotation.apply(vectors.astype(np.float64))
-    norm_q, norm_x = (np.sqrt((m.astype(np.float64) ** 2).sum(1)) for m in (queries, vectors))
+    with np.errstate(over="ignore"):
+        norm_q, norm_x = (np.sqrt((m ** 2).sum(1)) for m in (queries, vectors))
+    plain_q, plain_x = norm_q < LONG, norm_x < LONG
+    rq, left_q = rotation.apply(np.where(plain_q[:, None], queries, 0))
+    rx, left_x = rotation.apply(np.where(plain_x[:, None], vectors, 0))
+    whole_q, whole_x = (np.where(p[:, None], m, 0).astype(np.int64) for p, m in ((plain_q, queries), (plain_x, vectors)))
     for at in range(0, len(ids), slab):
-        x = slice(at, at + slab)
-        live = np.flatnonzero(norm_q * norm_x[at] * (1 + _SLACK) >= best.floor)  # no later vector is longer
+        x = np.arange(at, min(at + slab, len(ids)))
+        with np.errstate(invalid="ignore"):
+            live = np.flatnonzero(~(norm_q * norm_x[at] * (1 + _SLACK) < best.floor))  # no later vector is longer
         if not len(live):
             return
+        for some, others in ((live, x[~plain_x[x]]), (live[~plain_q[live]], x[plain_x[x]])):
+            if len(some) and len(others):
+                best.add(np.repeat(some, len(others)), np.tile(ids[others], len(some)),
+                         whole_scores(queries[some], vectors[others], best.query[some][:, None] == ids[others]).ravel())
+        live, x = live[plain_q[live]], x[plain_x[x]]
+        if not len(live) or not len(x):
+            continue
         floor = best.floor[live][:, None] - _SLACK * norm_q[live][:, None] * norm_x[x]
         stop = rotation.stops[0]
         part = rq[live, :stop] @ rx[x, :stop].T
         i, j = np.nonzero(part + left_q[live, 0][:, None] * left_x[x, 0] >= floor)
         part, floor = part[i, j], floor[i, j]
         for n, end in enumerate(rotation.stops[1:], 1):
-            part = part + np.einsum("ij,ij->i", rq[live[i], stop:end], rx[at + j, stop:end])
-            may = part + left_q[live[i], n] * left_x[at + j, n] >= floor
+            part = part + np.einsum("ij,ij->i", rq[live[i], stop:end], rx[x[j], stop:end])
+            may = part + left_q[live[i], n] * left_x[x[j], n] >= floor
             i, j, part, floor, stop = i[may], j[may], part[may], floor[may], end
         if len(i):
-            best.add(live[i], ids[at + j], np.einsum("ij,ij->i", queries[live[i]], vectors[at + j]))
+            best.add(live[i], ids[x[j]], np.einsum("ij,ij->i", whole_q[live[i]], whole_x[x[j]]))
 
 
 def _sides(spec: str) -> pa.Schema:
@@ -134,7 +174,7 @@ def _blocks(df: DataFrame, order: list, block: int, dim: int, floors: bool) -> D
                 with np.errstate(divide="ignore", invalid="ignore"):  # the least candidate length that any query here needs
                     need = float(np.where(floor <= 0, -np.inf, floor / norm).min()) if floors else 0.0
                 yield pa.RecordBatch.from_pylist([{"part": rows.column("part")[0].as_py(), "seq": seq, "ids": rows.column("id").to_numpy().tobytes(),
-                                                   "floors": floor.astype(np.float64).tobytes(), "body": v.astype(np.int32).tobytes(),
+                                                   "floors": floor.astype(np.float64).tobytes(), "body": v.astype(np.int32 if norm.max() < LONG else np.float64).tobytes(),
                                                    "longest": float(norm.max()), "need": need}], schema)
                 seq += 1
 
@@ -142,6 +182,11 @@ def _blocks(df: DataFrame, order: list, block: int, dim: int, floors: bool) -> D
     return ordered.mapInArrow(run, spec)
 
 
+def vectors_of(body: bytes, n: int, dim: int) -> np.ndarray:
+    """A block's vectors: 32-bit where all of them are short, else doubles."""
+    return np.frombuffer(body, np.int32 if len(body) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
 def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE,
           block: int = BLOCK, seeds: int = SEEDS, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query, ties to the smaller id.
@@ -155,22 +200,24 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     dim = max(1, dim or 0)
     if not count:
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    rows = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].combine_chunks()
-    rotation = spark.sparkContext.broadcast(Rotation(matrix(rows, dim).astype(np.float64)))
-    longest = base.orderBy(F.desc("norm"), "id").limit(seeds).select("id", "v").toArrow()
-    seed = spark.sparkContext.broadcast((longest["id"].to_numpy(), matrix(longest["v"].combine_chunks(), dim)))
+    plain, most = base.where(F.col("norm") < LONG), max(k, GATHER_BYTES // (8 * dim))
+    rows = plain.orderBy(F.xxhash64("id"), "id").limit(min(sample, most)).select("v").toArrow()["v"].combine_chunks()
+    rotation = spark.sparkContext.broadcast(Rotation(matrix(rows, dim) if len(rows) else np.eye(dim)))
+    longest = plain.orderBy(F.desc("norm"), "id").limit(min(seeds, most)).select("id", "v").toArrow()
+    seed = spark.sparkContext.broadcast((longest["id"].to_numpy(), matrix(longest["v"].combine_chunks(), dim).astype(np.int64)))
 
     def first_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, seen = seed.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLAB):
                 part = batch.slice(at, SLAB)
-                score = (matrix(part.column("v"), dim) @ seen.T).astype(np.float64)
-                score[part.column("id").to_numpy()[:, None] == ids] = -np.inf
+                short = part.column("norm").to_numpy() < LONG
+                score = (np.where(short[:, None], matrix(part.column("v"), dim), 0).astype(np.int64) @ seen.T).astype(np.float64)
+                score[(part.column("id").to_numpy()[:, None] == ids) | ~short[:, None]] = -np.inf
                 floor = np.partition(score, -k, 1)[:, -k] if len(ids) >= k else np.full(len(score), -np.inf)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor)], ["id", "v", "norm", "floor"])
 
-    queries = base.where(is_query).mapInArrow(first_floors, "id long, v array<bigint>, norm double, floor double")
+    queries = base.where(is_query).mapInArrow(first_floors, "id long, v array<double>, norm double, floor double")
     n_blocks = max(1, ceil_div(count, block))
     by_length = base.repartitionByRange(n_blocks, F.desc("norm"), "id")
     cand = stored(_blocks(by_length, [F.desc("norm"), "id"], block, dim, False)
@@ -189,11 +236,13 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in ("q_ids", "q_floors", "q_body", "c_ids", "c_body")}
                 query = np.frombuffer(row["q_ids"], np.int64)
-                asked_v, cand_v = (np.frombuffer(row[c], np.int32).reshape(-1, dim).astype(np.int64) for c in ("q_body", "c_body"))
+                asked_v, cand_v = (vectors_of(row[f"{c}_body"], len(row[f"{c}_ids"]) // 8, dim) for c in "qc")
                 best = Best(query, np.frombuffer(row["q_floors"], np.float64), k)
                 search(best, asked_v, np.frombuffer(row["c_ids"], np.int64), cand_v, rotation.value)
                 yield pa.RecordBatch.from_arrays([pa.array(query[best.q]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(compare, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    fits = F.when(F.col("score") > LEAST, F.col("score")).otherwise(F.raise_error(F.lit("an inner product does not fit a long")).cast("long"))
+    return ranked.select("query_id", "rank", "vec_id", fits.alias("score"))

@@ -284,6 +284,46 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(df.where("vec_id in (0, 50)"), F.col("id") % 50 == 0).where("query_id = 0").count() == 2
 
 
+def brute_top(rows):
+    usable = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows}
+    want = []
+    for q in sorted({i for i, _ in usable if i % 50 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for j, x in usable if j == q for i, y in usable if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    return want
+
+
+@pytest.mark.parametrize("big", [2.0 ** 22, 2.0 ** 23 - 1, 2.0 ** 23, 2.0 ** 30])
+def test_top_k_of_large_components(spark, big):
+    """Long vectors take part, as queries and as candidates, and no score wraps: the largest here are just inside a long."""
+    rng = random.Random(int(big))
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(300)]
+    rows += [(1000, [big] * 8), (1001, [-big] * 8), (1050, [big, -big] + [0.25] * 6), (1002, [0.0] * 7 + [big])]
+    if big < 2.0 ** 23:
+        rows += [(1003, [big] * 4)]
+    safe = [r for r in rows if big < 2.0 ** 22 or r[0] not in (1000, 1001, 1003)] if big >= 2.0 ** 26 else [r for r in rows if r[0] != 1003 or big < 2.0 ** 22]
+    df = spark.createDataFrame(safe, "vec_id long, embedding array<double>")
+    want = brute_top(safe)
+    if all(-2 ** 63 < w[3] < 2 ** 63 for w in want):
+        for settings in ({}, {"block": 40, "seeds": 3, "sample": 9}):
+            assert sorted(map(tuple, top_k(df, F.col("id") % 50 == 0, **settings).collect())) == want
+    else:
+        with pytest.raises(Exception, match="fit a long"):
+            top_k(df, F.col("id") % 50 == 0).collect()
+
+
+def test_top_k_that_does_not_fit(spark):
+    df = spark.createDataFrame([(0, [2.0 ** 22] * 8), (1, [2.0 ** 22] * 8), (2, [1.0] * 8)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):  # 2^63
+        top_k(df, F.col("id") % 50 == 0).collect()
+    low = spark.createDataFrame([(0, [1e30] * 2)] + [(k, [-1e30 * k] * 2) for k in range(1, 4)] + [(k, [-float(k), 0.5 / 256]) for k in range(10, 16)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):  # all of the results are below the range
+        top_k(low.where("vec_id < 4"), F.col("id") % 50 == 0).collect()
+    small = spark.createDataFrame([(0, [1e12] * 2)] + [(k, [-1e14 * k] * 2) for k in range(1, 4)] + [(k, [-float(k) / 256, 0.5]) for k in range(10, 16)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(small, F.col("id") % 50 == 0).collect()))  # the three whose products do not fit are not among the best
+    assert got == brute_top([(0, [1e12] * 2)] + [(k, [-float(k) / 256, 0.5]) for k in range(10, 16)])
+
+
 # --- quality rules
 
 def base_model(t):
