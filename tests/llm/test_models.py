@@ -202,9 +202,9 @@ def test_language_model(spark, bucket_bytes):
 
 def test_model_is_a_distribution(spark):
     rows = lm_rows(random.Random(9), 60)
-    bucketed = brown_lm._bucketed(awkward(spark, rows), "doc_id", "text", F.lit(True), 8 << 20)
-    totals = brown_lm.bucket_counts(bucketed).groupBy("word").agg(F.sum("n").alias("c")).cache()
-    model = brown_lm.fit(bucketed, totals, frequent=20, endings=8, classes=5)
+    buckets = brown_lm.coded(awkward(spark, rows), F.lit(True)).cache()
+    totals = brown_lm.word_rows(buckets).groupBy("word").agg(F.sum("n").alias("c")).cache()
+    model = brown_lm.fit(buckets, totals, frequent=20, endings=8, classes=5)
     assert np.allclose((10 ** model.transition).sum(1), 1)
     mass = collections.Counter()
     for r in totals.collect():
@@ -233,23 +233,27 @@ def test_rare_words_get_classes_by_their_contexts(spark, monkeypatch):
     rows = []
     for k in range(600):  # words of two kinds take turns; all endings are alike
         rows.append((k, " ".join(f"{'ab'[i % 2]}{rng.randrange(60)}xyz" for i in range(rng.randint(5, 40)))))
-    bucketed = brown_lm._bucketed(awkward(spark, rows), "doc_id", "text", F.lit(True), 20_000)
-    counts = brown_lm.bucket_counts(bucketed).cache()
-    totals = counts.groupBy("word").agg(F.sum("n").alias("c")).cache()
-    seed = brown_lm.fit(bucketed, totals, frequent=20, endings=8, classes=5)
-    own = brown_lm.moved(bucketed, seed).cache()
+    buckets = brown_lm.coded(awkward(spark, rows), F.lit(True), bucket_bytes=20_000).cache()
+    assert buckets.count() > 3
+    totals = brown_lm.word_rows(buckets).groupBy("word").agg(F.sum("n").alias("c")).cache()
+    first = brown_lm.fit(buckets, totals, frequent=20, endings=8, classes=5)
+    seed = spark.sparkContext.broadcast(first)
+    own = brown_lm.moved(buckets, seed).cache()
     of = {bytes(r.word): r.cls for r in own.collect()}
-    assert len(of) == 120 + 1 - len(seed.units.frequent)
+    assert len(of) == 120 + 1 - len(first.units.frequent)
     kinds = [{c for w, c in of.items() if w[:1] == kind} for kind in (b"a", b"b")]
-    assert len({seed.of[seed.units[w]] for w in of}) == 1 and not kinds[0] & kinds[1]
-    replies = counts.select("bucket", "word").join(totals.join(own, "word", "left"), "word")
-    model = brown_lm.refine(bucketed, replies, own, seed)
-    assert model.own and brown_lm.likelihood(model.table) > brown_lm.likelihood(seed.table) and model.table.sum() == seed.table.sum()
+    assert len({first.of[first.units[w]] for w in of}) == 1 and not kinds[0] & kinds[1]
+    _, model = brown_lm.refine(buckets, totals, own, seed)
+    assert model.own and brown_lm.likelihood(model.table) > brown_lm.likelihood(first.table) and model.table.sum() == first.table.sum()
     mass = collections.Counter()
     for r in totals.collect():
-        cls = model.classes([bytes(r.word)], [of.get(bytes(r.word))])[0]
+        cls = of.get(bytes(r.word), model.classes([bytes(r.word)])[0])
         mass[cls] += (r.c + model.add) / model.places[cls]
     assert all(abs(m + model.add / model.places[c] - 1) < 1e-9 for c, m in mass.items())
+    # classes that make things worse are taken by a part of the words, or by none
+    worse = own.select("word", F.pmod(F.xxhash64("word"), F.lit(5)).cast("int").alias("cls")).cache()
+    classed, kept = brown_lm.refine(buckets, totals, worse, seed)
+    assert brown_lm.likelihood(kept.table) >= brown_lm.likelihood(first.table) - 1e-6 and kept.table.sum() == first.table.sum() and classed.count() == buckets.count()
 
 
 def test_language_model_without_training_texts(spark):
