@@ -15,6 +15,7 @@ in a text become their special ids, as the tokenizers library does.  Repeated ro
 """
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import os
@@ -37,8 +38,13 @@ from depotlens.llm.common import binary, others, stored
 from depotlens.llm.tokens import WordIds, chunks
 
 LEXICON_WORDS = 1 << 17
-#: Pieces of words whose ids one Python worker remembers; beyond it the memo starts again.
+#: Bytes of a word in the lexicon, at most; longer ones are merged wherever they are met.
+LEXICON_BYTES = 64
+#: Pieces of words whose ids one Python worker remembers, and their characters together; beyond either the memo starts again.
 MEMO_PIECES = 250_000
+MEMO_CHARS = 16 << 20
+#: Bytes of a piece from which on it is merged by itself with a heap, in n log n steps; shorter ones are merged side by side.
+LONG_PIECE = 512
 
 
 # --- the automaton ---------------------------------------------------------------------------
@@ -154,6 +160,7 @@ class _Pairs:
     """(left id, right id) -> merge rank, as a hash table with linear probing; all lookups of a step at once."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.left, self.right = left, right
         self._mask = np.int64(4 * len(left)).item().bit_length()
         size = 1 << self._mask
         self._keys, self._ranks = np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
@@ -225,6 +232,7 @@ class Merger:
         left, right = (np.array([self._vocab[m[k]] for m in merges]) for k in (0, 1))
         self._pairs = _Pairs(left, right)
         self._merged = np.array([self._vocab[a + b] for a, b in merges])
+        self._rank_of: dict[int, int] | None = None  # made when the first long piece comes
         characters = byte_characters()
         self._byte_of = {c: b for b, c in enumerate(characters)}
         self._inner = np.array([self._vocab[c] for c in characters])
@@ -241,6 +249,7 @@ class Merger:
 
     def _forget(self) -> None:
         self._pieces = _Codes(self._special)  # special tokens have the first codes
+        self._chars = 0
         self._flat = np.array(list(self._special.values()), np.uint32)
         self._counts = np.ones(len(self._special), np.int64)
 
@@ -256,11 +265,12 @@ class Merger:
         """(number of ids of each word, ids of all words one after another).  Words hold no white space."""
         if not words:
             return np.empty(0, np.int64), np.empty(0, np.uint32)
-        if len(self._pieces) > MEMO_PIECES:
+        if len(self._pieces) > MEMO_PIECES or self._chars > MEMO_CHARS:
             self._forget()
         text = b" ".join(words).decode()
         n, codes = self._plain_codes(text) if self._is_plain(text) else self._mixed_codes(text)
         if self._pieces.new:
+            self._chars += sum(map(len, self._pieces.new))
             counts, flat = self._merge([p.encode() if type(p) is str else p for p in self._pieces.new])
             self._pieces.new = []
             self._counts, self._flat = np.concatenate([self._counts, counts]), np.concatenate([self._flat, flat])
@@ -305,6 +315,11 @@ class Merger:
         done: list[tuple[np.ndarray, np.ndarray]] = []  # (piece, its symbols) in matrices of like width
         width = 8
         low = 0
+        for row in np.flatnonzero(sizes > LONG_PIECE):
+            merged = self._merge_long(symbols[ends[row] - sizes[row]:ends[row]])
+            counts[row] = len(merged)
+            done.append((np.array([row]), merged[None, :]))
+        sizes = np.where(sizes > LONG_PIECE, 0, sizes)
         while low < sizes.max(initial=0):
             rows = np.flatnonzero((sizes > low) & (sizes <= width))
             for part in np.array_split(rows, max(1, len(rows) * width // 1_000_000)):
@@ -318,6 +333,37 @@ class Merger:
             flat[(starts[part][:, None] + np.arange(matrix.shape[1]))[inside]] = matrix[inside]
         return counts, flat
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge one piece: its symbols are a linked list, its pairs a heap by (rank, place); pairs that are gone are passed over when they come up."""
+        if self._rank_of is None:
+            self._rank_of = dict(zip((self._pairs.left.astype(np.int64) << 32 | self._pairs.right).tolist(), range(len(self._merged))))
+        rank_of, merged = self._rank_of, self._merged.tolist()
+        n = len(symbols)
+        symbol, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self._pairs.ranks(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(ranks != NONE)
+        heap = ((ranks[at].astype(np.int64) << 32) | at).tolist()
+        heapq.heapify(heap)
+        while heap:
+            key = heapq.heappop(heap)
+            rank, place = key >> 32, key & 0xFFFFFFFF
+            follower = after[place]
+            if symbol[place] < 0 or follower >= n or rank_of.get(symbol[place] << 32 | symbol[follower]) != rank:
+                continue
+            symbol[place], symbol[follower] = merged[rank], -1
+            beyond = after[place] = after[follower]
+            if beyond < n:
+                before[beyond] = place
+                new = rank_of.get(symbol[place] << 32 | symbol[beyond])
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | place)
+            ahead = before[place]
+            if ahead >= 0:
+                new = rank_of.get(symbol[ahead] << 32 | symbol[place])
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | ahead)
+        return np.array([x for x in symbol if x >= 0], np.int64)
+
     def _merge_matrix(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Merge pieces of like size, a row each: in every step each row joins its leftmost pair of least rank."""
         width = int(sizes.max())
@@ -381,16 +427,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words, at most ``lexicon_words``, and hand the file to all executors; returns its name.
 
-    A table of how many words have each count gives the least count that stays within the size; words below it stay where they are.
+    A table of how many words have each count says down to which count all words find room; of the next count's words a share by a hash fills it up.
     """
-    counts = stored(word_counts(docs, text_col))
-    cut, total = None, 0
+    counts = stored(word_counts(docs, text_col).where(F.octet_length("word") <= LEXICON_BYTES))
+    chosen, total = F.lit(False), 0
     for n, words in counts.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).limit(lexicon_words).collect():
-        total += words
-        if total > lexicon_words:
+        room = lexicon_words - total
+        if words > room:
+            chosen = chosen | ((F.col("n") == n) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(room / words * (1 << 30))))
             break
-        cut = n
-    top = counts.where(F.col("n") >= F.lit(cut)).select("word").toArrow()
+        chosen = chosen | (F.col("n") == n) if total == 0 else F.col("n") >= n
+        total += words
+    top = counts.where(chosen).select("word").limit(lexicon_words).toArrow()
     merger = Merger(path)
     words = top["word"].to_pylist()
     counts, flat = merger.ids(words)

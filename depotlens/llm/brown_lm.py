@@ -42,7 +42,7 @@ CLASSES = 64
 ROUNDS = 4
 ADD = 1.0
 PRIOR = 50.0
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 #: Rows of contexts whose words move together.
 MOVE_ROWS = 8_000
 #: The end token; no word holds a line end.
@@ -360,16 +360,16 @@ def moved(buckets: DataFrame, seed: Broadcast) -> DataFrame:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, of = seed.value.units, seed.value.of
         for bucket in _each(batches):
-            words, now = bucket.words, bucket.training().astype(np.int64)
+            words = bucket.words
+            now = bucket.training().astype(np.int32 if len(words) * (2 * k + 1) < 1 << 31 else np.int64)
             if not len(now):
                 continue
-            before = np.concatenate([[0], now[:-1]])
+            before = np.concatenate([now[:1] * 0, now[:-1]])
             unit = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-            cls, rare = of[unit], unit >= len(units.frequent)
+            cls, rare = of[unit].astype(now.dtype), unit >= len(units.frequent)
             same = now[now == before]
-            word = np.concatenate([before, now, same])
-            key = np.concatenate([cls[now], k + cls[before], np.full(len(same), 2 * k)])
-            cell, n = np.unique((word * (2 * k + 1) + key)[rare[word]], return_counts=True)
+            cell = np.concatenate([before * (2 * k + 1) + cls[now], now * (2 * k + 1) + k + cls[before], same * (2 * k + 1) + 2 * k])
+            cell, n = np.unique(cell[rare[cell // (2 * k + 1)]], return_counts=True)
             word, key = cell // (2 * k + 1), (cell % (2 * k + 1)).astype(small)
             start = np.flatnonzero(np.diff(word, prepend=-1))
             places = np.append(start, len(word))

@@ -11,6 +11,8 @@ import numpy as np
 
 #: Words whose ids one Python worker remembers; beyond it the memo starts again.
 MEMO_WORDS = 300_000
+#: Bytes of those words together, at most.
+MEMO_BYTES = 32 << 20
 
 
 class WordIds(dict):
@@ -27,6 +29,7 @@ class WordIds(dict):
     def _forget(self) -> None:
         self.clear()
         self._new: list[bytes] = []
+        self._bytes = 0
         self._counts = np.empty(0, np.int64)
         self._starts = np.empty(0, np.int64)
         self._flat = np.empty(0, np.uint32)
@@ -38,7 +41,7 @@ class WordIds(dict):
 
     def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        if len(self) > self._memo_words:
+        if len(self) > self._memo_words or self._bytes > MEMO_BYTES:
             self._forget()
         words = [t.split() if t else [] for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
@@ -48,6 +51,7 @@ class WordIds(dict):
             codes[at:at + len(w)] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
             at += len(w)
         if self._new:
+            self._bytes += sum(map(len, self._new))
             counts, flat = self._resolve(self._new)
             self._new = []
             self._counts = np.concatenate([self._counts, counts])

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from depotlens.llm import bpe
 from depotlens.llm.bpe import Lexicon, Merger, compile_lexicon, decode, encode
 from depotlens.llm.packing import OpenBins, pack, token_pieces
 from depotlens.llm.queries import vocabulary
@@ -34,6 +35,31 @@ def test_special_tokens_and_long_words():
         assert MERGER.ids(text.encode().split())[1].tolist() == ids(text)
 
 
+def test_a_megabyte_without_a_space():
+    rng = random.Random(4)
+    for word in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20)), "ab" * 300_000, "é" * 200_000, "aaab" * 50_000 + "c", "x" * 513):
+        assert MERGER.ids([word.encode()])[1].tolist() == ids(word)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abelnorstu", min_size=1, max_size=60))
+def test_heap_equals_matrix(word):
+    symbols = np.array([MERGER._inner[b] for b in word.encode()])
+    symbols[-1] = MERGER._last[word.encode()[-1]]
+    assert MERGER._merge_long(symbols).tolist() == MERGER.ids([word.encode()])[1].tolist()
+
+
+def test_lexicon_is_filled_where_all_words_are_equally_common(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(bpe, "compile_lexicon", lambda entries: held.append(entries) or compile_lexicon(entries))
+    docs = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(1000)) + " " + "y" * 5000)], "doc_id long, text string")
+    got = encode(docs, PATH, lexicon_words=100).first()
+    assert 60 < len(held[0]) <= 100 and max(map(len, held[0])) <= bpe.LEXICON_BYTES
+    assert list(got.ids) == ids(docs.first().text)
+    encode(docs.union(spark.createDataFrame([(2, "word1 word1 word2")], docs.schema)), PATH, lexicon_words=50)
+    assert {b"word1", b"word2"} <= held[1].keys() and 20 < len(held[1]) <= 50
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.binary(min_size=0, max_size=6), st.lists(st.integers(0, 49_407), min_size=1, max_size=4), max_size=40), st.binary(max_size=7))
 def test_transducer_gives_each_word_its_ids(entries, other):
