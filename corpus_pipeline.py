@@ -40,11 +40,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows without an id take part under a number made of their text, above any real id, so copies of one another or of a named document go like others.
+    Of rows equal in id and text the least by their other columns stays.
+    """
     ship(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])  # same partitioning
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select(F.coalesce("doc_id", made).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest], F.col("doc_id").isNull().alias("_nameless")).alias("rest"))
+    kept = near_duplicates(named.select("doc_id", "text")).where("kept").select(F.col("id").alias("_kept")).distinct()
+    one = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").groupBy("doc_id", "text").agg(F.min("rest").alias("rest"))
+    columns = {"doc_id": F.when(~F.col("rest._nameless"), F.col("doc_id")), "text": F.col("text")}
+    return one.select(*[columns.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

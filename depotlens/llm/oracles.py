@@ -66,7 +66,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS
 win AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 7), ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 rep AS (SELECT r, k FROM win GROUP BY r, k HAVING count(*) > 1),
 cov AS (SELECT r, count(DISTINCT p) AS c FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win JOIN rep USING (r, k)) GROUP BY r),
-b AS (SELECT r, doc_id,
+b AS (SELECT r, doc_id, md5(t) AS text_hash,
   (CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END) || CASE WHEN len(w) < {rules.LONG} THEN '-short' ELSE '-long' END AS stratum,
   len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: trim(x, {BLANK}) <> '') AS ls, coalesce(c, 0) AS n_repeat_words, len(list_distinct(w)) AS n_distinct
@@ -75,7 +75,8 @@ f AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_li
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
 j AS (SELECT *, [{", ".join(levels)}] AS lv FROM f),
 lab AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
-held AS (SELECT stratum, good, unnest(lv) AS level, unnest(range(0, {len(rules.RULES)})) AS rule FROM j JOIN lab USING (doc_id) WHERE NOT base_failed),
+trials AS (SELECT DISTINCT stratum, good, text_hash, lv FROM j JOIN lab USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT stratum, good, unnest(lv) AS level, unnest(range(0, {len(rules.RULES)})) AS rule FROM trials),
 grid AS (SELECT stratum, rule, unnest(range(0, {rules.LEVELS})) AS cut FROM (SELECT DISTINCT stratum, rule FROM held)),
 at_ AS (SELECT g.stratum, g.rule, g.cut, count(*) FILTER (good = 1 AND level >= cut) AS k, count(*) FILTER (good = 1) AS n,
   count(*) FILTER (good = 0 AND level >= cut) AS caught, count(*) FILTER (good = 0) AS bad

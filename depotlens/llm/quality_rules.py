@@ -74,7 +74,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         n_words.cast("long").alias("n_words"), F.char_length(F.replace("spaced", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"), bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.size(lines).cast("long").alias("n_lines"), repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"), F.xxhash64("text").alias("text_hash"))
 
 
 def base_failed() -> Column:
@@ -112,7 +112,9 @@ def cutoffs(judged: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lab
     """(stratum, cuts): for each rule, in the order of ``RULES``, its certified cutoff, or ``LEVELS`` where there is none."""
     import math
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("good"))
-    held = judged.where(~F.col("base_failed")).join(known, "id").select("stratum", "good", F.posexplode("levels").alias("rule", "level"))
+    # One trial a text: copies of it, under one id or several, are no further evidence.
+    trials = judged.where(~F.col("base_failed")).join(known, "id").select("stratum", "good", "text_hash", "levels").distinct()
+    held = trials.select("stratum", "good", F.posexplode("levels").alias("rule", "level"))
     counts = held.groupBy("stratum", "rule", "level").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum(1 - F.col("good").cast("long")).alias("bad"))
     # every level of every (stratum, rule), so that a cutoff may lie where no holdout text does
     grid = counts.select("stratum", "rule").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
@@ -141,4 +143,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     reached = F.zip_with("levels", F.coalesce("cuts", F.array_repeat(F.lit(LEVELS), len(RULES))), lambda level, cut: level >= cut)
     names = F.array(*[F.lit(r) for r in RULES])
     failed = F.filter(names, lambda _, i: F.get(reached, i))
-    return out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("levels", "cuts")
+    return out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("levels", "cuts", "text_hash")

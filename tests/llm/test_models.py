@@ -365,6 +365,21 @@ def test_quality_rules(spark):
     assert all(r.kept == (not r.base_failed) for r in few)  # too few labels certify nothing
 
 
+def test_copies_are_no_further_evidence(spark):
+    """A text a thousand times over is one trial: nothing is certified by it, under one id or many."""
+    rng = random.Random(8)
+    good = " ".join(prose(rng, 60))
+    junk = [(5000 + k, " ".join(w + "###" for w in prose(rng, 60))) for k in range(40)]
+    for rows in ([(k, good) for k in range(1000)], [(1, good)] * 1000):
+        docs = spark.createDataFrame([(i, t, "en") for i, t in rows + junk], "doc_id long, text string, lang string")
+        labels = labels_of(spark, [(i, int(i < 5000), 0) for i in {i for i, _ in rows + junk}])
+        assert quality_rules.quality_rules(docs, labels).where("not kept and not base_failed").count() == 0
+    rows = [(k, " ".join(prose(rng, 60))) for k in range(1000)]  # as many different texts certify a cutoff
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows + junk], "doc_id long, text string, lang string")
+    labels = labels_of(spark, [(i, int(i < 5000), 0) for i, _ in rows + junk])
+    assert quality_rules.quality_rules(docs, labels).where("not kept").count() == 40
+
+
 def test_binomial_tail(spark):
     cases = [(k, n, p) for n, p in ((50, 0.1), (400, 0.01), (20_000, 0.01)) for k in (0, 1, 3, int(n * p))]
     for k, n, p in cases:
