@@ -5,7 +5,7 @@
 finds the fullest one that a piece fits, and when none fits and all are open the fullest closes first.
 Pieces are range-partitioned by document, about ``pieces_per_task`` to a task.  What is still open when a
 task ends is packed once more, whole bins as items, ``merge_tasks`` tasks' worth at a time, so that many small
-tasks do not leave many half-empty sequences.  A task holds the lengths of its own pieces and nothing else.
+tasks do not leave many half-empty sequences.  A task holds its own pieces' rows until it ends.
 
 Defined cases: null or empty text is one piece holding the end token alone.  A document of k * capacity tokens
 has k full pieces.  Repeated rows are packed each.  Rows with no id sort first.  Empty table: empty result.
