@@ -401,3 +401,19 @@ def test_cutoffs_respect_the_bound(spark):
     out = quality_rules.quality_rules(docs, labels_of(spark, labels)).where("not base_failed").collect()
     good = [r for r in out if r.id % 10]
     assert sum(not r.kept for r in good) <= quality_rules.RISK * len(good)
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    """Floors on the held-out labelled rows of ``documents``: no clean document in fifty is called toxic, most toxic ones are found, and quality is told apart."""
+    from depotlens.llm.queries import op5_toxicity, op6_quality_classifier
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    right = {}
+    for query, column in ((op5_toxicity, "toxic"), (op6_quality_classifier, "quality")):
+        rows = query(spark, folder).where("held_out").join(labels, "doc_id").select(F.col(column).alias("y"), "predicted", "score").collect()
+        assert all(0 <= r.score <= 1 for r in rows)
+        for y in (0, 1):
+            of = [r.predicted == y for r in rows if r.y == y]
+            right[column, y] = sum(of) / len(of)
+    assert right["toxic", 0] >= 0.98 and right["toxic", 1] >= 0.6
+    assert right["quality", 0] >= 0.85 and right["quality", 1] >= 0.95
