@@ -8,7 +8,7 @@ to the free-form tail, of which these shapes are supported: ``y-M-d`` with ``-``
 ``5 Jan 2024`` / ``5-Jan-2024``, each with an optional time of day and zone, which is dropped.  Anything else, such
 as a year alone or trailing text, is null.
 
-Implementation: one chain of ``regexp_replace`` rewrites a string of any of these shapes
+Implementation: one chain of ``regexp_replace``, and of ``replace`` for month names, rewrites a string of any of these shapes
 to ``yyyy-M-d`` and leaves others as they are; day-first and month-first are told apart by which
 number can be a month.  ``regexp_extract`` of the plain shape then refuses whatever is left, and
 ``try_cast(... as date)`` validates the calendar (31-02 -> null).  No formatter runs and no
@@ -33,8 +33,9 @@ REWRITES = [
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
     (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$3-$1-$2"),
     (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[. -]{1,2}(\d{4})$", "$3-$2-$1"),
-] + [(rf"(?i)^(\d{{4}})-{name}-", f"$1-{i}-") for i, name in enumerate(
-    ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)]
+]
+# The month names that the rewrites leave between dashes.
+NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 PLAIN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 
@@ -47,6 +48,9 @@ def parse_any_date(c: Column) -> Column:
     s = F.trim(text)
     for shape, to in REWRITES:
         s = F.regexp_replace(s, shape, to)
+    s = F.lower(s)
+    for i, name in enumerate(NAMES, 1):
+        s = F.replace(s, F.lit(f"-{name}-"), F.lit(f"-{i}-"))
     return F.coalesce(
         F.regexp_extract(F.regexp_replace(text, *_DASHED), PLAIN, 0).try_cast("date"),  # d-M-yyyy and yyyy-M-d
         F.regexp_extract(F.regexp_replace(text, REWRITES[2][0], REWRITES[2][1]), PLAIN, 0).try_cast("date"),  # M/d/yyyy

@@ -31,25 +31,25 @@ def to_number(c: Column) -> Column:
 def typed_columns(raw: DataFrame, roles: dict | None = None, keep: list[str] = ()) -> DataFrame:
     """N1-N7 without the validity filter: every raw row, typed; ``keep`` names raw columns to carry along."""
     roles = require_columns(roles or resolve_columns([c for c in raw.columns if c != "row_key"]))
-    qty = F.abs(to_number(_q(roles["quantity"])))                       # N2
-    amount = F.abs(to_number(_q(roles["amount"])))                      # N3
     material = _q(roles["material"]).cast("string")                      # N5
     source = _q(roles["description"]).cast("string") if roles.get("description") else F.lit(None).cast("string")
-    cols = []
-    if "row_key" in raw.columns:
-        cols.append(F.col("row_key"))
+    first = [F.col("row_key")] if "row_key" in raw.columns else []
     if DEPOT_COLUMN in raw.columns:                                      # N7
-        cols.append(_q(DEPOT_COLUMN).cast("string").alias("depot_name"))
-    cols += [
-        material.alias("material_number"),
-        F.coalesce(source, material).alias("material_description"),      # N6, per row
-        source.alias("source_description"),                              # what "first non-null" looks at
+        first.append(_q(DEPOT_COLUMN).cast("string").alias("depot_name"))
+    # What is read from text goes through a one-element ``inline``: filters on it are not pushed below, where each would read the text again.
+    read = F.inline(F.array(F.struct(
         parse_any_date(_q(roles["date"])).alias("document_date"),        # N1
-        qty.alias("consumption_qty"),
-        amount.alias("amount"),
+        F.abs(to_number(_q(roles["quantity"]))).alias("consumption_qty"),  # N2
+        F.abs(to_number(_q(roles["amount"]))).alias("amount"))))         # N3
+    rows = raw.select(*first, material.alias("material_number"), source.alias("source_description"), *[_q(c) for c in keep], read)
+    qty, amount = F.col("consumption_qty"), F.col("amount")
+    return rows.select(
+        *[c for c in rows.columns if c in ("row_key", "depot_name")], "material_number",
+        F.coalesce("source_description", "material_number").alias("material_description"),  # N6, per row
+        "source_description",                                            # what "first non-null" looks at
+        "document_date", "consumption_qty", "amount",
         F.when(qty > 0, amount / qty).otherwise(F.lit(0.0)).alias("unit_price"),  # N4
-    ]
-    return raw.select(*cols, *[_q(c) for c in keep])
+        *[_q(c) for c in keep])
 
 
 def validity(c_qty: Column, c_amount: Column, c_material: Column, c_date: Column) -> Column:
