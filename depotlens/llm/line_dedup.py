@@ -9,7 +9,8 @@ except those in the largest document id that holds it.
    of the range key, so a line that a third of all documents share spreads over as many tasks as its rows need.
 3. Each task streams its rows.  A run of one hash inside a task is decided there and then; a run
    that touches a task's edge may go on in the next, so each task reports its first and its last run
-   (at most two rows a task), and their sums are what edge runs are decided by.
+   (at most two rows a task), and their sums are what edge runs are decided by.  They are broadcast: tasks are of ``task_bytes`` of text or,
+   in a larger table, of 1 / ``MAX_TASKS`` of it (rows are streamed, so a larger task holds no more), so there are at most 2 * ``MAX_TASKS`` of them.
 4. The lines to drop come back as one compressed bitmap per document, and each document cuts its own lines.
 
 Defined cases: null or empty text is one empty line, which stays.  Every line end is a ``\\n``; a line may be white
@@ -33,6 +34,8 @@ from depotlens.llm.common import binary, ceil_div, others, text_bytes
 MIN_CHARS = 40
 MIN_DOCS = 5
 TASK_BYTES = 64 << 20
+#: Tasks that lines are dealt over, at most; two edge rows of each (a hash, a count, an id) are broadcast.
+MAX_TASKS = 100_000
 
 
 def _code_points(line: bytes) -> int:
@@ -157,7 +160,8 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     _, size = text_bytes(docs, text_col)
     base = _base(docs, id_col, text_col).select("id", "row", "text")
     order = ["hash", F.col("id").desc(), "row", "pos"]
-    lines = line_hashes(base, min_chars).repartitionByRange(max(1, ceil_div(size, task_bytes)), "hash", F.col("id").desc())
+    tasks = min(MAX_TASKS, max(1, ceil_div(size, task_bytes)))
+    lines = line_hashes(base, min_chars).repartitionByRange(tasks, "hash", F.col("id").desc())
     id_type = base.schema["id"].dataType
     edge = T.StructType().add("hash", "binary").add("n_docs", "long").add("keeper", id_type)
     edges = (lines.sortWithinPartitions(*order).select("hash", "id").mapInArrow(_edge_runs, edge)  # at most two rows a task
