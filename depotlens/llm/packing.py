@@ -5,7 +5,8 @@
 finds the fullest one that a piece fits, and when none fits and all are open the fullest closes first.
 Pieces are range-partitioned by document, about ``pieces_per_task`` to a task.  What is still open when a
 task ends is packed once more, whole bins as items, ``merge_tasks`` tasks' worth at a time, so that many small
-tasks do not leave many half-empty sequences.  A task holds its own pieces' rows until it ends.
+tasks do not leave many half-empty sequences.  A task holds an Arrow batch and the rows of its open bins, at most ``open_bins * capacity`` tokens;
+a closed bin's rows leave with the batch that closed it.
 
 Defined cases: null or empty text is one piece holding the end token alone.  A document of k * capacity tokens
 has k full pieces.  Repeated rows are packed each.  Rows with no id sort first.  Empty table: empty result.
@@ -119,14 +120,19 @@ def pack(pieces: DataFrame, *, order: tuple[str, ...] = ("id", "piece"), length_
     first = T.StructType(list(schema.fields)).add("_task", "integer").add("_bin", "long").add("_offset", "long").add("_used", "long")
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, bins, kept = TaskContext.get().partitionId(), OpenBins(capacity, open_bins), []
+        task, bins, held = TaskContext.get().partitionId(), OpenBins(capacity, open_bins), None  # rows of the open bins
         for batch in batches:
-            kept.append((batch, [bins.put(n) for n in batch.column(length_col).to_pylist()]))
-        left = bins.open()
-        for batch, places in kept:
-            columns = [pa.array([task] * len(places), pa.int32()), pa.array([b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64()),
-                       pa.array([bins.used[b] if b in left else None for b, _ in places], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], first.names)
+            places = [bins.put(n) for n in batch.column(length_col).to_pylist()]
+            columns = [pa.array([task] * len(places), pa.int32()), pa.array([b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())]
+            rows = pa.RecordBatch.from_arrays([*batch.columns, *columns], first.names[:-1])
+            if held is not None:
+                rows = pa.concat_batches([held, rows])
+            waits = np.isin(rows.column("_bin").to_numpy(), np.fromiter(bins.open(), np.int64))
+            held, closed = rows.filter(pa.array(waits)), rows.filter(pa.array(~waits))  # copies: the batch itself is let go
+            yield pa.RecordBatch.from_arrays([*closed.columns, pa.nulls(closed.num_rows, pa.int64())], first.names)
+        if held is not None:
+            used = pa.array([bins.used[b] for b in held.column("_bin").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*held.columns, used], first.names)
 
     placed = stored(ordered.mapInArrow(online, first))
     own = [F.col(f"`{c}`") for c in schema.names]
