@@ -41,6 +41,8 @@ CELLS_PER_WINDOW = 16
 BUCKET_BYTES = 8 << 20
 #: Windows whose cells one merging task holds.
 SHARD_WINDOWS = 2_000_000
+#: Buckets, or cell ranges, that a task works through one after the other; more tasks than the session's shuffle partitions where the input asks for them.
+BUCKETS_PER_TASK = 16
 
 _ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _SEED = (0x0, 0xA0761D6478BD642F)
@@ -103,6 +105,12 @@ def _distinct(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.diff(np.append(at, len(s))) > 1
 
 
+def _ranges(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of each value that occurs: work follows the entries, not the number of ranges."""
+    begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.empty(0, np.int64)
+    return list(zip(sorted_[begins].tolist(), begins.tolist(), np.append(begins[1:], len(sorted_)).tolist()))
+
+
 def _exact_order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (a, b) and where a new pair begins; b is compared only where a collides."""
     order = np.argsort(a)
@@ -125,6 +133,7 @@ class _Plan:
         self.shards = power_of_two(windows / shard_windows)
         self.width_bits = min(60, max(20, (power_of_two(windows * CELLS_PER_WINDOW) - 1).bit_length()))
         self.cell_bits = self.width_bits - (self.shards - 1).bit_length()
+        self.tasks = ceil_div(max(self.buckets, depth * self.shards), BUCKETS_PER_TASK)
 
     def sketch(self, table: pa.Table) -> pa.Table:
         """Sparse Count-min rows of one bucket, cut by cell range.  part = row * shards + range."""
@@ -135,13 +144,10 @@ class _Plan:
             if not len(windows.starts):
                 break
             cells, twice = _distinct(np.sort(windows.cells(row, self.width_bits)))
-            cuts = np.searchsorted(cells, (np.arange(self.shards + 1).astype(np.uint64) << np.uint64(self.cell_bits)))
             low = (cells & np.uint64((1 << self.cell_bits) - 1)).astype(np.uint32 if self.cell_bits <= 32 else np.uint64)
-            for k in range(self.shards):
-                a, b = int(cuts[k]), int(cuts[k + 1])
-                if b > a:
-                    deltas = np.diff(low[a:b], prepend=low.dtype.type(0))
-                    out.append((row * self.shards + k, bucket, b - a, packed(deltas), bits(twice[a:b])))
+            for k, a, b in _ranges(cells >> np.uint64(self.cell_bits)):
+                deltas = np.diff(low[a:b], prepend=low.dtype.type(0))
+                out.append((row * self.shards + k, bucket, b - a, packed(deltas), bits(twice[a:b])))
         return _table(out, _BLOB)
 
     def merge(self, table: pa.Table) -> pa.Table:
@@ -169,13 +175,8 @@ class _Plan:
         bucket = docs["bucket"][0].as_py()
         a, b, _, _, starts, twice = self._suspects(windows, replies.to_pylist())
         a, b = a[starts], b[starts]
-        edges = [(k << 64) // self.shards for k in range(self.shards)]  # shards is a power of two
-        cuts = np.append(np.searchsorted(a, np.array(edges, np.uint64)), len(a))
-        out = []
-        for k in range(self.shards):
-            i, j = int(cuts[k]), int(cuts[k + 1])
-            if j > i:
-                out.append((k, bucket, j - i, a[i:j].tobytes() + b[i:j].tobytes(), bits(twice[i:j])))
+        shard = (a >> np.uint64(1)) >> np.uint64(64 - self.shards.bit_length())  # shards is a power of two
+        out = [(k, bucket, j - i, a[i:j].tobytes() + b[i:j].tobytes(), bits(twice[i:j])) for k, i, j in _ranges(shard)]
         return _table(out, _BLOB)
 
     def _suspects(self, windows: _Bucket, replies: list[dict]) -> tuple:
@@ -257,10 +258,12 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     plan = _Plan(size, window, depth, bucket_bytes, shard_windows)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), others(docs, id_col, text_col).alias("rest"))
     base = base.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(plan.buckets)).cast("long"))
-    by_bucket = base.groupBy("bucket")
-    marks = by_bucket.applyInArrow(lambda t: plan.sketch(t), _BLOB).groupBy("part").applyInArrow(lambda t: plan.merge(t), _REPLY)
+    tasks = max(plan.tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_bucket = base.repartition(tasks, "bucket").groupBy("bucket")
+    marks = (by_bucket.applyInArrow(lambda t: plan.sketch(t), _BLOB).repartition(tasks, "part")
+             .groupBy("part").applyInArrow(lambda t: plan.merge(t), _REPLY))
     exact = (by_bucket.cogroup(marks.groupBy("bucket")).applyInArrow(lambda t, r: plan.fingerprints(t, r), _BLOB)
-             .groupBy("part").applyInArrow(lambda t: plan.group(t), _REPLY))
+             .repartition(tasks, "part").groupBy("part").applyInArrow(lambda t: plan.group(t), _REPLY))
     schema = T.StructType([f for f in base.schema.fields if f.name != "bucket"])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return by_bucket.cogroup(marks.unionByName(exact).groupBy("bucket")).applyInArrow(lambda t, r: plan.cut(t, r), schema)
