@@ -6,7 +6,7 @@ import pytest
 
 from depotlens.llm.line_dedup import line_dedup
 from depotlens.llm.near_dedup import Signature, _likely, near_duplicates, shingle_sets, similar, sketch
-from depotlens.llm.substring_dedup import substring_dedup
+from depotlens.llm.substring_dedup import _ranges, substring_dedup
 from llm_cases import CLASHES, LOWER, awkward, awkward_rows, components_model, empty, phrase, words
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -37,6 +37,11 @@ def test_substring_rest_and_empty(spark):
     assert substring_dedup(empty(spark)).count() == 0
 
 
+def test_ranges_follow_the_entries():
+    assert _ranges(np.array([2, 2, 7, 1 << 40], np.uint64)) == [(2, 0, 2), (7, 2, 3), (1 << 40, 3, 4)]
+    assert _ranges(np.empty(0, np.uint64)) == []
+
+
 def line_model(rows, chars=40, least=5, in_order=False):
     def key(line):
         return line.strip(BLANK).translate(LOWER)
@@ -68,6 +73,14 @@ def test_one_line_in_most_documents_spans_tasks(spark):
     assert sorted(got, key=repr) == line_model(rows)
 
 
+def test_edges_of_at_most_max_tasks(spark, monkeypatch):
+    from depotlens.llm import line_dedup as module
+    monkeypatch.setattr(module, "MAX_TASKS", 3)
+    lines = module.keep_bitmaps(awkward(spark), task_bytes=100)
+    got = [(r.id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup(awkward(spark), task_bytes=100).collect()]
+    assert sorted(got, key=repr) == line_model(awkward_rows()) and lines.count() > 0
+
+
 def test_lines_empty(spark):
     assert line_dedup(empty(spark)).count() == 0
 

@@ -119,6 +119,19 @@ def test_pieces_and_places(spark, capacity, per_task):
     places_are_gapless(got, capacity)
 
 
+def test_batches_do_not_change_places(spark):
+    rows = spark.createDataFrame([(k, 0, 1 + k * 37 % 90) for k in range(700)], "id long, piece int, length long").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    for n in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            found.append(sorted(map(tuple, pack(rows, capacity=100, open_bins=6, pieces_per_task=200, merge_tasks=2).collect())))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and len(found[0]) == 700
+
+
 def test_packing_is_tight(spark):
     random.seed(4)
     lengths = [min(4096, int(random.paretovariate(0.9) * 60)) for _ in range(6000)]
