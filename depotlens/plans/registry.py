@@ -606,16 +606,17 @@ from depotlens.streaming.basket_events import basket_event_stream, current_lines
 from depotlens.streaming.closing_months import closing_month_stream, total  # noqa: E402
 from depotlens.streaming.runs import run_available  # noqa: E402
 
-#: Files, each a micro-batch, over which rows are dealt by a hash: arrival in no order.
+#: Micro-batches over which rows are dealt by a hash: arrival in no order.
 ARRIVALS = 4
 
 
 def _shuffled_stream(rows, spark):
+    """``rows``, worked out once and dealt by a hash to files of equal shares, a quarter of which is a micro-batch; a file is one task's work."""
     path = shared_folder(spark)
-    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "row_key"]), F.lit(ARRIVALS)))
-    for k in range(ARRIVALS):
-        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).write.parquet(f"{path}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    parts = max(ARRIVALS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(parts, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).write.parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // ARRIVALS))).parquet(path)
 
 
 @query("basket_stream")

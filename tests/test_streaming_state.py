@@ -3,13 +3,16 @@ import datetime
 import random
 import tempfile
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from depotlens.operators import baskets as B
 from depotlens.operators import normalise as N
 from depotlens.operators import patterns as P
 from depotlens.streaming.basket_events import basket_event_stream, current_lines
-from depotlens.streaming.closing_months import closes_at, closing_month_stream, total
+from depotlens.plans import registry
+from depotlens.streaming.closing_months import MonthProcessor, closes_at, closing_month_stream, first_open, total
 from depotlens.streaming.runs import run_available
 from helpers import RAW_SCHEMA, raw_rows
 from test_baskets import SCHEMA, random_events
@@ -81,3 +84,61 @@ def test_closing_months(spark):
 def test_month_ends():
     assert closes_at(2024 * 12 + 11) == int(datetime.datetime(2025, 1, 1, tzinfo=datetime.UTC).timestamp()) * 1000
     assert closes_at(1999 * 12 + 1) == int(datetime.datetime(1999, 3, 1, tzinfo=datetime.UTC).timestamp()) * 1000
+
+
+class CountingState:
+    """A value, a map and timers that count the round trips to the state store."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        done = {"get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None),
+                "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "updateValue": self.map.__setitem__, "registerTimer": self.timers.add}[name]
+
+        def counted(*args):
+            self.calls += 1
+            return done(*args)
+        return counted
+
+
+def test_state_is_reached_a_few_times_a_trigger():
+    """60 materials of 24 months: a round trip for each month would be what the stream's time goes into."""
+    state, processor = CountingState(), MonthProcessor([])
+    processor.init(state)
+    rows = [Row(bucket=0, material_number=f"M{m}", month_no=2020 * 12 + k, consumption_qty=0.5) for m in range(60) for k in range(24)]
+    for trigger in (1, 2):
+        state.calls = 0
+        out = list(processor.handleInputRows((0,), iter(rows), TimerValues(0, 0)))
+        assert state.calls <= 3
+        assert {(r.kind, r.qty) for r in out} == {("open", 0.5 * trigger)} and len(out) == len(rows)
+    assert state.timers == {closes_at(2020 * 12)}
+    closed = closes_at(2020 * 12 + 4)
+    final = list(processor.handleExpiredTimer((0,), TimerValues(0, closed), None))
+    assert len(final) == 60 * 5 and {(r.kind, r.qty) for r in final} == {("final", 1.0)} and closes_at(2020 * 12 + 5) in state.timers
+    late = list(processor.handleInputRows((0,), iter(rows[:6]), TimerValues(0, closed)))
+    assert [r.kind for r in late] == ["late"] * 5 + ["open"] and late[-1].qty == 1.5
+
+
+def test_first_open_month():
+    for month in (1970 * 12, 1999 * 12 + 1, 2024 * 12 + 11):
+        assert first_open(closes_at(month)) == month + 1 and first_open(closes_at(month) - 1) == month
+
+
+def test_arrivals_are_dealt_to_many_tasks(spark):
+    """Each micro-batch is several files, each written by a task of its own; all rows come, in four batches."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        stream = registry._shuffled_stream(spark.range(3000).withColumn("text", F.col("id").cast("string")), spark)
+        out = run_available(stream.withColumn("file", F.col("_metadata.file_path")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out.select("id").distinct().count() == out.count() == 3000
+    assert out.select("file").distinct().count() == 12 and out.groupBy("file").count().agg(F.max("count")).first()[0] < 600
+    assert sorted(r["n"] for r in out.groupBy("batch").agg(F.countDistinct("file").alias("n")).collect()) == [3, 3, 3, 3]
