@@ -6,6 +6,7 @@ seen over all of M with zeros filled in, so mean/std/min run over |M| values.
 
 Plan.  One partial+final aggregation turns movements into one row per
 (group, material) holding twelve month sums (null = no movement that month), the highest price, counts, dates and, where asked for, the description.
+A slot row is wide, so without descriptions the movements are first dealt by material (``_dealt``): a task then holds the slots of its own materials only.
 This slot table is stored (``slot_table``) and everything else reads it, so the movements are scanned once whatever a query needs of them.
 M per group is a tiny aggregate over it, attached null-safe by ``attach_group``.  The statistics are plain expressions over the twelve
 columns, taken in month order: no material x month cross join, no arrays, no Python.
@@ -47,16 +48,28 @@ def monthly_consumption(mv: DataFrame, by: list[str] = ()) -> DataFrame:
     return mv.groupBy(*by, "material_number", "month").agg(exact_sum(F.col("consumption_qty")).alias("qty"))
 
 
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with those of a (group, material) together, in partitions of the session's advisory size.
+
+    Adaptive execution cuts a partition that is larger, so a hot material is spread over tasks; what bounds a task is that size and not the number
+    of materials.  The rows are dealt by a hash and not by the keys themselves: the aggregate then still combines the parts of a material that was cut.
+    """
+    return rows.withColumn("_deal", F.hash(*by, "material_number")).hint("rebalance", "_deal")
+
+
 def month_slots(rows: DataFrame, by: list[str], with_description: bool = False, valid: Column | None = None) -> DataFrame:
     """One row per (group, material): twelve month sums (null = no movement
     that month), the max positive unit price (P11), number and date range of movements.
 
     ``rows`` are valid movements, or all typed rows with ``valid`` saying which count; then
     materials without any movement keep a row with ``n_valid`` 0.  Only fixed-width buffers, so this is a plain HashAggregate with map-side
-    partial aggregation straight from the movement rows (P1 folded in: one
-    shuffle of at most one partial row per material per input partition).
+    partial aggregation (P1 folded in).  Without descriptions the rows are dealt by material first, which leaves about one partial row
+    per material to shuffle.
     """
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    if not with_description:
+        rows = _dealt(rows.select(*by, "material_number", "month", "consumption_qty", "amount", "document_date", ok.alias("_ok")), by)
+        ok = F.col("_ok")
     q = F.when(ok, F.col("consumption_qty"))
     aggs = [exact_sum(F.when(F.col("month") == i, q)).alias(f"_q{i}") for i in range(1, 13)]
     aggs.append(F.max(F.when(F.col("amount") > 0, F.col("amount") / q)).alias("max_price"))

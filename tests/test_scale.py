@@ -165,6 +165,23 @@ def test_one_pass_over_the_source(spark, name):
     assert sum(reads) == 1 and left == SCANS[name], (reads, left)
 
 
+def test_slots_are_summed_where_a_material_is_together(spark):
+    """2,000 materials (one of them with half of the rows, one null) whose rows lie in 8 partitions at random: before the slots' own shuffle
+    there is about one wide partial row a material, not one for each partition."""
+    n = F.col("id") * 7919 % 16_001
+    material = F.when(F.col("id") % 2 == 0, F.lit("hot")).when(n % 2000 == 3, F.lit(None).cast("string")).otherwise((n % 2000).cast("string"))
+    mv = spark.range(0, 16_000, 1, 8).select(material.alias("material_number"), (F.col("id") % 12 + 1).cast("int").alias("month"), F.lit(0.5).alias("consumption_qty"),
+                                             F.col("id").cast("double").alias("amount"), F.lit("2024-01-05").cast("date").alias("document_date"))
+    slots = P.month_slots(mv, [])
+    rows = {r.material_number: r for r in slots.collect()}
+    assert "REBALANCE_PARTITIONS_BY_COL" in slots._jdf.queryExecution().executedPlan().toString()
+    want = {r.material_number: r for r in mv.groupBy("material_number").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("amount") * 2).alias("p"), F.sum("consumption_qty").alias("q")).collect()}
+    assert set(rows) == set(want) and all(rows[k].n_valid == want[k].n and rows[k].max_price == want[k].p for k in want)
+    assert all(sum(rows[k][f"_q{i}"] or 0 for i in range(1, 13)) == want[k].q for k in want)
+    dealt = P._dealt(mv, []).withColumn("_part", F.spark_partition_id())
+    assert dealt.groupBy("material_number").agg(F.countDistinct("_part").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 def test_fractional_sums_do_not_depend_on_order(spark):
     rows = [("A", "05-01-2024", f"{0.1 * k:.2f}", "1") for k in range(1, 200)]
     one = P.monthly_consumption(normalise_movements(raw_rows(spark, rows).coalesce(1))).first().qty
